@@ -72,3 +72,9 @@ def pieces(b: pa.RecordBatch, rows: int = 512):
     """A batch in slices, so that only a few texts are Python objects at a time."""
     for at in range(0, b.num_rows, rows):
         yield b.slice(at, rows)
+
+
+def unkeyed(df: DataFrame, *keys: str) -> DataFrame:
+    """df, of whose partitioning by the (long) keys the planner no longer knows. A join with aggregated rows then gets
+    an exchange on both sides, and only then can adaptive execution split a hot key's partition of the other side."""
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})

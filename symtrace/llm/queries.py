@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _util as u
-from . import bpe, linededup, quality
+from . import bpe, html, linededup, minhash, packing, quality, reshard
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(u.read(spark, sf_dir, "documents"))
+
+
+def op4_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = reshard.plan(u.read(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
 
 
 def op5_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,13 +34,25 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(u.read(spark, sf_dir, "documents"))
 
 
+def op8_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(u.read(spark, sf_dir, "pages"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_digest(u.read(spark, sf_dir, "documents"), k=2)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(u.read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_flow_reshard": op4_flow_reshard,
     "op5_quality_ledger": op5_quality_ledger,
     "op7_line_dedup": op7_line_dedup,
+    "op8_text_density": op8_text_density,
+    "op9_minhash": op9_minhash,
     "op10_bpe": op10_bpe,
 }
 
