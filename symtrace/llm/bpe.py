@@ -2,7 +2,7 @@
 
 A word is first split greedily into the longest vocabulary tokens. Such a split is what the merges would give if and
 only if every token and every adjacent pair of tokens comes out of the merges unchanged; that is known per pair, so
-all new pairs of a block are tested at once against a table of pairs (two sorted arrays), and only pairs never seen
+all new pairs of a block are tested at once against a table of pairs (sorted arrays), and only pairs never seen
 before are merged exactly. Words with a failing pair, and only those, go through exact merging as a whole.
 
 The vocabulary file is a parameter and is read on the executors, once per Python worker. Text is split at added tokens,
@@ -28,7 +28,7 @@ from . import _util as u
 #: Fixed pattern of byte-level BPE pre-tokenisation.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words remembered per worker; beyond that the memory is emptied, which changes speed, not results.
-REMEMBERED = 500_000
+REMEMBERED = 1_200_000
 #: Up to so many bytes a word's pairs are searched again after each merge; NONE comes after every rank.
 SHORT = 24
 NONE = (1 << 40, -1)
@@ -60,15 +60,16 @@ class Bpe:
             a, b = map(raw, m.split(" ") if isinstance(m, str) else m)
             self.pair.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
         self.bytes = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in added.items()}
+        self.spelled = {str(i): t for i, t in self.bytes.items()}
         self.added = added
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.words = regex.compile(PATTERN)
-        self.longest: dict[bytes, int] = {}  # by a token's first two bytes
+        self.longest: dict[bytes, int] = {}  # by a token's first three bytes
         for t in self.ids:
-            self.longest[t[:2]] = max(len(t), self.longest.get(t[:2], 1))
+            self.longest[t[:3]] = max(len(t), self.longest.get(t[:3], 2))
         self.single = [self.ids[bytes([b])] for b in range(256)]
-        self.good = np.empty(0, np.int64)  # pairs that merges leave alone, sorted
-        self.bad = np.empty(0, np.int64)
+        self.tested = np.empty(0, np.int64)  # pairs, sorted
+        self.fine = np.empty(0, bool)  # those that merges leave alone
         self.known: dict[str, str] = {}
         self.speculated = self.merged = 0
 
@@ -107,7 +108,7 @@ class Bpe:
     def greedy(self, data: bytes) -> list[int]:
         out, at, n = [], 0, len(data)
         while at < n:
-            for end in range(min(n, at + self.longest.get(data[at : at + 2], 1)), at, -1):
+            for end in range(min(n, at + self.longest.get(data[at : at + 3], 2)), at, -1):
                 if (i := self.ids.get(data[at:end])) is not None:
                     out.append(i)
                     at = end
@@ -117,17 +118,19 @@ class Bpe:
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging the bytes of both tokens gives just these two tokens, for every pair at once. A right token
         of -1 asks whether the left one comes out of the merges by itself."""
-        pairs = left << 32 | (right & 0xFFFFFFFF)
-        asked = np.unique(pairs)
-        new = asked[~np.isin(asked, self.good, assume_unique=True) & ~np.isin(asked, self.bad, assume_unique=True)]
-        fine = np.zeros(len(new), bool)
-        for k, p in enumerate(new.tolist()):
-            a, b = p >> 32, p & 0xFFFFFFFF
+        pairs, of = np.unique(left << 32 | (right & 0xFFFFFFFF), return_inverse=True)
+        at = np.searchsorted(self.tested, pairs)
+        known = at < len(self.tested)
+        known[known] = self.tested[at[known]] == pairs[known]
+        fine = np.zeros(len(pairs), bool)
+        fine[known] = self.fine[at[known]]
+        for k in np.flatnonzero(~known).tolist():
+            a, b = int(pairs[k]) >> 32, int(pairs[k]) & 0xFFFFFFFF
             want = [a] if b == 0xFFFFFFFF else [a, b]
             fine[k] = self.merge(b"".join(self.bytes[i] for i in want)) == want
-        self.good = np.union1d(self.good, new[fine])
-        self.bad = np.union1d(self.bad, new[~fine])
-        return np.isin(pairs, self.good)
+        if not known.all():
+            self.tested, self.fine = np.insert(self.tested, at[~known], pairs[~known]), np.insert(self.fine, at[~known], fine[~known])
+        return fine[of]
 
     def learn(self, words: list[str]) -> None:
         """Encode words not met before: propose, test all adjacent pairs, merge the failing words exactly."""
@@ -176,6 +179,10 @@ class Bpe:
         """The tokens' bytes as UTF-8; bytes that are none become U+FFFD."""
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_decimal(self, ids: str) -> str:
+        """decode() of ids written decimal and joined by commas."""
+        return b"".join(map(self.spelled.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
+
 
 @functools.lru_cache(2)
 def load(path: str) -> Bpe:
@@ -221,7 +228,7 @@ def digest(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
         for b in batches:
             for x in u.pieces(b, 256):
                 out = bpe.encode_block(x.column(1).to_pylist())
-                decoded = [bpe.decode(list(map(int, s.split(",")))) if s else "" for _, s in out]
+                decoded = [bpe.decode_decimal(s) for _, s in out]
                 yield u.batch(schema, [x.column(0), [n for n, _ in out], [sha(s.encode()) for _, s in out], [sha(d.encode()) for d in decoded]])
 
     return u.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
