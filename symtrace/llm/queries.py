@@ -8,13 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _util as u
-from . import bpe, html, linededup, minhash, packing, quality, reshard
+from . import aq, bpe, html, linededup, lm, minhash, packing, pii, quality, reshard
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(u.read(spark, sf_dir, "documents"))
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(u.read(spark, sf_dir, "documents"))
+
+
+def op3_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(u.read(spark, sf_dir, "documents"))
+
+
 def op4_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = reshard.plan(u.read(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
@@ -30,6 +38,10 @@ def op5_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aq.search(u.read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(u.read(spark, sf_dir, "documents"))
 
@@ -48,8 +60,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_class_lm": op2_class_lm,
+    "op3_skip_chain_crf": op3_skip_chain_crf,
     "op4_flow_reshard": op4_flow_reshard,
     "op5_quality_ledger": op5_quality_ledger,
+    "op6_additive_quantisation": op6_additive_quantisation,
     "op7_line_dedup": op7_line_dedup,
     "op8_text_density": op8_text_density,
     "op9_minhash": op9_minhash,
