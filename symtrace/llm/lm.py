@@ -38,7 +38,7 @@ from . import _util as u
 TOP, CLASSES, TAILS = 1000, 32, 8
 SWEEPS = 8
 MIX = 0.05
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 14 << 20
 #: Fixed word numbers in a block: the end of a text, which is also what comes before its first word.
 END = 0
 
@@ -157,7 +157,7 @@ def exchange(counts: np.ndarray, fixed: int, classes: int, sweeps: int = SWEEPS)
             joint[a] -= to
             joint[:, a] -= back
             joint[a, a] -= self_count
-            left, right = joint.sum(1), joint.sum(0)
+            left, right = joint.sum(1) + back, joint.sum(0) + to  # the word's neighbours keep their counts
             # What putting w into each class changes in the log-likelihood of class bigrams.
             gain = (xlog(joint[movable] + to) - xlog(joint[movable])).sum(1) + (xlog(joint[:, movable] + back[:, None]) - xlog(joint[:, movable])).sum(0)
             own = joint[movable, movable]
@@ -178,7 +178,7 @@ def exchange(counts: np.ndarray, fixed: int, classes: int, sweeps: int = SWEEPS)
 
 
 def top_words(words: DataFrame, top: int) -> list[bytes]:
-    return [r["word"] for r in words.where("c > 0").orderBy(F.desc("c"), "word").limit(top).collect()]
+    return [r["word"] for r in words.where("c > 0 and length(word) > 0").orderBy(F.desc("c"), "word").limit(top).collect()]
 
 
 def _bigrams(packed: DataFrame, top: list[bytes]) -> np.ndarray:
@@ -245,13 +245,10 @@ def word_classes(packed: DataFrame, model: Model) -> DataFrame:
     total = each.groupBy("word").agg(F.sum("n").alias("c"), *[F.sum(v).alias(v) for v in names])
     most = F.greatest(*names)
     tail = F.when(most == 0, TAILS + 1).otherwise(F.array_position(F.array(*names), most).cast("int"))
-    top = F.create_map(*[x for w, k in model.top.items() for x in (F.lit(w), F.lit(k))]) if 0 < len(model.top) <= 16 else None
     out = total.select("word", "c", F.when(F.length("word") == 0, 0).otherwise(tail).cast("int").alias("cls"))
-    if top is None and model.top:
+    if model.top:
         known = packed.sparkSession.createDataFrame([(bytearray(w), k) for w, k in model.top.items()], "word binary, known int")
         out = out.join(F.broadcast(known), "word", "left").select("word", "c", F.coalesce("known", "cls").alias("cls"))  # TOP rows
-    elif top is not None:
-        out = out.select("word", "c", F.coalesce(top[F.col("word")], F.col("cls")).alias("cls"))
     return out
 
 
