@@ -284,9 +284,8 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
 
     every = max(1, docs.count() // train_docs)
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "n int, x binary, y binary, chain binary, skip binary")
-    order = ["n", "x", "y", "chain", "skip"]
     pairs = lambda data: np.frombuffer(data, np.int32).reshape(-1, 2)
-    rows = sample.orderBy(*order).collect()
+    rows = sorted(sample.collect(), key=tuple)  # the order must not depend on partitions
     return Field().fit([(np.frombuffer(r["x"], np.int8).reshape(r["n"], FEATURES).astype(float), np.frombuffer(r["y"], np.int8).astype(int), pairs(r["chain"]), pairs(r["skip"])) for r in rows])
 
 
