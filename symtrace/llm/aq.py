@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from . import _util as u
 
-BOOKS, WORDS, BEAM = 16, 64, 8
+BOOKS, WORDS, BEAM = 64, 16, 4
 TRAIN = 8192
-RERANK = 512
+RERANK = 128
 NEAREST = 10
 QUERY_BLOCK = 4096
 #: Vectors that a task scans at most before it hands on its best.
@@ -51,25 +51,25 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
     """Codes uint8[n, M] by beam search: of all extensions of the kept partial sums, those with the least error stay."""
     m, k, _ = books.shape
     n = len(x)
-    flat = books.reshape(m * k, -1)
-    gram, norms = flat @ flat.T, np.sum(flat**2, 1)
-    product = x @ flat.T
+    flat = books.reshape(m * k, -1).astype(np.float32)
+    gram, norms = 2 * flat @ flat.T, np.sum(flat**2, 1)
+    gain = norms - 2 * (x.astype(np.float32) @ flat.T)  # what a codeword alone adds to the squared error
     codes = np.zeros((n, 1, m), np.uint8)
-    errors = np.zeros((n, 1))  # without the constant |x|^2
-    cross = np.zeros((n, 1, m * k))  # inner products of the partial sum with all later codewords
+    errors = np.zeros((n, 1), np.float32)  # without the constant |x|^2
+    cross = np.zeros((n, 1, m * k), np.float32)  # twice the inner products of the partial sum with the codewords to come
+    rows = np.arange(n)[:, None]
     for b in range(m):
-        own = slice(b * k, (b + 1) * k)
-        total = errors[:, :, None] + norms[own] - 2 * product[:, None, own] + 2 * cross[:, :, own]
-        width = min(beam, total.shape[1] * k)
-        flat_total = total.reshape(n, -1)
-        best = np.argpartition(flat_total, width - 1, 1)[:, :width] if width < flat_total.shape[1] else np.tile(np.arange(width), (n, 1))
+        total = errors[:, :, None] + gain[:, None, b * k : (b + 1) * k] + cross[:, :, :k]
+        total = total.reshape(n, -1)
+        width = min(beam, total.shape[1])
+        best = np.argpartition(total, width - 1, 1)[:, :width] if width < total.shape[1] else np.tile(np.arange(width), (n, 1))
         parent, word = best // k, best % k
-        rows = np.arange(n)[:, None]
-        codes = codes[rows, parent].copy()
+        codes = codes[rows, parent]
         codes[:, :, b] = word
-        errors = flat_total[rows, best]
+        errors = total[rows, best]
         if b + 1 < m:
-            cross = cross[rows, parent] + gram[b * k + word]
+            cross = cross[:, :, k:][rows, parent]
+            cross += gram[b * k + word, (b + 1) * k :]
     return codes[np.arange(n), errors.argmin(1)]
 
 
@@ -77,7 +77,7 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return books[np.arange(len(books)), codes.astype(int)].sum(1)
 
 
-def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 3, seed: int = 7) -> np.ndarray:
+def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2, seed: int = 7) -> np.ndarray:
     """Codebooks [M, K, D]: residual k-means, then rounds of beam encoding and joint least squares."""
     rng, residual, out = np.random.default_rng(seed), x.copy(), []
     for _ in range(books):
