@@ -14,7 +14,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +35,13 @@ DEFINES = {
     "javascript": re.compile(r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*$"),
     "typescript": re.compile(r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)(?:<[^{}()]*>)?\s*$"),
 }
-NAME = re.compile(r"([A-Za-z_$][\w$]*)\s*$")
+NAME = re.compile(r"([A-Za-z_$][\w$]*)(?:<[^<>(){};]*>)?\s*$")
 PYTHON_DEF = re.compile(r"^([ \t]*)(?:async[ \t]+)?def[ \t]+([A-Za-z_]\w*)[ \t]*\(", re.M)
 SKIP = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|^[ \t]*#[^\n]*(?:\\\n[^\n]*)*", re.S | re.M)
 
 SCHEMA = "file_path string, kind string, name string, line_start int, line_end int, preorder int, hash string, caller_hash string, strings array<string>, error string"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+ARROW = pa.schema([(c.split()[0], {"int": pa.int32(), "string": pa.string()}.get(c.split()[1], pa.list_(pa.string()))) for c in SCHEMA.split(", ")])
 
 
 def literal(raw: str) -> str:
@@ -149,17 +150,18 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 def parsed(files: DataFrame, attribution: str = "last_opened") -> DataFrame:
     """SCHEMA rows of files (file_path, lang, content); kind is def, call or error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for path, lang, content in zip(b["file_path"], b["lang"], b["content"], strict=True):
+            for path, lang, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 try:
-                    out += [{"file_path": path, "error": None, **r} for r in records(path, bytes(content).decode("utf-8", "replace"), lang, attribution)]
+                    rows = records(path, content.decode("utf-8", "replace"), lang, attribution)
+                    out += [{"file_path": path, **{c: r.get(c) for c in COLUMNS[1:]}} for r in rows]
                 except Exception as e:  # one file must not end the job
                     out.append({"file_path": path, "kind": "error", "strings": [], "error": repr(e)[:200]})
-            yield pd.DataFrame(out, columns=COLUMNS).astype({"line_start": "Int32", "line_end": "Int32", "preorder": "Int32"})
+            yield pa.RecordBatch.from_pylist(out, schema=ARROW)
 
-    return files.select("file_path", "lang", "content").mapInPandas(run, SCHEMA)
+    return files.select("file_path", "lang", "content").mapInArrow(run, SCHEMA)
 
 
 def source_relations(rows: DataFrame) -> dict[str, DataFrame]:
