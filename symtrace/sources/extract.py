@@ -38,6 +38,14 @@ def raw_strings(blocks: DataFrame, least: int = 5) -> DataFrame:
     return at.where(F.col("pos") % 2 == 1).select(scalars.to_hex(F.col("offset")).alias("address"), F.btrim("part", F.lit(" \t\n\r")).alias("content"), F.length("part").alias("length")).where("content <> ''")
 
 
+def defined_strings(data: DataFrame) -> DataFrame:
+    """address, content, length of defined data (offset LONG, data_type, value) that are strings: a type named after
+    strings or characters, two characters or more, not in the lowest page."""
+    kind = F.lower("data_type")
+    rows = data.where((kind.contains("string") | kind.contains("char")) & (F.length("value") >= 2) & (F.col("offset") >= 0x1000))
+    return rows.select(scalars.to_hex(F.col("offset")).alias("address"), F.col("value").alias("content"), F.length("value").alias("length"))
+
+
 def priority_merge(first: DataFrame, second: DataFrame, key: str = "address") -> DataFrame:
     """Rows of both by key; on equal keys those of `first` win."""
     rows = first.withColumn("__prio", F.lit(0)).unionByName(second.withColumn("__prio", F.lit(1)))

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symtrace.operators.lineage import cut
+
 
 def insert_or_ignore(rows: DataFrame, key: list[str], target: DataFrame | None = None, order: Iterable[str | Column] = ()) -> DataFrame:
     """New rows of distinct keys that the target doesn't have; with an order the first of equal keys wins."""
@@ -26,24 +28,23 @@ def upsert_replace(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(new.select(*key), key, "left_anti").unionByName(new)
 
 
-def numbered(rows: DataFrame, natural_key: str, id_col: str = "id") -> DataFrame:
-    """Dense ids from 1 in the order of the natural key: rows are range-partitioned by the key, numbered within their
-    range, and the ranges' counts (one number a partition) are summed up before them. No single task holds all rows."""
-    bounds = rows.repartitionByRange(F.col(natural_key)).withColumn("__p", F.spark_partition_id())
-    local = bounds.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(natural_key)))
-    # The partition of a key depends on sampled bounds, so it is fixed on disk before it is used twice.
-    from symtrace.operators.lineage import cut
-
-    local = cut(local)
+def numbered(rows: DataFrame, *order: str | Column, id_col: str = "id") -> DataFrame:
+    """Dense ids from 1 in the given order, which must be total: rows are range-partitioned, numbered within their range,
+    and the ranges' counts (one number a partition) are summed up before them. No single task holds all rows."""
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = rows.repartitionByRange(*by).withColumn("__p", F.spark_partition_id())
+    # The partition of a row depends on sampled bounds, so it is fixed by a checkpoint before it is used twice.
+    local = cut(ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*by))))
     ends = local.groupBy("__p").agg(F.count("*").alias("__n"))
-    starts = ends.withColumn("__s", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__s")
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = ends.withColumn("__s", F.coalesce(F.sum("__n").over(before), F.lit(0))).select("__p", "__s")
     return local.join(F.broadcast(starts), "__p").withColumn(id_col, (F.col("__s") + F.col("__r")).cast("long")).drop("__p", "__r", "__s")
 
 
 def balanced(files: DataFrame, size: str, n: int) -> DataFrame:
-    """files with a chunk 0..n-1: dealt round-robin from large to small."""
-    w = Window.orderBy(F.desc(size), *[c for c in files.columns if c != size])
-    return files.withColumn("chunk", ((F.row_number().over(w) - 1) % n).cast("int"))
+    """files with a chunk 0..n-1: dealt round-robin from large to small; ties go by the other columns."""
+    ranked = numbered(files, F.desc(size), *[c for c in files.columns if c != size], id_col="__k")
+    return ranked.withColumn("chunk", ((F.col("__k") - 1) % n).cast("int")).drop("__k")
 
 
 def merge_sources(functions: DataFrame, strings: DataFrame, usage: DataFrame, calls: DataFrame) -> dict[str, DataFrame]:

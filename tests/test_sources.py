@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from symtrace.functions import scalars
 from symtrace.plans import queries
-from symtrace.sources import extract, source_scan, store
+from symtrace.sources import extract, source_scan, sqlite, store
 from symtrace.streaming import ingest
 
 C = """
@@ -126,6 +126,23 @@ def test_scalars(spark):
     assert tuple(one) == (31, None, "0x0000001f", 0.8, 0.5)
 
 
+def test_sqlite_tables(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "x.db")
+    with sqlite3.connect(path) as db:
+        db.execute('CREATE TABLE strings (id INTEGER PRIMARY KEY, content TEXT, "odd name" REAL)')
+        db.executemany("INSERT INTO strings VALUES (?, ?, ?)", [(k, f"s{k}" if k % 3 else None, k / 2) for k in range(1, 26)])
+    rows = sqlite.read_table(spark, path, "strings", rows=7).orderBy("id").collect()
+    assert sqlite.table_names(path) == ["strings"] and [r.id for r in rows] == list(range(1, 26))
+    assert rows[2].content is None and rows[3]["odd name"] == 2.0
+
+
+def test_defined_strings(spark):
+    rows = spark.createDataFrame([(0x2000, "string", "hi"), (0x10, "string", "low"), (0x3000, "char[4]", "x"), (0x4000, "TerminatedCString", "yes"), (0x5000, "int", "no")], "offset long, data_type string, value string")
+    assert sorted(r.content for r in extract.defined_strings(rows).collect()) == ["hi", "yes"]
+
+
 def test_store(spark):
     rows = spark.createDataFrame([(1, "a", 5), (1, "a", 3), (2, "b", 1)], "k long, v string, n long")
     assert sorted(map(tuple, store.insert_or_ignore(rows, ["k"], order=["n"]).collect())) == [(1, "a", 3), (2, "b", 1)]
