@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import features
@@ -28,7 +28,11 @@ def similarity(bins: DataFrame, srcs: DataFrame, rarity: DataFrame | None = None
     index = b.where("w > 0") if positive_only else b
     tb = totals(b).select(F.col("func_id").alias("bin_id"), F.col("n").alias("n_a"), F.col("w").alias("w_a"))
     ts = totals(s).select(F.col("func_id").alias("src_id"), F.col("n").alias("n_b"), F.col("w").alias("w_b"))
-    pairs = overlaps(index, srcs).join(tb, "bin_id").join(ts, "src_id")
+    return _scored(overlaps(index, srcs).join(tb, "bin_id").join(ts, "src_id"))
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """Both similarities from n_i, w_i (what a pair shares) and n_a, w_a, n_b, w_b (what each has)."""
     union = F.col("w_a") + F.col("w_b") - F.col("w_i")
     return pairs.select(
         "bin_id", "src_id", F.col("n_i").alias("shared"),
@@ -37,28 +41,48 @@ def similarity(bins: DataFrame, srcs: DataFrame, rarity: DataFrame | None = None
     )
 
 
+def _prefix(strings: DataFrame, measure: Column, threshold: float) -> DataFrame:
+    """func_id, s: each function's strings from rare to common, up to where what is left is less than threshold times
+    the whole. Of two sets with a similarity of threshold or more, these ends have a string in common."""
+    after = Window.partitionBy("func_id").orderBy(F.desc("w"), "s").rowsBetween(0, Window.unboundedFollowing)
+    rows = strings.withColumn("rest", F.sum(measure).over(after)).withColumn("all", F.sum(measure).over(Window.partitionBy("func_id")))
+    return rows.where(F.col("rest") >= (threshold - 1e-9) * F.col("all")).select("func_id", "s")
+
+
+def _meeting(bins: DataFrame, srcs: DataFrame) -> DataFrame:
+    return bins.select(F.col("func_id").alias("bin_id"), "s").join(srcs.select(F.col("func_id").alias("src_id"), "s"), "s").select("bin_id", "src_id")
+
+
+def pair_similarity(pairs: DataFrame, b: DataFrame, s: DataFrame) -> DataFrame:
+    """bin_id, src_id, shared, jaccard, weighted of the given pairs that share a string. b, s: func_id, s, w."""
+    tb = totals(b).select(F.col("func_id").alias("bin_id"), F.col("n").alias("n_a"), F.col("w").alias("w_a"))
+    ts = totals(s).select(F.col("func_id").alias("src_id"), F.col("n").alias("n_b"), F.col("w").alias("w_b"))
+    each = pairs.select("bin_id", "src_id").distinct().join(b.select(F.col("func_id").alias("bin_id"), "s", "w"), "bin_id")
+    common = each.join(s.select(F.col("func_id").alias("src_id"), "s"), ["src_id", "s"]).groupBy("bin_id", "src_id").agg(F.count("*").alias("n_i"), F.sum("w").alias("w_i"))
+    return _scored(common.join(tb, "bin_id").join(ts, "src_id"))
+
+
 def similar_pairs(bins: DataFrame, srcs: DataFrame, threshold: float, rarity: DataFrame | None = None) -> DataFrame:
-    """bin_id, src_id, weighted of the pairs with weighted >= threshold, by a prefix filter: a function's strings are
-    ordered from rare to common, and of two functions that are similar enough, the rare ends must meet: what a function
-    has after its prefix weighs less than threshold times its total. So very common strings, which would join all
-    with all, are looked up for candidates only, never joined."""
+    """bin_id, src_id, shared, weighted of the pairs with weighted >= threshold. Candidates come from a prefix filter, so
+    very common strings, which would join all with all, are looked up for candidates only, never joined."""
     rarity = features.idf(bins) if rarity is None else rarity
     b, s = features.weighted(bins, rarity).where("w > 0"), features.weighted(srcs, rarity).where("w > 0")
-    from pyspark.sql import Window
+    found = _meeting(_prefix(b, F.col("w"), threshold), _prefix(s, F.col("w"), threshold)).distinct()
+    size = lambda x, c, w: totals(x).select(F.col("func_id").alias(c), F.col("w").alias(w))
+    ratio = F.least("x", "y") >= (threshold - 1e-9) * F.greatest("x", "y")
+    able = found.join(size(b, "bin_id", "x"), "bin_id").join(size(s, "src_id", "y"), "src_id").where(ratio)
+    return pair_similarity(able, b, s).where(F.round("weighted", 12) >= threshold).select("bin_id", "src_id", "shared", "weighted")
 
-    after = Window.partitionBy("func_id").orderBy(F.desc("w"), "s").rowsBetween(0, Window.unboundedFollowing)
-    total = Window.partitionBy("func_id")
-    prefix = lambda x: x.withColumn("rest", F.sum("w").over(after)).withColumn("all", F.sum("w").over(total)).where(F.col("rest") >= (threshold - 1e-9) * F.col("all")).select("func_id", "s", "w")
-    found = prefix(b).select(F.col("func_id").alias("bin_id"), "s").join(prefix(s).select(F.col("func_id").alias("src_id"), "s"), "s").select("bin_id", "src_id").distinct()
-    tb = totals(b).select(F.col("func_id").alias("bin_id"), F.col("w").alias("w_a"))
-    ts = totals(s).select(F.col("func_id").alias("src_id"), F.col("w").alias("w_b"))
-    ratio = F.least("w_a", "w_b") >= (threshold - 1e-9) * F.greatest("w_a", "w_b")
-    able = found.join(tb, "bin_id").join(ts, "src_id").where(ratio)
-    each = able.join(b.select(F.col("func_id").alias("bin_id"), "s", "w"), "bin_id")
-    common = each.join(s.select(F.col("func_id").alias("src_id"), "s"), ["src_id", "s"])
-    scored = common.groupBy("bin_id", "src_id", "w_a", "w_b").agg(F.sum("w").alias("w_i"), F.count("*").alias("shared"))
-    value = F.col("w_i") / (F.col("w_a") + F.col("w_b") - F.col("w_i"))
-    return scored.select("bin_id", "src_id", "shared", value.alias("weighted")).where(F.round("weighted", 12) >= threshold)
+
+def combined_candidates(bins: DataFrame, srcs: DataFrame, above: float, rarity: DataFrame | None = None) -> DataFrame:
+    """bin_id, src_id, shared, jaccard, weighted, score of the pairs whose combined score is above `above`: one of its two
+    parts must then be, so prefix filters for both parts find all of them."""
+    rarity = features.idf(bins) if rarity is None else rarity
+    b, s = features.weighted(bins, rarity), features.weighted(srcs, rarity)
+    plain = _meeting(_prefix(b, F.lit(1), above), _prefix(s, F.lit(1), above))
+    heavy = _meeting(_prefix(b.where("w > 0"), F.col("w"), above), _prefix(s.where("w > 0"), F.col("w"), above))
+    scored = pair_similarity(plain.unionByName(heavy), b, s).withColumn("score", combined(F.col("jaccard"), F.col("weighted")))
+    return scored.where(F.round("score", 12) > above)
 
 
 def combined(jaccard: Column, weighted: Column) -> Column:

@@ -330,8 +330,7 @@ def weighted_jaccard(spark, sf_dir):
 
 @query(f"""WITH {LINES}, {IDF} SELECT bin_id, src_id, round(0.35 * jaccard + 0.65 * weighted, 6) AS score FROM sim WHERE round(0.35 * jaccard + 0.65 * weighted, 12) > 0.25""")
 def combined_score_candidates(spark, sf_dir):
-    scored = similarity.similarity(*fx.by_lines(spark, sf_dir)).withColumn("score", similarity.combined(F.col("jaccard"), F.col("weighted")))
-    return scored.where(F.round("score", 12) > 0.25).select("bin_id", "src_id", r6("score"))
+    return similarity.combined_candidates(*fx.by_lines(spark, sf_dir), 0.25).select("bin_id", "src_id", r6("score"))
 
 
 _RANKED = "(SELECT bin_id, src_id, sc, row_number() OVER w AS r, lead(sc) OVER w AS nx FROM (SELECT bin_id, src_id, 0.35 * jaccard + 0.65 * weighted AS sc FROM sim) WHERE round(sc, 12) > 0.25 WINDOW w AS (PARTITION BY bin_id ORDER BY round(sc, 12) DESC, src_id))"
@@ -339,8 +338,8 @@ _RANKED = "(SELECT bin_id, src_id, sc, row_number() OVER w AS r, lead(sc) OVER w
 
 @query(f"""WITH {LINES}, {IDF} SELECT bin_id, src_id, round(sc, 6) AS score FROM {_RANKED} WHERE r = 1 AND round(sc, 12) > 0.75 AND (nx IS NULL OR round(sc - nx, 12) > 0.15)""")
 def top1_gap_confirm(spark, sf_dir):
-    scored = similarity.similarity(*fx.by_lines(spark, sf_dir)).select("bin_id", "src_id", similarity.combined(F.col("jaccard"), F.col("weighted")).alias("score"), F.col("src_id").alias("seq"))
-    return assign.best_with_gap(scored.where(F.round("score", 12) > 0.25), 0.75, 0.15).select("bin_id", "src_id", r6("score"))
+    scored = similarity.combined_candidates(*fx.by_lines(spark, sf_dir), 0.25).select("bin_id", "src_id", "score", F.col("src_id").alias("seq"))
+    return assign.best_with_gap(scored, 0.75, 0.15).select("bin_id", "src_id", r6("score"))
 
 
 @query(f"""WITH {LINES}, {IDF} SELECT bin_id, src_id, round(weighted, 6) AS weighted FROM (SELECT *, row_number() OVER (PARTITION BY bin_id ORDER BY round(weighted, 12) DESC, src_id) AS r FROM sim WHERE round(weighted, 12) >= 0.6) WHERE r = 1""")

@@ -8,7 +8,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symtrace.operators import assign, similarity
+from symtrace.functions.scalars import size_similarity
+from symtrace.operators import assign, features, similarity
 
 from .state import Inputs, State
 
@@ -29,9 +30,7 @@ def unique_string(inputs: Inputs, state: State) -> State:
 def string_set(inputs: Inputs, state: State) -> State:
     """Phase 2: combined Jaccard and weighted similarity; above 0.25 a candidate, above 0.75 with a gap confirmed."""
     bins = inputs.bin_strings.join(state.confirmed.select(F.col("bin_id").alias("func_id")), "func_id", "left_anti")
-    # Totals and rarity are over all of a function's strings; only open functions are paired.
-    pairs = similarity.similarity(bins, inputs.src_strings, inputs.rarity)
-    scored = pairs.withColumn("score", similarity.combined(F.col("jaccard"), F.col("weighted"))).where(F.round("score", 12) > 0.25)
+    scored = similarity.combined_candidates(bins, inputs.src_strings, 0.25, inputs.rarity)
     rows = scored.select("bin_id", "src_id", "score", F.lit("string_set").alias("method"), F.col("src_id").alias("order"))
     note = scored.select("bin_id", "src_id", "score", F.format_string("jaccard=%.3f, weighted=%.3f, shared=%d", "jaccard", "weighted", "shared").alias("reason"))
     state = state.propose(rows, 2).noted("phase2", note).settled()
@@ -63,13 +62,10 @@ def hybrid(inputs: Inputs, state: State) -> State:
     """Phase 4: open candidates are scored again by strings, calls and size; sources without a record leave."""
     mapping = state.confirmed.select("bin_id", "src_id")
     opened = state.open_candidates().join(inputs.src_info.select("src_id", F.col("size").alias("src_size")), "src_id").join(inputs.bin_info.select("bin_id", F.col("size").alias("bin_size")), "bin_id", "left")
-    keep = opened.select(F.col("bin_id").alias("func_id")).distinct()
-    pairs = similarity.similarity(inputs.bin_strings.join(keep, "func_id", "left_semi"), inputs.src_strings, inputs.rarity)
+    pairs = similarity.pair_similarity(opened, features.weighted(inputs.bin_strings, inputs.rarity), features.weighted(inputs.src_strings, inputs.rarity))
     strings = pairs.select("bin_id", "src_id", similarity.string_score(F.col("jaccard"), F.col("weighted")).alias("string"))
     calls = similarity.call_similarity(opened, inputs.bin_edges, inputs.src_edges, mapping)
     joined = opened.join(strings, ["bin_id", "src_id"], "left").join(calls, ["bin_id", "src_id"], "left")
-    from symtrace.functions.scalars import size_similarity
-
     string, call = F.coalesce("string", F.lit(0.0)), F.coalesce("call", F.lit(0.0))
     size = size_similarity(F.coalesce("bin_size", F.lit(0)), F.coalesce("src_size", F.lit(0)))
     scored = joined.select("bin_id", "src_id", similarity.hybrid(string, call, size).alias("score"), F.lit("hybrid").alias("method"), "seq", string.alias("st"), call.alias("ca"), size.alias("si"))
