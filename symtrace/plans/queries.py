@@ -51,16 +51,16 @@ sim AS (SELECT bin_id, src_id, n_i AS shared, n_i / CAST(n_a + n_b - n_i AS DOUB
   FROM ov JOIN tb USING (bin_id) JOIN tc USING (src_id))"""
 
 
-def greedy_sql(source: str, weight: str, rounds: int) -> str:
-    """CTEs m1..mN, e1..eN of the iterated mutual best over source (bin_id, src_id, weight); `matched` is their union."""
-    out = [f"e0 AS (SELECT bin_id, src_id, {weight} AS w FROM {source})"]
+def greedy_sql(source: str, weight: str, rounds: int, t: str = "") -> str:
+    """CTEs of the iterated mutual best over source (bin_id, src_id, weight), their names ending in t; `matched` is their union."""
+    out = [f"e0{t} AS (SELECT bin_id, src_id, {weight} AS w FROM {source})"]
     for k in range(1, rounds + 1):
-        p = f"e{k - 1}"
+        p = f"e{k - 1}{t}"
         out.append(
-            f"m{k} AS (SELECT bin_id, src_id FROM (SELECT *, row_number() OVER (PARTITION BY bin_id ORDER BY w DESC, bin_id, src_id) AS rb, row_number() OVER (PARTITION BY src_id ORDER BY w DESC, bin_id, src_id) AS rs FROM {p}) WHERE rb = 1 AND rs = 1)"
+            f"m{k}{t} AS (SELECT bin_id, src_id FROM (SELECT *, row_number() OVER (PARTITION BY bin_id ORDER BY w DESC, bin_id, src_id) AS rb, row_number() OVER (PARTITION BY src_id ORDER BY w DESC, bin_id, src_id) AS rs FROM {p}) WHERE rb = 1 AND rs = 1)"
         )
-        out.append(f"e{k} AS (SELECT * FROM {p} WHERE bin_id NOT IN (SELECT bin_id FROM m{k}) AND src_id NOT IN (SELECT src_id FROM m{k}))")
-    return ", ".join(out) + ", matched AS (" + " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(1, rounds + 1)) + ")"
+        out.append(f"e{k}{t} AS (SELECT * FROM {p} WHERE bin_id NOT IN (SELECT bin_id FROM m{k}{t}) AND src_id NOT IN (SELECT src_id FROM m{k}{t}))")
+    return ", ".join(out) + f", matched{t} AS (" + " UNION ALL ".join(f"SELECT * FROM m{k}{t}" for k in range(1, rounds + 1)) + ")"
 
 
 GRAPH = """se AS (SELECT DISTINCT l_suppkey AS caller_id, 100000 + l_partkey AS callee_id FROM lineitem), be AS (SELECT DISTINCT l_suppkey AS caller_id, 100000 + l_partkey AS callee_id FROM lineitem WHERE l_orderkey % 10 <> 0),
@@ -207,10 +207,10 @@ def ref_fanout(spark, sf_dir):
     return extract.ref_fanout(joined).select("func_id", "string_id", "ref_type")
 
 
-@query("""SELECT conv_id, turn, last_value(CASE WHEN role <> 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS caller FROM conversations""")
+@query("""SELECT conv_id, turn, coalesce(last_value(CASE WHEN role <> 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS caller FROM conversations""")
 def last_opened_caller(spark, sf_dir):
     turns = fx.table(spark, sf_dir, "conversations").withColumn("opens", F.col("role") != "user")
-    return source_scan.last_opened(turns, "conv_id", "turn", "opens", "turn").select("conv_id", "turn", "caller")
+    return source_scan.last_opened(turns, "conv_id", "turn", "opens", "turn").select("conv_id", "turn", F.coalesce("caller", F.lit(-1)).alias("caller"))
 
 
 @query("""SELECT o_orderkey AS addr, s_suppkey AS id FROM orders JOIN (SELECT s_suppkey, s_suppkey * 500 AS lo, s_suppkey * 500 + 199 AS hi FROM supplier) ON o_orderkey BETWEEN lo AND hi""")
@@ -542,7 +542,25 @@ def v2_pipeline(spark, sf_dir):
     return _pipeline("v2", spark, sf_dir)
 
 
-@query(None)
+_DOC_EDGES = "SELECT DISTINCT l_suppkey * 2 + {0} AS f, l_partkey * 2 + {0} AS g FROM lineitem WHERE l_linenumber = 1 AND l_suppkey <> l_partkey"
+_V3 = f"""WITH {SENTENCES}, {EVIDENCE}, {greedy_sql("ev", "evidence", 6)},
+bi AS (SELECT DISTINCT f AS func_id, s FROM ({_DOC_EDGES.format(1)} AND l_orderkey % 10 <> 0) JOIN b ON b.func_id = g), ci AS (SELECT DISTINCT f AS func_id, s FROM ({_DOC_EDGES.format(0)}) JOIN c ON c.func_id = g),
+ev2 AS (SELECT bin_id, src_id, count(*) AS evidence FROM (SELECT s, min(func_id) AS bin_id FROM bi GROUP BY s HAVING count(*) = 1) JOIN (SELECT s, min(func_id) AS src_id FROM ci GROUP BY s HAVING count(*) = 1) USING (s)
+  WHERE bin_id NOT IN (SELECT bin_id FROM matched) AND src_id NOT IN (SELECT src_id FROM matched) GROUP BY 1, 2), {greedy_sql("ev2", "evidence", 8, "_2")},
+done AS (SELECT * FROM matched UNION ALL SELECT * FROM matched_2),
+nn AS (SELECT greatest(count(DISTINCT func_id), 1) AS n FROM b), idf AS (SELECT s, ln((n + 1.0) / (count(*) + 1.0)) AS idf FROM b, nn GROUP BY s, n),
+bw AS (SELECT func_id, s, coalesce(idf, 1.0) AS w FROM bi LEFT JOIN idf USING (s) WHERE func_id NOT IN (SELECT bin_id FROM done)), cw AS (SELECT func_id, s, coalesce(idf, 1.0) AS w FROM ci LEFT JOIN idf USING (s) WHERE func_id NOT IN (SELECT src_id FROM done)),
+sim AS (SELECT bin_id, src_id, round(w_i / nullif(w_a + w_b - w_i, 0), 12) AS wt FROM (SELECT bw.func_id AS bin_id, cw.func_id AS src_id, sum(bw.w) AS w_i FROM bw JOIN cw USING (s) GROUP BY 1, 2)
+  JOIN (SELECT func_id AS bin_id, sum(w) AS w_a FROM bw GROUP BY 1) USING (bin_id) JOIN (SELECT func_id AS src_id, sum(w) AS w_b FROM cw GROUP BY 1) USING (src_id)),
+near AS (SELECT * FROM sim WHERE wt >= 0.6), {greedy_sql("near", "wt", 14, "_3")},
+conf AS (SELECT bin_id, src_id, CAST(0.95 AS DOUBLE) AS confidence, 'unique_string_direct' AS method FROM matched UNION ALL SELECT bin_id, src_id, 0.8, 'unique_string_indirect' FROM matched_2
+  UNION ALL SELECT bin_id, src_id, wt * 0.85, 'indirect_string_set' FROM matched_3 JOIN near USING (bin_id, src_id))
+SELECT bin_id AS bin_func_id, printf('0x%08x', bin_id) AS bin_address, src_id AS src_func_id, y.source || '_' || src_id AS src_func_name, y.lang AS src_file_path, round(confidence, 6) AS confidence, method,
+  CASE WHEN method LIKE '%indirect%' THEN 'indirect' ELSE 'direct' END AS ref_type, CAST((SELECT count(*) FROM b JOIN c USING (s) WHERE b.func_id = bin_id AND c.func_id = src_id) AS INTEGER) AS shared_strings, CAST(0 AS DOUBLE) AS call_similarity
+FROM conf JOIN documents x ON x.doc_id = bin_id JOIN documents y ON y.doc_id = src_id"""
+
+
+@query(_V3)
 def v3_pipeline(spark, sf_dir):
     return _pipeline("v3", spark, sf_dir)
 
