@@ -7,9 +7,11 @@ after 2t rounds at the latest, and a coordinate keeps its smallest value. Equal
 with concentration bounds; classes that agree in a whole band meet in a bucket.
 
 Within a bucket every class is first compared with the bucket's smallest, and links are joined into components. Only
-classes of one bucket that are still in different components are then compared pairwise, so a large group of near
-copies doesn't become all its pairs, while no candidate pair that could link two components is left out. Every link is
-confirmed on the full sets of words, never on hashes.
+classes of one bucket that are still in different components are then compared pairwise, and of those only the ones
+that can link at all. Shingles that few of these classes have are rare; a pair shares at most the smaller of its numbers
+of other shingles, plus the rare ones that it shares, which an equality join counts; and a link needs 180 * shared >=
+80 * (size + size). So a large group of near copies doesn't become all its pairs, while no candidate pair that could
+link two components is left out. Every link is confirmed on the full sets of words.
 
 Bands: 48 of 6 coordinates; a pair at the limit of 0.8 shares no band with a chance of (1-0.8^6)^48 < 5e-7.
 
@@ -25,7 +27,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _util as u
@@ -33,6 +36,12 @@ from .components import components
 
 BANDS, ROWS = 48, 6
 PERCENT = 80
+#: Words whose hashes a worker remembers at a time.
+REMEMBERED = 100_000
+#: So many ids (4 MB) are sent to all executors instead of shuffling the texts they belong to.
+FEW_IDS = 500_000
+#: A shingle is rare if so many classes of open buckets have it at most.
+RARE = 64
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -105,7 +114,7 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in u.pieces(b, 1024):
+            for x in u.pieces(b, 128):
                 words = [tokens(t) for t in x.column(1).to_pylist()]
                 hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words), np.int64).reshape(-1, 2)
                 none = np.array([not w for w in words], bool)
@@ -121,8 +130,8 @@ def buckets(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
         for b in batches:
-            for x in u.pieces(b, 256):
-                if len(memo) > 500_000:
+            for x in u.pieces(b, 128):
+                if len(memo) > REMEMBERED:
                     memo.clear()
                 found = [(r, w) for r, w in zip(x.column(0).to_pylist(), map(tokens, x.column(1).to_pylist()), strict=True) if w]
                 if found:
@@ -132,20 +141,35 @@ def buckets(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return texts.select("rep", "text").mapInArrow(run, "rep long, key long")
 
 
+def _compressed(texts: DataFrame) -> DataFrame:
+    """rep, text of texts, the text as compressed bytes: it is shuffled with every pair that it is in."""
+    schema = pa.schema([("rep", pa.int64()), ("text", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=6).compress
+        for b in batches:
+            for x in u.pieces(b, 128):
+                yield u.batch(schema, [x.column(0), [pack(t.encode("utf-8", "surrogatepass")) for t in x.column(1).to_pylist()]])
+
+    return texts.mapInArrow(run, "rep long, text binary")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, right = None, set()
+        unpack = zstandard.ZstdDecompressor().decompress
+        words = lambda t: unpack(t).lower().split()
         for batch in batches:
             for x in u.pieces(batch, 256):
                 keep = []
                 a, b, left_texts, right_texts = x.columns
                 for i, j, s, t in zip(a.to_pylist(), b.to_pylist(), left_texts.to_pylist(), right_texts.to_pylist(), strict=True):
                     if j != last:
-                        last, right = j, shingles(tokens(t), k)
-                    left = shingles(tokens(s), k)
+                        last, right = j, shingles(words(t), k)
+                    left = shingles(words(s), k)
                     both = len(left & right)
                     if 100 * both >= percent * (len(left) + len(right) - both):
                         keep.append((i, j))
@@ -162,8 +186,9 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
     cols = u.id_text(docs, id_col, text_col)
     members = u.materialise(classes(cols, k), "classes")
     known = members.where("doc_id is not null and h1 is not null")
-    least = known.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n")).alias("x"))
-    reps = u.materialise(least.select("h1", "h2", F.col("x.doc_id").alias("rep"), "x.n"), "reps")
+    by_id = known.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("n"), F.first("n_shingles").alias("size"))
+    least = by_id.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "size")).alias("x"))
+    reps = u.materialise(least.select("h1", "h2", F.col("x.doc_id").alias("rep"), "x.n", "x.size"), "reps")
     texts = u.materialise(_texts(cols, reps), "texts")
     keyed = u.materialise(buckets(texts, k, bands, rows), "buckets")
     shared = u.unkeyed(keyed.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b < last").select("key", "b"), "key")
@@ -171,16 +196,19 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
     u.drop_files(keyed)
     stars = u.materialise(meeting.where("a <> b").select("a", "b").distinct(), "stars")
     ends = stars.select(F.col("a").alias("rep")).unionByName(stars.select(F.col("b").alias("rep"))).distinct()
-    near = u.materialise(texts.join(ends, "rep", "left_semi"), "near")
+    ends = u.materialise(ends, "ends")
+    ends = F.broadcast(ends) if ends.count() <= FEW_IDS else ends
+    near = u.materialise(_compressed(texts.join(ends, "rep", "left_semi")), "near")
     links = u.materialise(verify(stars, near, k, percent), "links")
     roots = u.materialise(components(links), "roots")
-    open_pairs = u.materialise(_open_pairs(meeting, roots).join(stars, ["a", "b"], "left_anti"), "open")
+    rows = u.materialise(_open(meeting, roots), "open")
+    open_pairs = u.materialise(_able_pairs(rows, near, reps, k, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
     if not open_pairs.isEmpty():
         links = u.materialise(links.unionByName(verify(open_pairs, near, k, percent)), "links")
         roots = u.materialise(components(links), "roots")
-    for done in (meeting, stars, near, open_pairs):
+    for done in (meeting, stars, near, rows, open_pairs):
         u.drop_files(done)
-    by_class = reps.drop("n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
+    by_class = reps.drop("n", "size").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
     joined = members.join(by_class, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "h1", "h2")
@@ -193,19 +221,87 @@ def _texts(cols: DataFrame, reps: DataFrame) -> DataFrame:
     return texts if reps.where("n > 1").isEmpty() else texts.distinct()
 
 
-def _open_pairs(meeting: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket that are in different components, a > b. Buckets are first reduced to their
-    components, so only buckets with several of them make any pair."""
+def _several(rows: DataFrame) -> DataFrame:
+    """rows (key, root, ...) of the buckets that hold more than one component."""
+    keys = rows.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
+    return rows.join(u.unkeyed(keys, "key"), "key", "left_semi")
+
+
+def _open(meeting: DataFrame, roots: DataFrame) -> DataFrame:
     root = roots.withColumnRenamed("node", "a")
-    rows = meeting.join(root, "a", "left").select("key", "a", F.coalesce("root", "a").alias("root"))
-    several = rows.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("key")
-    several = u.unkeyed(several, "key")
-    rows = rows.join(several, "key", "left_semi")
-    groups = rows.select("key", "root").distinct()
-    pairs = groups.join(groups.select("key", F.col("root").alias("other")), "key").where("root < other")
-    left = pairs.join(rows, ["key", "root"]).select("key", "other", F.col("a").alias("x"))
-    both = left.join(rows.select("key", F.col("root").alias("other"), F.col("a").alias("y")), ["key", "other"])
-    return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    return _several(meeting.join(root, "a", "left").select("key", "a", F.coalesce("root", "a").alias("root")))
+
+
+def _able_pairs(rows: DataFrame, near: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, of the open rows (key, a, root) that are in different components and may link. Shingles are
+    told apart by 32 bits here: where two collide, classes seem to share more than they do, never less. A class has
+    `most` shingles that aren't rare; it `lacks` what a link with the smallest class of its bucket needs beyond them."""
+    schema = pa.schema([("a", pa.int64()), ("h", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, int] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for x in u.pieces(b, 128):
+                if len(memo) > REMEMBERED:
+                    memo.clear()
+                hashes = [np.unique(shingle_hashes(w, k, memo).astype(np.uint32)) if w else np.empty(0, np.uint32) for w in (unpack(t).lower().split() for t in x.column(1).to_pylist())]
+                yield u.batch(schema, [np.repeat(x.column(0).to_numpy(), [len(h) for h in hashes]), np.concatenate(hashes).view(np.int32)])
+
+    texts = near.join(rows.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi")
+    each = u.materialise(texts.select("rep", "text").mapInArrow(run, "a long, h int"), "shingles")
+    few = u.unkeyed(each.withColumn("h", F.col("h").cast("long")).groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") <= RARE), "h")
+    rare = u.materialise(each.withColumn("h", F.col("h").cast("long")).join(few, "h"), "rare")
+    counts = rare.groupBy("a").agg(F.count("*").alias("n"), F.count(F.when(F.col("df") > 1, 1)).alias("common"))
+    # An id with several texts has no bounds: its size is the least, and all it has counts as shared.
+    sizes = reps.groupBy("rep").agg(F.min("size").alias("size"), F.count("*").alias("texts")).withColumnRenamed("rep", "a")
+    known = sizes.join(u.unkeyed(counts, "a"), "a", "left")
+    facts = known.select("a", "size", F.when(F.col("texts") == 1, F.col("size") - F.coalesce("n", F.lit(0))).otherwise(1 << 40).alias("most"), F.coalesce("common", F.lit(0)).alias("common"))
+    rows = rows.join(u.unkeyed(facts, "a"), "a")
+    least = u.unkeyed(rows.groupBy("key").agg(F.min("size").alias("least")), "key")
+    rows = u.materialise(rows.join(least, "key"), "rows")
+    lacks = F.ceil(percent * (F.col("size") + F.col("least")) / (100.0 + percent) - F.col("most") - 1e-9)
+    alive = u.materialise(_several(rows.where(lacks <= 0).select("key", "a", "root", "size", "most")), "alive")
+    # A class may lack shingles in one bucket and none in another: what counts is the least that it lacks where it does.
+    own = rows.groupBy("a").agg(F.min("root").alias("root"), F.max("size").alias("size"), F.max("most").alias("most"), F.max("common").alias("common"), F.min(lacks).alias("least"), F.min(F.when(lacks > 0, lacks)).alias("lacks"))
+    need = lambda shared, n, m: (100.0 + percent) * shared >= percent * (n + m)
+    return _component_pairs(alive, need).unionByName(_rare_pairs(rare.where("df > 1"), own, need)).distinct()
+
+
+def _rare_pairs(rare: DataFrame, own: DataFrame, need) -> DataFrame:
+    """Pairs that can link only by the rare shingles they share: a class that lacks n for a link must share n of its
+    rare ones with its partner, so at least one of its rarest, all but n - 1 of them. What a pair shares of the rest can't
+    be more than those n - 1."""
+    lacking = own.where("common >= lacks").select("a", "root", "size", "most", "common", "lacks", (F.col("common") - F.col("lacks") + 1).alias("first"))
+    w = Window.partitionBy("a").orderBy("df", "h")
+    rarest = rare.join(u.unkeyed(lacking.select("a", "first"), "a"), "a").withColumn("r", F.row_number().over(w)).where("r <= first").select("h", F.col("a").alias("x"))
+    met = rarest.join(rare.select("h", F.col("a").alias("y")), "h").where("x <> y").groupBy("x", "y").agg(F.count("*").alias("n"))
+    one = lacking.drop("first").withColumnRenamed("a", "x")
+    two = own.where("common >= least").select(F.col("a").alias("y"), F.col("root").alias("r2"), F.col("size").alias("s2"), F.col("most").alias("m2"), F.col("common").alias("c2"))
+    both = met.join(one, "x").join(two, "y").where("root <> r2")
+    share = F.least(F.col("n") + F.col("lacks") - 1, "common", "c2") + F.least("most", "m2")
+    return both.where(need(share, F.col("size"), F.col("s2"))).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+
+def _component_pairs(rows: DataFrame, need) -> DataFrame:
+    """Pairs of different components that meet in a bucket and may link without a rare shingle. Two components are paired
+    bucket by bucket, or, where they meet in so many buckets that this would repeat pairs, once as wholes."""
+    here = u.materialise(rows.groupBy("key", "root").agg(F.count("*").alias("n")), "groups")
+    there = here.select("key", F.col("root").alias("other"), F.col("n").alias("m"))
+    meet = u.materialise(here.join(there, "key").where("root < other").select("key", "root", "other", (F.col("n") * F.col("m")).alias("pairs")), "meet")
+    members = u.materialise(rows.select("root", "a", "size", "most").distinct(), "members")
+    whole = members.groupBy("root").agg(F.count("*").alias("n"))
+    cost = meet.groupBy("root", "other").agg(F.sum("pairs").alias("pairs"))
+    cost = cost.join(whole, "root").join(whole.select(F.col("root").alias("other"), F.col("n").alias("m")), "other")
+    way = u.materialise(cost.select("root", "other", (F.col("pairs") <= F.col("n") * F.col("m")).alias("by_key"), (F.col("n") > F.col("m")).alias("turn")), "way")
+    may = need(F.least("most", "most2"), F.col("size"), F.col("size2"))
+    second = [F.col("root").alias("other"), F.col("a").alias("b"), F.col("size").alias("size2"), F.col("most").alias("most2")]
+    # The smaller component is spread out first, the larger one only as far as its members may link.
+    small, large = F.when(F.col("turn"), F.col("other")).otherwise(F.col("root")), F.when(F.col("turn"), F.col("root")).otherwise(F.col("other"))
+    once = way.where("not by_key").select(small.alias("root"), large.alias("other")).join(members, "root").join(members.select(*second), "other").where(may)
+    keyed = meet.join(way.where("by_key"), ["root", "other"]).select("key", "root", "other").join(rows, ["key", "root"]).join(rows.select("key", *second), ["key", "other"]).where(may)
+    both = once.select("a", "b").unionByName(keyed.select("a", "b"))
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def near_digest(docs: DataFrame, k: int = 2, **options) -> DataFrame:
