@@ -58,6 +58,7 @@ def shared_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     lines = keyed.mapInArrow(_lines(least), "doc_id long, row long, pos int, h1 long, h2 long")
     keys = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
+    keys = u.unkeyed(keys, "h1", "h2")
     return lines.join(keys, ["h1", "h2"]).where("doc_id <> first").select("doc_id", "row", "pos")
 
 
