@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; where that is unset (tests), in a local one."""
+    """A reliable checkpoint in the folder of spark.checkpoint.dir; where that is unset (tests), in a local one. A frame
+    that is a checkpoint already stays as it is."""
+    if getattr(df, "_is_cut", False):
+        return df
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="symtrace-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    out._is_cut = True
+    return out

@@ -391,7 +391,7 @@ pairs AS (SELECT DISTINCT ub.x AS bin_id, us.y AS src_id FROM ub JOIN seeds ON s
 def neighbor_inference(spark, sf_dir):
     bins, src, seeds, opened = _unseeded(spark, sf_dir)
     pairs = similarity.neighbour_candidates(opened.where("bin_id % 100 = 0 and bin_id > 100000").select("bin_id"), bins, src, seeds)
-    found = similarity.call_similarity(pairs, bins, src, seeds).where(F.round("call", 12) > 0.3)
+    found = similarity.call_similarity(pairs, bins, src, seeds, two_hops=True).where(F.round("call", 12) > 0.3)
     return found.select("bin_id", "src_id", F.round(F.col("call") * 0.8, 6).alias("score"))
 
 

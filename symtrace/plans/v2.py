@@ -51,7 +51,7 @@ def call_graph(inputs: Inputs, state: State) -> State:
     note = boosted.where(up).select("bin_id", "src_id", F.col("call").alias("score"), F.format_string("call_similarity=%.3f", "call").alias("reason"))
     lonely = inputs.bin_info.select("bin_id").join(state.confirmed.select("bin_id"), "bin_id", "left_anti").join(state.candidates.select("bin_id").distinct(), "bin_id", "left_anti")
     pairs = similarity.neighbour_candidates(lonely, inputs.bin_edges, inputs.src_edges, mapping).join(inputs.src_info.select("src_id"), "src_id", "left_semi")
-    found = similarity.call_similarity(pairs, inputs.bin_edges, inputs.src_edges, mapping).where(F.round("call", 12) > 0.3)
+    found = similarity.call_similarity(pairs, inputs.bin_edges, inputs.src_edges, mapping, two_hops=True).where(F.round("call", 12) > 0.3)
     rows = found.select("bin_id", "src_id", (F.col("call") * 0.8).alias("score"), F.lit("callgraph").alias("method"), F.col("src_id").alias("order"))
     note2 = found.select("bin_id", "src_id", F.col("call").alias("score"), F.format_string("neighbor_infer, call_similarity=%.3f", "call").alias("reason"))
     state = replace(state, candidates=after).propose(rows, 3).noted("phase3", note).noted("phase3", note2).settled()
