@@ -184,11 +184,10 @@ def rewrite(docs: DataFrame, planned: DataFrame, out_dir: str, old: Column | Non
     """Write the affected shards, and only those, to out_dir/shard=N, all columns of docs; returns their numbers.
     Rows of an affected shard are dealt over several files by hash, so a shard is never one task."""
     touched = affected(planned)
-    shard, crc = u.fresh("shard", docs), u.fresh("crc", docs)
-    size = u.fresh("size", docs)
+    names = {c: u.fresh(c, docs) for c in ("shard", "crc", "size", "key_id", "key_crc", "key_size")}
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    keyed = docs.withColumn(crc, F.crc32(data)).withColumn(size, (F.octet_length(data) + 1).cast("long"))
-    to = planned.where(F.col("shard").isin(touched)).select(F.col("doc_id").alias("__i"), F.col("text_crc32").alias("__c"), F.col("size").alias("__s"), F.col("shard").alias(shard)).distinct()
-    joined = keyed.join(to, F.col(id_col).cast("long").eqNullSafe(F.col("__i")) & (keyed[crc] == F.col("__c")) & (keyed[size] == F.col("__s")))
-    joined.drop("__i", "__c", "__s", crc, size).write.partitionBy(shard).mode("overwrite").parquet(out_dir)
+    keyed = docs.withColumn(names["crc"], F.crc32(data)).withColumn(names["size"], (F.octet_length(data) + 1).cast("long"))
+    to = planned.where(F.col("shard").isin(touched)).select(F.col("doc_id").alias(names["key_id"]), F.col("text_crc32").alias(names["key_crc"]), F.col("size").alias(names["key_size"]), F.col("shard").alias(names["shard"])).distinct()
+    same = keyed[id_col].cast("long").eqNullSafe(to[names["key_id"]]) & (keyed[names["crc"]] == to[names["key_crc"]]) & (keyed[names["size"]] == to[names["key_size"]])
+    keyed.join(to, same).select(*docs.columns, names["shard"]).write.partitionBy(names["shard"]).mode("overwrite").parquet(out_dir)
     return touched
