@@ -79,14 +79,14 @@ calls AS (SELECT bin_id, src_id, (coalesce(up.n_i / CAST(nullif(up.n_m + up.n_s
 UNSEEDED = "pairs AS (SELECT id AS bin_id, id AS src_id FROM nodes WHERE id % 10 = 0)"
 #: Results of the reports: similar documents stand for exported matches.
 RESULTS = f"""{LINES}, {IDF}, res AS (SELECT bin_id AS bin_func_id, printf('0x%08x', bin_id) AS bin_address, src_id AS src_func_id, 'src' || src_id || '_fn' AS src_func_name, round(0.35 * jaccard + 0.65 * weighted, 6) AS confidence,
-  CASE WHEN weighted >= 0.6 THEN 'indirect_string_set' ELSE 'string_set' END AS method, shared AS shared_strings FROM sim)"""
+  CASE WHEN weighted >= 0.6 THEN 'indirect_multi_string' ELSE 'string_set' END AS method, shared AS shared_strings FROM sim)"""
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = similarity.similarity(*fx.by_lines(spark, sf_dir))
     return pairs.select(
         F.col("bin_id").alias("bin_func_id"), F.format_string("0x%08x", "bin_id").alias("bin_address"), F.col("src_id").alias("src_func_id"), F.concat(F.lit("src"), F.col("src_id").cast("string"), F.lit("_fn")).alias("src_func_name"),
-        F.round(similarity.combined(F.col("jaccard"), F.col("weighted")), 6).alias("confidence"), F.when(F.col("weighted") >= 0.6, "indirect_string_set").otherwise("string_set").alias("method"), F.col("shared").alias("shared_strings"),
+        F.round(similarity.combined(F.col("jaccard"), F.col("weighted")), 6).alias("confidence"), F.when(F.col("weighted") >= 0.6, "indirect_multi_string").otherwise("string_set").alias("method"), F.col("shared").alias("shared_strings"),
     )
 
 
@@ -506,7 +506,7 @@ def name_search(spark, sf_dir):
     return report.search(results(spark, sf_dir), "C1__FN").select("bin_func_id", "src_func_id", "src_func_name", "confidence")
 
 
-@query(f"""WITH {RESULTS} SELECT 'rename(' || bin_address || ', "' || src_func_name || '")  # ' || printf('%.2f', confidence) AS line FROM res WHERE confidence >= 0.7""")
+@query(f"""WITH {RESULTS} SELECT '    (' || bin_address || ', "' || src_func_name || '"),  # ' || printf('%.3f', confidence) AS line FROM res WHERE confidence >= 0.7""")
 def rename_script(spark, sf_dir):
     return report.rename_lines(results(spark, sf_dir))
 
@@ -554,7 +554,7 @@ sim AS (SELECT bin_id, src_id, round(w_i / nullif(w_a + w_b - w_i, 0), 12) AS wt
   JOIN (SELECT func_id AS bin_id, sum(w) AS w_a FROM bw GROUP BY 1) USING (bin_id) JOIN (SELECT func_id AS src_id, sum(w) AS w_b FROM cw GROUP BY 1) USING (src_id)),
 near AS (SELECT * FROM sim WHERE wt >= 0.6), {greedy_sql("near", "wt", 14, "_3")},
 conf AS (SELECT bin_id, src_id, CAST(0.95 AS DOUBLE) AS confidence, 'unique_string_direct' AS method FROM matched UNION ALL SELECT bin_id, src_id, 0.8, 'unique_string_indirect' FROM matched_2
-  UNION ALL SELECT bin_id, src_id, wt * 0.85, 'indirect_string_set' FROM matched_3 JOIN near USING (bin_id, src_id))
+  UNION ALL SELECT bin_id, src_id, wt * 0.85, 'indirect_multi_string' FROM matched_3 JOIN near USING (bin_id, src_id))
 SELECT bin_id AS bin_func_id, printf('0x%08x', bin_id) AS bin_address, src_id AS src_func_id, y.source || '_' || src_id AS src_func_name, y.lang AS src_file_path, round(confidence, 6) AS confidence, method,
   CASE WHEN method LIKE '%indirect%' THEN 'indirect' ELSE 'direct' END AS ref_type, CAST((SELECT count(*) FROM b JOIN c USING (s) WHERE b.func_id = bin_id AND c.func_id = src_id) AS INTEGER) AS shared_strings, CAST(0 AS DOUBLE) AS call_similarity
 FROM conf JOIN documents x ON x.doc_id = bin_id JOIN documents y ON y.doc_id = src_id"""

@@ -42,12 +42,21 @@ def summary(results: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def rename_lines(results: DataFrame, at_least: float = scalars.MEDIUM) -> DataFrame:
-    """One line of a rename script for each match that is certain enough, the surest first."""
+    """One line of a rename script for each match that is certain enough, the surest first: address, name, confidence."""
     address = F.concat(F.lit("0x"), F.regexp_replace("bin_address", "^0[xX]", ""))
-    line = F.format_string('rename(%s, "%s")  # %.2f', address, "src_func_name", "confidence")
+    name = F.regexp_replace(F.regexp_replace("src_func_name", r"\\", r"\\\\"), '"', r'\\"')
+    line = F.format_string('    (%s, "%s"),  # %.3f', address, name, "confidence")
     return results.where(F.col("confidence") >= at_least).orderBy(F.desc("confidence"), "bin_func_id").select(line.alias("line"))
 
 
+#: What stands around the lines, for the disassembler's Python: a list of matches and a loop that sets their names.
+HEAD = ("import idc", "", "MATCHES = [")
+TAIL = ("]", "", "done = sum(bool(idc.set_name(address, name, idc.SN_CHECK)) for address, name in MATCHES)", 'print(f"{done} of {len(MATCHES)} functions renamed")')
+
+
 def write_rename_script(results: DataFrame, path: str, at_least: float = scalars.MEDIUM) -> None:
-    """A text file of rename lines between a fixed head and tail."""
-    rename_lines(results, at_least).coalesce(1).write.mode("overwrite").text(path)
+    """A script of one text file; it has a line for each function of one program, so one task writes it."""
+    spark = results.sparkSession
+    fixed = spark.createDataFrame([(0, k, x) for k, x in enumerate(HEAD)] + [(2, k, x) for k, x in enumerate(TAIL)], "part int, at long, line string")
+    lines = rename_lines(results, at_least).select(F.lit(1).alias("part"), F.monotonically_increasing_id().alias("at"), "line")
+    fixed.unionByName(lines).coalesce(1).sortWithinPartitions("part", "at").select("line").write.mode("overwrite").text(path)

@@ -34,7 +34,7 @@ def indirect_similarity(inputs: Inputs, state: State, variant: str = "all") -> S
     if variant == "best":
         pairs = assign.best_per_bin(pairs, "weighted")
     matches, conflicts = assign.assign(pairs, "weighted")
-    method = "indirect_string_set"
+    method = "indirect_multi_string"
     state = state.confirm(matches.select("bin_id", "src_id", (F.col("weighted") * FACTOR).alias("confidence"), F.lit(method).alias("method")), 20)
     lost = conflicts.select("bin_id", "src_id", (F.col("weighted") * FACTOR * CONFLICT).alias("score"), F.lit(f"{method}_conflict").alias("method"), (-F.col("weighted") * 1e12).cast("long").alias("order"))
     return state.propose(lost, 20).settled()

@@ -125,7 +125,13 @@ def test_export_resume_and_reports(spark, tmp_path):
     assert rows.count() == before == again.confirmed.count()
     assert report.overall(rows.where("false")).first().avg_confidence is None
     assert report.summary(rows, rows.where("false")).first().match_percent is None
-    assert all(r.line.startswith("rename(0x") and "0x0x" not in r.line for r in report.rename_lines(rows.withColumn("bin_address", F.lit("0x0010"))).collect())
+    odd = rows.withColumn("bin_address", F.lit("0x0010")).withColumn("src_func_name", F.lit('a"b\\c')).limit(1)
+    report.write_rename_script(odd, str(tmp_path / "script"))
+    script = "\n".join(r.value for r in spark.read.text(str(tmp_path / "script")).collect())
+    named = []
+    fake = type("idc", (), {"SN_CHECK": 0, "set_name": staticmethod(lambda a, n, f: named.append((a, n)) or True)})
+    exec(script.replace("import idc", ""), {"idc": fake})
+    assert named == [(0x10, 'a"b\\c')]
 
 
 def test_empty_sides(spark):
