@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,9 @@ from . import _util as u
 TOP, CLASSES, TAILS = 1000, 32, 8
 SWEEPS = 8
 MIX = 0.05
-BLOCK_CHARS = 14 << 20
+BLOCK_CHARS = 32 << 20
+#: Tokens that are looked at together within a block.
+PART = 1 << 18
 #: Fixed word numbers in a block: the end of a text, which is also what comes before its first word.
 END = 0
 
@@ -53,22 +56,23 @@ class Block:
     """Documents as word numbers: ids (0: null), has_id, held (per document), ends (exclusive, in tokens), tokens, words
     (the dictionary; number 0 is the end), counts (training tokens by number)."""
 
-    def __init__(self, ids: list, texts: list[str]):
-        number: dict[bytes, int] = {b"": END}
-        flat, ends = [], []
+    def __init__(self):
+        self.number: dict[bytes, int] = {b"": END}
+        self.flat, self.ends, self.ids = array("i"), array("q"), []
+
+    def add(self, ids: list, texts: list[str]) -> None:
+        number = self.number
         for t in texts:
-            flat += [number.setdefault(w, len(number)) for w in t.encode("utf-8", "surrogatepass").lower().split()]
-            flat.append(END)
-            ends.append(len(flat))
-        self.ids = np.array([i or 0 for i in ids], np.int64)
-        self.has_id = np.array([i is not None for i in ids], np.int8)
-        self.held = np.array([is_held_out(i) for i in ids], np.int8)
-        self.tokens, self.ends, self.words = np.array(flat, np.int32), np.array(ends, np.int64), list(number)
+            self.flat.extend([number.setdefault(w, len(number)) for w in t.encode("utf-8", "surrogatepass").lower().split()])
+            self.flat.append(END)
+            self.ends.append(len(self.flat))
+        self.ids += ids
 
     def pack(self) -> tuple[int, bytes]:
-        parts = [self.ids.tobytes(), self.has_id.tobytes(), self.held.tobytes(), self.ends.tobytes(), self.tokens.tobytes(), b" ".join(self.words)]
-        head = np.array([len(p) for p in parts], np.int64).tobytes()
-        data = head + b"".join(parts)
+        ids, has_id = np.array([i or 0 for i in self.ids], np.int64), np.array([i is not None for i in self.ids], np.int8)
+        held = np.array([is_held_out(i) for i in self.ids], np.int8)
+        parts = [ids.tobytes(), has_id.tobytes(), held.tobytes(), self.ends.tobytes(), self.flat.tobytes(), b" ".join(self.number)]
+        data = b"".join([np.array([len(p) for p in parts], np.int64).tobytes(), *parts])
         return xxhash.xxh3_64_intdigest(data) - (1 << 63), zstandard.compress(data, 3)
 
     @classmethod
@@ -83,37 +87,52 @@ class Block:
         out.words = parts[5].split(b" ")
         return out
 
-    def training(self) -> np.ndarray:
-        """Whether each token is of a training document."""
-        return np.repeat(self.held == 0, np.diff(self.ends, prepend=0))
+    def doc_spans(self) -> Iterator[tuple[int, int]]:
+        """Ranges of documents of some PART tokens, so that what is computed a token stays small."""
+        at, n = 0, len(self.ends)
+        while at < n:
+            end = max(at + 1, int(np.searchsorted(self.ends, (self.ends[at - 1] if at else 0) + PART, "right")))
+            yield at, end
+            at = end
+
+    def spans(self) -> Iterator[tuple[int, int]]:
+        """The same as ranges of tokens."""
+        for at, end in self.doc_spans():
+            yield int(self.ends[at - 1]) if at else 0, int(self.ends[end - 1])
 
-    def before(self) -> np.ndarray:
-        """The token before each (END before the first of a document: the token before is then an end)."""
-        return np.concatenate([[END], self.tokens[:-1]]) if len(self.tokens) else self.tokens
+    def training(self, at: int, end: int) -> np.ndarray:
+        """Whether each token of a range is of a training document."""
+        return self.held[np.searchsorted(self.ends, np.arange(at, end), "right")] == 0
 
-    def after(self) -> np.ndarray:
-        return np.concatenate([self.tokens[1:], [END]]) if len(self.tokens) else self.tokens
+    def before(self, at: int, end: int) -> np.ndarray:
+        """The token before each of a range that begins a document (before a document's first token is an end)."""
+        return np.concatenate([[END], self.tokens[at : end - 1]]).astype(np.int32)
+
+    def after(self, at: int, end: int) -> np.ndarray:
+        return np.concatenate([self.tokens[at + 1 : end], [END]]).astype(np.int32)
 
     def counts(self) -> np.ndarray:
-        return np.bincount(self.tokens[self.training()], minlength=len(self.words))
+        out = np.zeros(len(self.words), np.int64)
+        for at, end in self.spans():
+            out += np.bincount(self.tokens[at:end][self.training(at, end)], minlength=len(out))
+        return out
 
 
 def blocks(docs: DataFrame, chars: int = BLOCK_CHARS) -> DataFrame:
     """docs (doc_id, text) as rows (block, data), on disk in the shared folder. A block has some `chars` code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
+        block, size = Block(), 0
         for b in batches:
             for x in u.pieces(b):
-                ids += x.column(0).to_pylist()
-                new = x.column(1).to_pylist()
-                texts += new
-                size += sum(map(len, new))
+                texts = x.column(1).to_pylist()
+                block.add(x.column(0).to_pylist(), texts)
+                size += sum(map(len, texts))
                 if size >= chars:
-                    yield u.batch(_PACKED, [[v] for v in Block(ids, texts).pack()])
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield u.batch(_PACKED, [[v] for v in Block(ids, texts).pack()])
+                    yield u.batch(_PACKED, [[v] for v in block.pack()])
+                    block, size = Block(), 0
+        if block.ids:
+            yield u.batch(_PACKED, [[v] for v in block.pack()])
 
     return u.materialise(docs.mapInArrow(run, "block long, data binary"), "blocks")
 
@@ -188,9 +207,11 @@ def _bigrams(packed: DataFrame, top: list[bytes]) -> np.ndarray:
 
     def rows(_: int, b: Block) -> list:
         code = np.array([0, *(place.get(w, 1) for w in b.words[1:])])
-        pair = (code[b.before()] * n + code[b.tokens])[b.training()]
-        found, times = np.unique(pair, return_counts=True)
-        return [found, times]
+        times = np.zeros(n * n, np.int64)
+        for at, end in b.spans():
+            times += np.bincount((code[b.before(at, end)] * n + code[b.tokens[at:end]])[b.training(at, end)], minlength=n * n)
+        found = np.flatnonzero(times)
+        return [found, times[found]]
 
     counts = np.zeros(n * n)
     for r in each_block(packed, schema, "pair long, n long", rows).groupBy("pair").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -230,12 +251,13 @@ def word_classes(packed: DataFrame, model: Model) -> DataFrame:
     def rows(_: int, b: Block) -> list:
         cls = np.array([-1, *(model.top.get(w, -1) for w in b.words[1:])])
         vote = np.where(cls >= 0, model.vote[cls], -1)
-        learn = b.training()
         votes = np.zeros((len(b.words), TAILS), np.int32)
-        for other in (b.before(), b.after()):
-            v = vote[other]
-            use = learn & (v >= 0)
-            votes += np.bincount(b.tokens[use].astype(np.int64) * TAILS + v[use], minlength=votes.size).reshape(votes.shape).astype(np.int32)
+        for at, end in b.spans():
+            learn = b.training(at, end)
+            for other in (b.before(at, end), b.after(at, end)):
+                v = vote[other]
+                use = learn & (v >= 0)
+                np.add.at(votes, (b.tokens[at:end][use], v[use]), 1)
         votes[cls >= 0] = 0
         n = b.counts()
         seen = n > 0
@@ -292,11 +314,14 @@ def score(docs: DataFrame, top: int = TOP, id_col: str = "doc_id", text_col: str
         for data in left.column("data").to_pylist()[:1]:
             b = Block.unpack(data)
             c, cls = codes(b, right)
-            learn = b.training()
-            pair = (cls[b.before()].astype(np.int64) * n + cls[b.tokens])[learn]
-            found, of, times = np.unique(pair, return_inverse=True, return_counts=True)
-            single = np.bincount(of, weights=(c[b.tokens] == 1)[learn], minlength=len(found)).astype(np.int64) if len(found) else times
-            out = {"pair": found, "n": times, "once": single}
+            times, single = np.zeros(n * n, np.int64), np.zeros(n * n, np.int64)
+            for at, end in b.spans():
+                learn, tokens = b.training(at, end), b.tokens[at:end]
+                pair = (cls[b.before(at, end)] * n + cls[tokens])[learn]
+                times += np.bincount(pair, minlength=n * n)
+                single += np.bincount(pair[c[tokens][learn] == 1], minlength=n * n)
+            found = np.flatnonzero(times)
+            out = {"pair": found, "n": times[found], "once": single[found]}
         return pa.Table.from_arrays([pa.array(out.get(f.name, []), type=f.type) for f in pair_schema], schema=pair_schema)
 
     sides = lambda: packed.groupBy("block").cogroup(known.groupBy("block"))
@@ -304,7 +329,7 @@ def score(docs: DataFrame, top: int = TOP, id_col: str = "doc_id", text_col: str
     for r in sides().applyInArrow(transitions, "pair long, n long, once long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect():
         joint[divmod(r["pair"], n)], singles[divmod(r["pair"], n)] = r["n"], r["once"]
 
-    log_class, log_unseen = _transition_logs(joint, singles, size[:n], once, total)
+    follow, unseen = _transitions(joint, singles, size[:n], once, total)
     denominator = total + 0.1 * (types + 1)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -313,23 +338,27 @@ def score(docs: DataFrame, top: int = TOP, id_col: str = "doc_id", text_col: str
         for data in left.column("data").to_pylist():
             b = Block.unpack(data)
             c, cls = codes(b, right)
-            starts = np.concatenate([[0], b.ends[:-1]])
-            add = lambda x: np.add.reduceat(x, starts)
-            base = np.log10((c + 0.1) / denominator)[b.tokens]
+            base = np.log10((c + 0.1) / denominator)
             emit = np.where(c > 0, c / np.maximum(size[cls], 1), 0.0)
             uni = c / max(total, 1.0)
-            here, before = cls[b.tokens], cls[b.before()]
-            p = (1 - MIX) * log_class[before, np.minimum(here, n - 1)] * emit[b.tokens] + MIX * uni[b.tokens]
-            own = np.where(c[b.tokens] > 0, (1 - log_unseen[before]) * p, log_unseen[before])
-            ids = pa.array(b.ids, mask=b.has_id == 0)
-            columns = [ids, pa.array(b.held == 1), np.diff(b.ends, prepend=0), add((c[b.tokens] > 0).astype(np.int64)), np.full(len(b.ids), int(total)), add(base), add(np.log10(own))]
-            tables.append(pa.Table.from_batches([u.batch(schema, [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(columns, schema, strict=True)])]))
+            for first, last in b.doc_spans():
+                at, end = int(b.ends[first - 1]) if first else 0, int(b.ends[last - 1])
+                starts = np.concatenate([[0], b.ends[first : last - 1] - at])
+                add = lambda x, starts=starts: np.add.reduceat(x, starts)
+                tokens, before = b.tokens[at:end], cls[b.before(at, end)]
+                known_token = c[tokens] > 0
+                p = (1 - MIX) * follow[before, np.minimum(cls[tokens], n - 1)] * emit[tokens] + MIX * uni[tokens]
+                own = np.where(known_token, (1 - unseen[before]) * p, unseen[before])
+                lengths = np.diff(b.ends[first:last], prepend=at)
+                ids = pa.array(b.ids[first:last], mask=b.has_id[first:last] == 0)
+                columns = [ids, b.held[first:last] == 1, lengths, add(known_token.astype(np.int64)), np.full(last - first, int(total)), add(base[tokens]), add(np.log10(own))]
+                tables.append(pa.Table.from_batches([u.batch(schema, columns)]))
         return pa.concat_tables(tables) if tables else schema.empty_table()
 
     return sides().applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _transition_logs(joint: np.ndarray, singles: np.ndarray, size: np.ndarray, once: int, total: float) -> tuple[np.ndarray, np.ndarray]:
+def _transitions(joint: np.ndarray, singles: np.ndarray, size: np.ndarray, once: int, total: float) -> tuple[np.ndarray, np.ndarray]:
     """p(class | class before) over known words, and the probability of an unseen word after each class (with one more
     row for unseen words as context). Both are smoothed by the rates over the whole corpus."""
     n = len(size)

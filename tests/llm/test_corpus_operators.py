@@ -180,7 +180,7 @@ def test_language_model(spark):
 
 def test_model_probabilities_add_up():
     joint = np.random.default_rng(0).integers(0, 50, (6, 6)).astype(float)
-    follow, unseen = lm._transition_logs(joint, joint // 5, joint.sum(0), 30, joint.sum())
+    follow, unseen = lm._transitions(joint, joint // 5, joint.sum(0), 30, joint.sum())
     assert np.allclose(follow.sum(1), 1) and ((unseen > 0) & (unseen < 1)).all()
 
 
