@@ -58,6 +58,7 @@ def greedy(pairs: DataFrame, weight: str, on_driver: int = ON_DRIVER) -> DataFra
 def assign(pairs: DataFrame, weight: str, confirmed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(matches, conflicts): pairs (bin_id, src_id, weight, ...) split by the greedy assignment. Ends that `confirmed`
     has are taken from the start, so pairs that touch them are conflicts."""
+    pairs = cut(pairs)  # used three times
     free = pairs
     if confirmed is not None:
         free = pairs.join(confirmed.select("bin_id"), "bin_id", "left_anti").join(confirmed.select("src_id").distinct(), "src_id", "left_anti")

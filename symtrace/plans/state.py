@@ -31,7 +31,9 @@ class Inputs:
 
     @classmethod
     def of(cls, bin_info: DataFrame, src_info: DataFrame, bin_strings: DataFrame, src_strings: DataFrame, bin_edges: DataFrame, src_edges: DataFrame) -> Inputs:
-        return cls(bin_info, src_info, bin_strings, src_strings, bin_edges, src_edges, features.indirect_strings(bin_edges, bin_strings), features.indirect_strings(src_edges, src_strings), features.idf(bin_strings))
+        """What is derived is checkpointed, as every phase reads it."""
+        indirect = [cut(features.indirect_strings(e, s)) for e, s in ((bin_edges, bin_strings), (src_edges, src_strings))]
+        return cls(bin_info, src_info, bin_strings, src_strings, bin_edges, src_edges, *indirect, cut(features.idf(bin_strings)))
 
 
 @dataclass(frozen=True)
