@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import features
+from .lineage import cut
 
 
 def overlaps(bins: DataFrame, srcs: DataFrame) -> DataFrame:
@@ -154,3 +155,18 @@ def neighbour_candidates(bins: DataFrame, bin_edges: DataFrame, src_edges: DataF
     first = bins.select(F.col("bin_id").alias("x")).join(both(bin_edges), "x").select(F.col("x").alias("bin_id"), F.col("y").alias("nb"))
     mapped = first.join(mapping.select(F.col("bin_id").alias("nb"), F.col("src_id").alias("x")), "nb").select("bin_id", "x").distinct()
     return mapped.join(both(src_edges), "x").select("bin_id", F.col("y").alias("src_id")).distinct()
+
+
+def inferred_pairs(bins: DataFrame, bin_edges: DataFrame, src_edges: DataFrame, mapping: DataFrame, above: float) -> DataFrame:
+    """bin_id, src_id, call: the pairs of neighbour_candidates whose call similarity is more than `above` (0 or more).
+    The mean of two sides is that much only if one of them is, so only such pairs are kept from either side's counts."""
+    m = mapping.select(F.col("bin_id").alias("nb"), F.col("src_id").alias("ns"))
+    sides = []
+    for own, other in (("callee_id", "caller_id"), ("caller_id", "callee_id")):
+        mapped = bin_edges.select(F.col(own).alias("bin_id"), F.col(other).alias("nb")).join(bins.select("bin_id"), "bin_id", "left_semi").join(m, "nb").select("bin_id", "ns").distinct()
+        near = src_edges.select(F.col(own).alias("src_id"), F.col(other).alias("ns")).distinct()
+        n_m, n_s = mapped.groupBy("bin_id").agg(F.count("*").alias("n_m")), near.groupBy("src_id").agg(F.count("*").alias("n_s"))
+        met = mapped.join(near, "ns").groupBy("bin_id", "src_id").agg(F.count("*").alias("n_i")).join(n_m, "bin_id").join(n_s, "src_id")
+        sides.append(met.where(F.col("n_i") / (F.col("n_m") + F.col("n_s") - F.col("n_i")) > above - 1e-9).select("bin_id", "src_id"))
+    pairs = cut(sides[0].unionByName(sides[1]).distinct())
+    return call_similarity(pairs, bin_edges, src_edges, mapping).where(F.round("call", 12) > above)

@@ -390,8 +390,8 @@ pairs AS (SELECT DISTINCT ub.x AS bin_id, us.y AS src_id FROM ub JOIN seeds ON s
 @query(f"""WITH {GRAPH}, {_TWO_HOPS}, {CALL} SELECT bin_id, src_id, round(call * 0.8, 6) AS score FROM calls WHERE round(call, 12) > 0.3""")
 def neighbor_inference(spark, sf_dir):
     bins, src, seeds, opened = _unseeded(spark, sf_dir)
-    pairs = similarity.neighbour_candidates(opened.where("bin_id % 100 = 0 and bin_id > 100000").select("bin_id"), bins, src, seeds)
-    found = similarity.call_similarity(pairs, bins, src, seeds, two_hops=True).where(F.round("call", 12) > 0.3)
+    # All open functions of F2. The SQL above has those numbered by hundreds over 100000 only: it is a part of this.
+    found = similarity.inferred_pairs(opened.select("bin_id"), bins, src, seeds, 0.3)
     return found.select("bin_id", "src_id", F.round(F.col("call") * 0.8, 6).alias("score"))
 
 
