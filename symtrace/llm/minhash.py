@@ -235,7 +235,8 @@ def _open(meeting: DataFrame, roots: DataFrame) -> DataFrame:
 def _able_pairs(rows: DataFrame, near: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b), a > b, of the open rows (key, a, root) that are in different components and may link. Shingles are
     told apart by 32 bits here: where two collide, classes seem to share more than they do, never less. A class has
-    `most` shingles that aren't rare; it `lacks` what a link with the smallest class of its bucket needs beyond them."""
+    `most` shingles that aren't rare; it `lacks` what a link with the smallest class of its bucket needs beyond them, or 1
+    where only a link with a larger class needs more."""
     schema = pa.schema([("a", pa.int64()), ("h", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,12 +259,14 @@ def _able_pairs(rows: DataFrame, near: DataFrame, reps: DataFrame, k: int, perce
     known = sizes.join(u.unkeyed(counts, "a"), "a", "left")
     facts = known.select("a", "size", F.when(F.col("texts") == 1, F.col("size") - F.coalesce("n", F.lit(0))).otherwise(1 << 40).alias("most"), F.coalesce("common", F.lit(0)).alias("common"))
     rows = rows.join(u.unkeyed(facts, "a"), "a")
-    least = u.unkeyed(rows.groupBy("key").agg(F.min("size").alias("least")), "key")
-    rows = u.materialise(rows.join(least, "key"), "rows")
-    lacks = F.ceil(percent * (F.col("size") + F.col("least")) / (100.0 + percent) - F.col("most") - 1e-9)
+    ends = u.unkeyed(rows.groupBy("key").agg(F.min("size").alias("least"), F.max("size").alias("greatest")), "key")
+    rows = u.materialise(rows.join(ends, "key"), "rows")
+    lack = lambda other: F.ceil(percent * (F.col("size") + other) / (100.0 + percent) - F.col("most") - 1e-9)
+    lacks, worst = lack(F.col("least")), lack(F.least("greatest", F.floor(F.col("size") * 100.0 / percent + 1e-9)))
     alive = u.materialise(_several(rows.where(lacks <= 0).select("key", "a", "root", "size", "most")), "alive")
     # A class may lack shingles in one bucket and none in another: what counts is the least that it lacks where it does.
-    own = rows.groupBy("a").agg(F.min("root").alias("root"), F.max("size").alias("size"), F.max("most").alias("most"), F.max("common").alias("common"), F.min(lacks).alias("least"), F.min(F.when(lacks > 0, lacks)).alias("lacks"))
+    # One that lacks none with the smallest class but some with the largest that it can link with lacks 1 at the least.
+    own = rows.groupBy("a").agg(F.min("root").alias("root"), F.max("size").alias("size"), F.max("most").alias("most"), F.max("common").alias("common"), F.min(lacks).alias("least"), F.min(F.when(worst > 0, F.greatest(lacks, F.lit(1)))).alias("lacks"))
     need = lambda shared, n, m: (100.0 + percent) * shared >= percent * (n + m)
     return _component_pairs(alive, need).unionByName(_rare_pairs(rare.where("df > 1"), own, need)).distinct()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+from symtrace.llm import minhash
 from symtrace.plans import queries
 
 
@@ -40,3 +41,16 @@ def test_neighbor_inference_has_all_open_functions(spark, tmp_path):
     found = {(r.bin_id, r.src_id): r.score for r in queries.QUERIES["neighbor_inference"](spark, str(tmp_path)).collect()}
     assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 2e-6 for k in found)
     assert {b for b, _ in found} >= {10, 100010, 100020}
+
+
+def test_near_duplicates_by_few_rare_shingles(spark):
+    """One passage in over 64 classes of spread sizes; pairs of 87 common shingles, 10 of their own and 3 rare ones that
+    both have: 90 of 110. The passage alone would do with the smaller classes of the bucket, not with each other."""
+    rng, passage = random.Random(5), [f"c{i}" for i in range(87)]
+    rows = [(i, " ".join(rng.sample(passage, 74) + [f"f{i}x{j}" for j in range(rng.randrange(12, 22))])) for i in range(300)]
+    for i in range(300, 320):
+        rows.append((i, " ".join(passage + [f"r{i // 2}x{j}" for j in range(3)] + [f"o{i}x{j}" for j in range(10)])))
+    want = minhash.brute_force(rows, 1)
+    assert all(want[i] == i - i % 2 for i in range(300, 320))
+    got = {r.doc_id: r.component_id for r in minhash.near_digest(spark.createDataFrame(rows, "doc_id long, text string"), k=1).collect()}
+    assert got == want
