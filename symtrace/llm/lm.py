@@ -310,19 +310,18 @@ def score(docs: DataFrame, top: int = TOP, id_col: str = "doc_id", text_col: str
         return c, cls
 
     def transitions(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict = {}
-        for data in left.column("data").to_pylist()[:1]:
+        times, single = np.zeros(n * n, np.int64), np.zeros(n * n, np.int64)
+        for data in left.column("data").to_pylist():  # several: equal blocks, whose rows all count
             b = Block.unpack(data)
             c, cls = codes(b, right)
-            times, single = np.zeros(n * n, np.int64), np.zeros(n * n, np.int64)
             for at, end in b.spans():
                 learn, tokens = b.training(at, end), b.tokens[at:end]
                 pair = (cls[b.before(at, end)] * n + cls[tokens])[learn]
                 times += np.bincount(pair, minlength=n * n)
                 single += np.bincount(pair[c[tokens][learn] == 1], minlength=n * n)
-            found = np.flatnonzero(times)
-            out = {"pair": found, "n": times[found], "once": single[found]}
-        return pa.Table.from_arrays([pa.array(out.get(f.name, []), type=f.type) for f in pair_schema], schema=pair_schema)
+        found = np.flatnonzero(times)
+        out = {"pair": found, "n": times[found], "once": single[found]}
+        return pa.Table.from_arrays([pa.array(out[f.name], type=f.type) for f in pair_schema], schema=pair_schema)
 
     sides = lambda: packed.groupBy("block").cogroup(known.groupBy("block"))
     joint, singles = np.zeros((n, n)), np.zeros((n, n))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
-from symtrace.llm import minhash
+from symtrace.llm import lm, minhash
 from symtrace.plans import fixtures, queries
 
 
@@ -66,3 +66,11 @@ def test_all_lines_of_an_order_count(spark, tmp_path):
     bins, srcs = ({tuple(r) for r in e.collect()} for e in fixtures.document_edges(spark, str(tmp_path)))
     assert srcs == {(s * 2, p * 2) for _, s, p, _ in lines}
     assert bins == {(s * 2 + 1, p * 2 + 1) for o, s, p, _ in lines if o % 10}
+
+
+def test_equal_blocks_all_count(spark):
+    """The same rows in two partitions are two equal blocks: scores are those of one partition that holds them twice."""
+    rows = [(i, f"a b{i % 7} c d{i % 5} e{i % 3}") for i in range(40)]
+    twice = lambda parts: spark.createDataFrame(spark.sparkContext.parallelize(rows + rows, parts), "doc_id long, text string")
+    score = lambda docs: {(r.doc_id, round(r.score, 9), r.train_tokens) for r in lm.score(docs, top=6).collect()}
+    assert score(twice(2)) == score(twice(1))
