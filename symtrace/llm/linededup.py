@@ -48,7 +48,7 @@ def _lines(least: int):
                             at.append(pos)
                             hashes += xxhash.xxh3_128_digest(k)
                 words = pa.Array.from_buffers(pa.int64(), 2 * len(ids), [None, pa.py_buffer(bytes(hashes))])
-                yield u.batch(schema, [ids, rows, at, words.take(pa.array(range(0, 2 * len(ids), 2))), words.take(pa.array(range(1, 2 * len(ids), 2)))])
+                yield u.batch(schema, [ids, rows, at, *(words.take(pa.array(range(side, 2 * len(ids), 2), type=pa.int64())) for side in (0, 1))])
 
     return run
 
@@ -93,8 +93,9 @@ def line_digest(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", tex
     return joined.select("doc_id", "text", F.col("__pos").alias("pos")).mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def drop_lines(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the shared lines gone from the text; all other columns as they are (a null text stays null)."""
+def drop_lines(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", keep_emptied: bool = True) -> DataFrame:
+    """docs with the shared lines gone from the text; all other columns as they are (a null text stays null). Unless
+    keep_emptied, rows that lost lines and have no word left go too: all that they had is in other documents."""
     drops = _drops(u.id_text(docs, id_col, text_col), least)
     renamed = {c: u.fresh(c, docs) for c in drops.columns}
     for old, new in renamed.items():
@@ -106,8 +107,13 @@ def drop_lines(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text
         for b in batches:
             for x in u.pieces(b):
                 *cols, lost = x.columns
-                cols[at] = pa.array([t if t is None else _without(t, d)[0] for t, d in zip(cols[at].to_pylist(), lost.to_pylist(), strict=True)], type=cols[at].type)
-                yield pa.RecordBatch.from_arrays(cols, names=columns)
+                lost = lost.to_pylist()
+                texts = [t if t is None else _without(t, d)[0] for t, d in zip(cols[at].to_pylist(), lost, strict=True)]
+                cols[at] = pa.array(texts, type=cols[at].type)
+                out = pa.RecordBatch.from_arrays(cols, names=columns)
+                if not keep_emptied:
+                    out = out.filter(pa.array([not d or bool(t.strip(u.SPACE)) for t, d in zip(texts, lost, strict=True)], type=pa.bool_()))
+                yield out
 
     joined = docs.join(drops, (docs[id_col].cast("long") == drops[doc]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == drops[row]), "left")
     return joined.select(*[docs[c] for c in columns], drops[pos]).mapInArrow(rewritten, docs.schema)
