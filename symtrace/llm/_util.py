@@ -15,15 +15,17 @@ SYMBOLS = "#*$%&|<>"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; where unset (tests), a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or the checkpoint folder set by the
+    caller. Where neither is set, a local one is made, but only if the executors run in the driver."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        known = sc._jsc.sc().getCheckpointDir()
         if known.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="symtrace-"))
-            known = spark.sparkContext._jsc.sc().getCheckpointDir()
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="symtrace-"))
+            known = sc._jsc.sc().getCheckpointDir()
         found = known.get()
     return found.rstrip("/")
 
@@ -34,17 +36,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/symtrace/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def drop_files(df: DataFrame) -> None:
-    """Delete the files of a materialised frame that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if "/symtrace/" in folder:
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    out = spark.read.schema(schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop_files(*frames: DataFrame) -> None:
+    """Delete the files of frames that nothing reads any more; of others than materialised ones nothing is deleted."""
+    for df in frames:
+        if written := getattr(df, "_written", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(written)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hash_sample(rows: DataFrame, n: int) -> DataFrame:
+    """Of rows (h, ...), h a hash of all the rest, about n different ones at most, those with the smallest h, wherever copies
+    lie. Only these are shuffled. A caller that needs the exact bound takes the n smallest h of what is left."""
+    many = rows.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    if many > n:
+        rows = rows.where(F.col("h") < F.lit(int(-(1 << 63) + min(1.0, 1.1 * n / many) * ((1 << 64) - 1024))))
+    return rows.dropDuplicates(["h"])
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

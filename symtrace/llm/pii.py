@@ -7,11 +7,14 @@ agree across a document. Loopy message passing gives each token's marginals; tok
 Tokens with neither digit nor @ are observed as no entity, so a document's graph has its active tokens only; each is
 linked with the previous token of its key, so the graph grows in proportion to the text.
 
-The weights are fitted by pseudo-likelihood on the base labels of about TRAIN_DOCS documents (a documented bound), which
-are drawn by a hash of the id. Everything else covers every whole text.
-
-Defined results: null and empty texts have no spans; repeated rows get equal spans; an empty table gives an empty result
-and a field of zero weights, which adds nothing. A span is added where its marginal reaches ADDED and no base span is touched.
+The weights are fitted by pseudo-likelihood on the base labels of TRAIN_DOCS different texts at most (a documented
+bound), those with the smallest hashes, whatever their ids. Texts with more than TRAIN_TOKENS active tokens aren't among
+them. Everything else covers every whole text.
+
+Defined results: null and empty texts have no spans; repeated rows get equal spans and count once in the fit; an empty
+table gives an empty result and a field of zero weights, which adds nothing. A span is added where its marginal reaches
+ADDED and no base span is touched; of equally likely labels the first in the order of LABELS counts. Rows that share an id
+or have none are like others; columns besides the id and the text are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from . import _util as u
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-TRAIN_DOCS = 20_000
+TRAIN_DOCS, TRAIN_TOKENS = 20_000, 512
 ADDED = 0.95
 ROUNDS = 12
 #: Prior mean of the skip potential of equal labels: samples have few repeated tokens, and repeated ones mostly agree.
@@ -56,6 +59,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _is_part(digits: str) -> bool:
+    """Whether digits, however many zeros lead, are at most 255. int() refuses texts of thousands of digits."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost, non-overlapping: at each @ the longest run of local characters that no earlier match has taken."""
     out, free, at = [], 0, text.find("@")
@@ -76,7 +85,7 @@ def base_spans(text: str) -> list[Span]:
     """The base in order of kind, then start."""
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if _ACTIVE.search(text):
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(_is_part(p) for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -267,23 +276,23 @@ def written(spans: list[Span]) -> str:
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
-    """Fit the field on about train_docs documents (doc_id, text) chosen by a hash; only features come to the driver."""
-    schema = pa.schema([("n", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("chain", pa.binary()), ("skip", pa.binary())])
+    """Fit the field on train_docs different texts of docs (doc_id, text) at most; only features come to the driver."""
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("chain", pa.binary()), ("skip", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text in b.column(0).to_pylist():
+            for h, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if _ACTIVE.search(text):
                     g = Graph(text, base_spans(text))
-                    if len(g.observed) <= 512:
+                    if len(g.observed) <= TRAIN_TOKENS:
                         y = np.maximum(g.observed, 0).astype(np.int8)
-                        rows.append((len(y), g.features.astype(np.int8).tobytes(), y.tobytes(), np.array(g.chain, np.int32).tobytes(), np.array(g.skip, np.int32).tobytes()))
+                        rows.append((h, len(y), g.features.astype(np.int8).tobytes(), y.tobytes(), np.array(g.chain, np.int32).tobytes(), np.array(g.skip, np.int32).tobytes()))
             if rows:
                 yield u.batch(schema, list(zip(*rows, strict=True)))
 
-    every = max(1, docs.count() // train_docs)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "n int, x binary, y binary, chain binary, skip binary")
+    sample = u.hash_sample(docs.where("text <> ''").select(F.xxhash64("text").alias("h"), "text"), train_docs)
+    sample = sample.mapInArrow(run, "h long, n int, x binary, y binary, chain binary, skip binary").orderBy("h").limit(train_docs).drop("h")
     pairs = lambda data: np.frombuffer(data, np.int32).reshape(-1, 2)
     rows = sorted(sample.collect(), key=tuple)  # the order must not depend on partitions
     return Field().fit([(np.frombuffer(r["x"], np.int8).reshape(r["n"], FEATURES).astype(float), np.frombuffer(r["y"], np.int8).astype(int), pairs(r["chain"]), pairs(r["skip"])) for r in rows])
