@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is approximated by a sum of full-dimensional codewords, one of each codebook. Codebooks come from residual
-k-means on a bounded sample (TRAIN rows, chosen by a hash) and are then refitted jointly by least squares; every vector
+k-means on a bounded sample (the TRAIN different vectors with the smallest hashes) and are then refitted jointly by least squares; every vector
 is encoded by a beam search over the codebooks and stored as its codes and the norm of its approximation. A query makes
 one table of inner products with all codewords; a vector's score is its stored norm less twice the sum of its table
 entries. The RERANK best of each query are ranked again by exact distances on the original vectors.
@@ -11,8 +11,10 @@ Equal vectors are one entry of the index, so copies, however many, can't crowd a
 are scanned where they are, each task keeps its best RERANK a query. The whole index is searched.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, or have another length than most
-vectors, are no query and no candidate; rows that share an id are different candidates, but none of them is a candidate
-for a query of that id; ties go to the smaller id. Fewer than K candidates are all returned.
+vectors, are no query and no candidate, nor are rows without an id; rows that share an id are different candidates, but
+none of them is a candidate for a query of that id; ties go to the smaller id. Fewer than K candidates are all returned.
+Query rows with the same id and the same vector are one query; the same id with different vectors is a query for each
+of them, so such an id has several lists. Columns besides the id and the vector are not looked at.
 """
 
 from __future__ import annotations
@@ -121,36 +123,50 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), float).reshape(len(column), -1)
 
 
-def _scan(books: np.ndarray, ids: np.ndarray, queries: np.ndarray, rerank: int):
-    """Keeps each query's best by table scores over all codes of a task."""
-    schema = pa.schema([("query_id", pa.int64()), ("rep", pa.int64()), ("approx", pa.float64())])
+KEY = ["query_id", "q1", "q2"]
+
+
+def _scan(books: np.ndarray, keys: list[np.ndarray], queries: np.ndarray, rerank: int):
+    """Keeps each query's best by table scores over all codes of a task. keys: KEY of each query."""
+    schema = pa.schema([*((k, pa.int64()) for k in KEY), ("h1", pa.int64()), ("h2", pa.int64()), ("approx", pa.float64())])
     m, k, _ = books.shape
     tables = (queries @ books.reshape(m * k, -1).T).astype(np.float32)
+    n = len(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_score = np.full((len(ids), 0), 0, np.float32)
-        best_rep = np.zeros((len(ids), 0), np.int64)
+        best_score = np.zeros((n, 0), np.float32)
+        best = np.zeros((n, 0, 2), np.int64)
         for whole in batches:
             for b in u.pieces(whole, 4096):
-                reps = b.column(0).to_numpy()
-                codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(reps), m) + np.arange(m) * k
-                norms = b.column(2).to_numpy().astype(np.float32)
-                score = np.empty((len(ids), len(reps)), np.float32)
-                for at in range(0, len(ids), 128):
+                hashes = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)
+                own = b.column(2)  # null: rows with several ids have this vector
+                shared, own = own.is_null().to_numpy(zero_copy_only=False), own.fill_null(0).to_numpy()
+                codes = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(len(hashes), m) + np.arange(m) * k
+                norms = b.column(4).to_numpy().astype(np.float32)
+                next_score, next_best = [], []
+                for at in range(0, n, 128):
                     part = tables[at : at + 128]
                     total = part[:, codes[:, 0]]
                     for c in range(1, m):
                         total += part[:, codes[:, c]]
-                    score[at : at + 128] = norms - 2 * total
-                score, rep = np.concatenate([best_score, score], 1), np.concatenate([best_rep, np.broadcast_to(reps, score.shape)], 1)
-                if score.shape[1] > rerank:
-                    keep = np.argpartition(score, rerank - 1, 1)[:, :rerank]
-                    score, rep = np.take_along_axis(score, keep, 1), np.take_along_axis(rep, keep, 1)
-                best_score, best_rep = score, rep
-        if best_rep.shape[1]:
-            for at in range(0, len(ids), 64):
-                part = best_rep[at : at + 64]
-                yield u.batch(schema, [np.repeat(ids[at : at + 64], part.shape[1]), part.reshape(-1), best_score[at : at + 64].reshape(-1).astype(float)])
+                    old = best_score[at : at + 128]
+                    score = norms - 2 * total
+                    score[(keys[0][at : at + 128, None] == own) & ~shared] = np.inf  # the query itself is no candidate
+                    score = np.concatenate([old, score], 1)
+                    keep = np.argpartition(score, rerank - 1, 1)[:, :rerank] if score.shape[1] > rerank else np.broadcast_to(np.arange(score.shape[1]), score.shape)
+                    next_score.append(np.take_along_axis(score, keep, 1))
+                    new = keep - old.shape[1]
+                    found = hashes[np.maximum(new, 0)]
+                    if old.shape[1]:
+                        found = np.where(new[:, :, None] < 0, np.take_along_axis(best[at : at + 128], np.minimum(keep, old.shape[1] - 1)[:, :, None], 1), found)
+                    next_best.append(found)
+                best_score, best = np.concatenate(next_score), np.concatenate(next_best)
+        width = best.shape[1]
+        if width:
+            for at in range(0, n, 64):
+                part, score = best[at : at + 64].reshape(-1, 2), best_score[at : at + 64].reshape(-1).astype(float)
+                some = np.isfinite(score)
+                yield u.batch(schema, [*(np.repeat(x[at : at + 64], width)[some] for x in keys), part[some, 0], part[some, 1], score[some]])
 
     return run
 
@@ -159,60 +175,77 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, rerank:
     """The nearest found of every query row: query_id, rank, vec_id, score (Euclidean distance in double precision).
     is_query is a condition on the column vec_id."""
     spark = vectors.sparkSession
+    out = "query_id long, rank int, vec_id long, score double"
     rows = u.materialise(usable(vectors, id_col, vector_col), "vectors")
     reps = u.materialise(_distinct(rows), "distinct")
     n = reps.count()
-    sample = reps.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, n // train_rows))) == 0).select("x").orderBy("x").collect()
+    sample = u.hash_sample(reps.select(F.col("h1").alias("h"), "x"), train_rows).orderBy("h").limit(train_rows).collect()
     if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        u.drop_files(rows, reps)
+        return spark.createDataFrame([], out)
     books = train(np.array([np.frombuffer(r["x"], float) for r in sample]))
-    code_schema = pa.schema([("rep", pa.int64()), ("code", pa.binary()), ("norm", pa.float64())])
+    code_schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("own", pa.int64()), ("code", pa.binary()), ("norm", pa.float64())])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in u.pieces(whole, 512):
-                codes = encode(_matrix(b.column(1)), books)
-                yield u.batch(code_schema, [b.column(0), [c.tobytes() for c in codes], np.sum(decode(codes, books) ** 2, 1)])
+                codes = encode(_matrix(b.column(3)), books)
+                yield u.batch(code_schema, [*b.columns[:3], [c.tobytes() for c in codes], np.sum(decode(codes, books) ** 2, 1)])
 
-    codes = u.materialise(reps.select("rep", "x").mapInArrow(encoded, "rep long, code binary, norm double"), "codes")
+    codes = u.materialise(reps.select("h1", "h2", "own", "x").mapInArrow(encoded, "h1 long, h2 long, own long, code binary, norm double"), "codes")
     tasks = max(1, -(-n // TASK_ROWS), min(8, n // 4096))
-    queries = rows.where(is_query)
-    block = (queries.count() + QUERY_BLOCK - 1) // QUERY_BLOCK
-    found = None
-    for k in range(block):  # by a hash: blocks of about QUERY_BLOCK queries, whatever their number
-        part = queries.where(F.pmod(F.xxhash64("vec_id", "h1"), F.lit(block)) == k).select("vec_id", "x").orderBy("vec_id", "x").collect()
+    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.col("x").alias("q"))
+    queries = u.materialise(queries.groupBy(*KEY).agg(F.first("q").alias("q")), "queries")
+    blocks = (queries.count() + QUERY_BLOCK - 1) // QUERY_BLOCK
+    found = []
+    for k in range(blocks):  # by a hash: blocks of about QUERY_BLOCK queries, whatever their number
+        mine = queries.where(F.pmod(F.xxhash64(*KEY), F.lit(blocks)) == k)
+        part = mine.orderBy(*KEY).collect()
         if part:
-            ids, x = np.array([r["vec_id"] for r in part]), np.array([np.frombuffer(r["x"], float) for r in part])
-            hits = codes.coalesce(tasks).mapInArrow(_scan(books, ids, x, rerank), "query_id long, rep long, approx double")
-            ranked = _reranked(u.materialise(_best(hits, rerank, "approx", "rep"), "hits"), queries.where(F.pmod(F.xxhash64("vec_id", "h1"), F.lit(block)) == k), reps, rows, nearest)
-            found = ranked if found is None else found.unionByName(ranked)
-    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
+            keys = [np.array([r[c] for r in part]) for c in KEY]
+            hits = codes.coalesce(tasks).mapInArrow(_scan(books, keys, np.array([np.frombuffer(r["q"], float) for r in part]), rerank), ", ".join(f"{c} long" for c in [*KEY, "h1", "h2"]) + ", approx double")
+            found.append(u.materialise(_best(hits, rerank), "hits"))
+    if not found:
+        u.drop_files(rows, reps, codes, queries)
+        return spark.createDataFrame([], out)
+    hits = found[0]
+    for x in found[1:]:
+        hits = hits.unionByName(x)
+    result = u.materialise(_reranked(hits, queries, reps, rows, nearest), "nearest")
+    u.drop_files(rows, reps, codes, queries, *found)
+    return result
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
-    """rep (the smallest id), x, h1, h2 of each distinct vector. Partial sums first: copies cost their count only."""
-    return rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.min("x").alias("x"))
+    """h1, h2, x of each distinct vector and `own`, the id if all its rows have the same. Partial sums first: copies cost
+    their count only."""
+    each = rows.groupBy("h1", "h2").agg(F.min("x").alias("x"), F.min("vec_id").alias("least"), F.max("vec_id").alias("greatest"))
+    return each.select("h1", "h2", "x", F.when(F.col("least") == F.col("greatest"), F.col("least")).alias("own"))
 
 
-def _best(hits: DataFrame, k: int, *order: str) -> DataFrame:
-    return hits.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("r") <= k).drop("r")
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    return hits.withColumn("r", F.row_number().over(Window.partitionBy(*KEY).orderBy("approx", "h1", "h2"))).where(F.col("r") <= k).drop("r")
 
 
 def _reranked(hits: DataFrame, queries: DataFrame, reps: DataFrame, rows: DataFrame, nearest: int) -> DataFrame:
-    schema = pa.schema([("query_id", pa.int64()), ("rep", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("score", pa.float64())])
+    names = [*KEY, "h1", "h2"]
+    schema = pa.schema([*((c, pa.int64()) for c in names), ("score", pa.float64())])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in u.pieces(whole, 2048):
-                distance = np.sqrt(np.sum((_matrix(b.column(4)) - _matrix(b.column(5))) ** 2, 1))
-                yield u.batch(schema, [*b.columns[:4], distance])
-
-    mine = queries.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
-    joined = hits.join(reps, "rep").join(mine, "query_id").select("query_id", "rep", "h1", "h2", "q", "x")
-    near = _best(joined.mapInArrow(exact, "query_id long, rep long, h1 long, h2 long, score double"), nearest + 1, "score", "rep")
-    copies = rows.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("r") <= nearest + 1)
-    spread = near.join(copies.select("h1", "h2", "vec_id"), ["h1", "h2"]).where("vec_id <> query_id").select("query_id", "vec_id", "score")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+                distance = np.sqrt(np.sum((_matrix(b.column(5)) - _matrix(b.column(6))) ** 2, 1))
+                yield u.batch(schema, [*b.columns[:5], distance])
+
+    joined = hits.join(reps.select("h1", "h2", "x"), ["h1", "h2"]).join(queries, KEY)
+    scored = joined.select(*names, "q", "x").mapInArrow(exact, ", ".join(f"{c} long" for c in names) + ", score double")
+    # Each of these vectors has a row that isn't the query's own, so the first ones suffice, with all that are as near.
+    near = scored.withColumn("r", F.rank().over(Window.partitionBy(*KEY).orderBy("score"))).where(F.col("r") <= nearest).drop("r")
+    ids = rows.groupBy("h1", "h2", "vec_id").agg(F.count("*").alias("n"))
+    first = ids.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("r") <= nearest + 1)
+    copies = first.select("h1", "h2", "vec_id", F.least("n", F.lit(nearest)).cast("int").alias("n"))
+    spread = near.join(copies, ["h1", "h2"]).where("vec_id <> query_id").select(*KEY, "vec_id", "score", F.explode(F.array_repeat(F.lit(0), F.col("n"))))
+    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy("score", "vec_id"))
     return spread.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 
