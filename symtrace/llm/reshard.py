@@ -4,11 +4,15 @@ Old shards are sources (their bytes), new shards are sinks (their capacities), a
 one; the cheapest flow says how many bytes go from each old shard to each new one, and so moves the fewest bytes. Within
 an old shard documents lie on an axis, large ones first, so that what stays is a prefix and the cuts between transfers
 fall among small documents. The axis is cut hierarchically: sums of a bounded number of blocks (shard, size class,
-leading hash bits) go to the driver; only blocks that a cut runs through are divided again, by further hash bits, and
-only the few parts that are still cut are ordered row by row. No text is shuffled for the plan.
-
-Defined results: a null text has size 1 and CRC 0; rows with equal id, size and CRC go to the same shard; an empty
-table gives an empty plan. Slots order a shard's rows by hash, id, CRC; repeated rows get neighbouring slots.
+leading hash bits) go to the driver; only blocks that a cut runs through are divided again, by further hash bits and at
+last by where a row lies, until what is still cut is few rows, which are ordered one by one. No text is shuffled.
+
+Defined results: a null text has size 1 and CRC 0; an empty table gives an empty plan. The hash that places a row is that
+of its id, size and text CRC, so equal texts (one group of the query) lie on the axis wherever their ids put them. Rows
+that are equal in all three are told apart by where they lie in the input, so the shards stay near equal however often a
+row is repeated; which of them goes where doesn't show. Rows with a null id are like others. Slots order a shard's rows by
+hash, id, CRC; repeated rows get different slots. Columns besides the id and the text are not looked at by `plan`, and
+kept by `rewrite`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ OLD_SHARDS, NEW_SHARDS = 12, 16
 #: Leading hash bits of a block and of its parts: (shards x classes x 2^6) sums at most go to the driver.
 BLOCK_BITS, PART_BITS = 6, 10
 SLOT_ROWS = 20_000
+#: So many rows that are still cut are ordered in one window.
+WINDOW_ROWS = 100_000
 
 
 def min_cost_flow(supply: Sequence[int], capacity: Sequence[int], cost) -> dict[tuple[int, int], int]:
@@ -92,21 +98,24 @@ def old_shard(id_col: str = "doc_id", shards: int = OLD_SHARDS) -> Column:
 
 
 def measured(docs: DataFrame, old: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, old (the old shard), cls (size class, large first), h (0 to 2^32-1)."""
+    """doc_id, size, text_crc32, old (the old shard), cls (size class, large first), h (0 to 2^32-1), and salt, which tells
+    equal rows apart and is fixed once the frame is written."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), old.alias("old"))
-    return rows.withColumn("cls", (64 - F.length(F.bin("size"))).cast("int")).withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "size"), 32))
+    salt = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 32)
+    return rows.withColumns({"cls": (64 - F.length(F.bin("size"))).cast("int"), "h": F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "size"), 32), "salt": salt})
 
 
-def assign(rows: DataFrame, old_shards: int, capacities: Sequence[int]) -> DataFrame:
-    """rows (of measured) with the new `shard`. Capacities must add up to the sizes of all rows."""
+def assign(rows: DataFrame, old_shards: int, capacities: Sequence[int], window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """rows (of measured, written) with the new `shard`. Capacities must add up to the sizes of all rows."""
     spark = rows.sparkSession
-    rows = rows.withColumn("block", F.shiftright("h", 32 - BLOCK_BITS)).withColumn("part", F.shiftright("h", 32 - BLOCK_BITS - PART_BITS))
-    sums = rows.groupBy("old", "cls", "block").agg(F.sum("size").alias("bytes")).orderBy("old", "cls", "block").collect()
-    sizes = [0] * old_shards
-    for r in sums:
-        sizes[r["old"]] += r["bytes"]
-    cuts = transfers(sizes, capacities)
+    bits, levels = 32, {}
+    for name, width in (("block", BLOCK_BITS), ("part", PART_BITS), ("fine", PART_BITS)):
+        bits -= width
+        levels[name] = F.shiftright("h", bits).cast("long")
+    levels["pile"] = F.pmod("salt", F.lit(1 << PART_BITS))
+    rest, key, cuts, at, settled = rows.withColumns(levels), ["old", "cls"], [], {}, []
+    types = {"old": "int", "cls": "int"}
 
     def where(shard: int, start: float, end: float) -> int | None:
         """The new shard of an interval of the axis; None if a cut runs through it."""
@@ -117,53 +126,69 @@ def assign(rows: DataFrame, old_shards: int, capacities: Sequence[int]) -> DataF
                 return None
         return cuts[shard][-1][0]
 
-    whole, cut, at = [], [], [0] * old_shards
-    for r in sums:
-        start = at[r["old"]]
-        at[r["old"]] = end = start + r["bytes"]
-        j = where(r["old"], start, end)
-        (cut if j is None else whole).append((r["old"], r["cls"], int(r["block"]), start if j is None else j))
-    blocks = spark.createDataFrame(whole, "old int, cls int, block long, shard int")
-    key = ["old", "cls", "block"]
-    rows = rows.withColumn("block", F.col("block").cast("long")).withColumn("part", F.col("part").cast("long"))
-    settled = rows.join(F.broadcast(blocks), key)  # bounded: shards x size classes x 2^BLOCK_BITS
-    if not cut:
-        return settled.drop("block", "part")
-    # One level down: the parts of the cut blocks, of which there are no more than cuts.
-    inside = rows.join(F.broadcast(spark.createDataFrame(cut, "old int, cls int, block long, base long")), key)
-    parts = inside.groupBy("old", "cls", "block", "base", "part").agg(F.sum("size").alias("bytes")).orderBy("old", "cls", "part").collect()
-    whole, split, at = [], [], {}
-    for r in parts:
-        k = (r["old"], r["cls"], r["block"])
-        start = at.get(k, r["base"])
-        at[k] = end = start + r["bytes"]
-        j = where(r["old"], start, end)
-        (split if j is None else whole).append((*k, r["part"], start if j is None else j))
-    by = [*key, "part"]
-    settled = settled.unionByName(inside.drop("base").join(F.broadcast(spark.createDataFrame(whole, "old int, cls int, block long, part long, shard int")), by))
-    if split:
-        # What is still cut: a part has a 2^16th of one size class of one shard. Rows with equal keys stay together.
-        few = inside.drop("base").join(F.broadcast(spark.createDataFrame(split, "old int, cls int, block long, part long, base long")), by)
-        w = Window.partitionBy(*by).orderBy("h", "doc_id", "text_crc32", "size")
-        middle = F.col("base") + F.sum("size").over(w) - F.col("size") / 2
-        stops = F.array(*[F.array(*[F.struct(F.lit(e).cast("double").alias("stop"), F.lit(j).alias("to")) for j, e in c]) for c in cuts])
-        mine = F.filter(F.element_at(stops, F.col("old") + 1), lambda c: F.col("middle") <= c["stop"])
-        last = F.element_at(F.element_at(stops, F.col("old") + 1), -1)
-        few = few.withColumn("middle", middle).withColumn("shard", F.coalesce(F.get(mine, F.lit(0))["to"], last["to"]))
-        settled = settled.unionByName(few.drop("base", "middle"))
-    return settled.drop("block", "part")
-
-
-def slots(rows: DataFrame, n: int, shards: int) -> DataFrame:
-    """rows with `slot`, gapless from 0 in each shard: ranks within buckets of some SLOT_ROWS rows, plus the counts of
-    the buckets before."""
-    buckets = max(64, math.ceil(n / shards / SLOT_ROWS))
+    def listed(found: list, last: str) -> DataFrame:
+        """A small table of groups: at most shards x size classes x 2^BLOCK_BITS, below that cuts x 2^PART_BITS."""
+        return F.broadcast(spark.createDataFrame(found, ", ".join(f"{k} {types.get(k, 'long')}" for k in key) + f", {last}"))
+
+    for level in levels:
+        key.append(level)
+        sums = rest.groupBy(*key).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy(*key).collect()
+        if not cuts:
+            sizes = [0] * old_shards
+            for r in sums:
+                sizes[r["old"]] += r["bytes"]
+            cuts = transfers(sizes, capacities)
+            at = {(i,): 0 for i in range(old_shards)}
+        whole, cut, most = [], [], 0
+        for r in sums:
+            group = tuple(r[k] for k in key)
+            within = group[:1] if level == "block" else group[:-1]
+            start = at[within]
+            at[within] = end = start + r["bytes"]
+            j = where(r["old"], start, end)
+            (cut if j is None else whole).append((*group, start if j is None else j))
+            most = max(most, r["n"] if j is None else 0)
+        settled.append(rest.join(listed(whole, "shard int"), key))
+        if not cut:
+            break
+        rest, at = rest.join(listed(cut, "base long"), key), {c[:-1]: c[-1] for c in cut}
+        if most <= window_rows or level == "pile":
+            # Few rows a group: one by one, each by its middle. ROWS, so that repeated rows don't move as one.
+            w = Window.partitionBy(*key).orderBy("h", "doc_id", "text_crc32", "size", "salt").rowsBetween(Window.unboundedPreceding, 0)
+            middle = F.col("base") + F.sum("size").over(w) - F.col("size") / 2
+            stops = F.array(*[F.array(*[F.struct(F.lit(e).cast("double").alias("stop"), F.lit(j).alias("to")) for j, e in c]) for c in cuts])
+            mine = F.filter(F.element_at(stops, F.col("old") + 1), lambda c: F.col("middle") <= c["stop"])
+            last = F.element_at(F.element_at(stops, F.col("old") + 1), -1)
+            settled.append(rest.withColumn("middle", middle).withColumn("shard", F.coalesce(F.get(mine, F.lit(0))["to"], last["to"])))
+            break
+        rest = rest.drop("base")
+    out = None
+    for x in settled:
+        x = x.select(*rows.columns, "shard")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def slots(rows: DataFrame, n: int, shards: int, slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """rows with `slot`, gapless from 0 in each shard: ranks within buckets of some slot_rows rows, plus the counts of
+    the buckets before. A bucket that repeated rows swell is divided by their salt."""
+    buckets = max(64, math.ceil(n / shards / slot_rows))
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("h", "doc_id", "text_crc32", "size"))
+    fair = max(shards * slot_rows, math.ceil(n / buckets))
+    hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 2 * fair).select("bucket", F.ceil(F.col("n") / fair).alias("parts"))
+    few = hot.limit(10_001).collect()
+    if few:
+        # So many buckets are sent to all; more are joined.
+        hot = F.broadcast(rows.sparkSession.createDataFrame(few, "bucket long, parts long")) if len(few) <= 10_000 else hot
+        rows = rows.join(hot, "bucket", "left").withColumn("pile", F.pmod("salt", F.coalesce("parts", F.lit(1)))).drop("parts")
+    else:
+        rows = rows.withColumn("pile", F.lit(0))
+    by = ["shard", "bucket", "pile"]
+    before = Window.partitionBy("shard").orderBy("bucket", "pile").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id", "text_crc32", "size", "salt"))
     ranked = rows.withColumn("rank", rank)
-    return ranked.join(starts, ["shard", "bucket"]).withColumn("slot", (F.col("start") + F.col("rank") - 1).cast("long")).drop("bucket", "start", "rank")
+    return ranked.join(starts, by).withColumn("slot", (F.col("start") + F.col("rank") - 1).cast("long")).drop("bucket", "pile", "start", "rank")
 
 
 def plan(docs: DataFrame, old: Column | None = None, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
