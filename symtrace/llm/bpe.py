@@ -7,7 +7,9 @@ before are merged exactly. Words with a failing pair, and only those, go through
 
 The vocabulary file is a parameter and is read on the executors, once per Python worker. Text is split at added tokens,
 then by the byte-level pattern. Defined results: a null or empty text has no tokens; the digest of no ids is that of
-the empty string. Each text is encoded whole; memory grows with the longest text only.
+the empty string. Each text is encoded whole; memory grows with the longest text only, as words and pairs are remembered up
+to a bound. Repeated rows are encoded each; of equally ranked merges the leftmost comes first, as in the library; rows with
+a null id are like others; columns besides the id and the text are not looked at.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from . import _util as u
 
 #: Fixed pattern of byte-level BPE pre-tokenisation.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words remembered per worker; beyond that the memory is emptied, which changes speed, not results.
-REMEMBERED = 1_200_000
+#: Words and tested pairs remembered per worker; beyond that the memory is emptied, which changes speed, not results.
+REMEMBERED, REMEMBERED_PAIRS = 1_200_000, 2_000_000
 #: Up to so many bytes a word's pairs are searched again after each merge; NONE comes after every rank.
 SHORT = 24
 NONE = (1 << 40, -1)
@@ -128,7 +130,9 @@ class Bpe:
             a, b = int(pairs[k]) >> 32, int(pairs[k]) & 0xFFFFFFFF
             want = [a] if b == 0xFFFFFFFF else [a, b]
             fine[k] = self.merge(b"".join(self.bytes[i] for i in want)) == want
-        if not known.all():
+        if len(self.tested) > REMEMBERED_PAIRS:
+            self.tested, self.fine = pairs, fine
+        elif not known.all():
             self.tested, self.fine = np.insert(self.tested, at[~known], pairs[~known]), np.insert(self.fine, at[~known], fine[~known])
         return fine[of]
 
