@@ -10,11 +10,13 @@ table gives an empty ledger; columns besides the id and the text are not looked
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _util as u
 
@@ -69,10 +71,11 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield u.batch(schema, [x.column(0), *zip(*map(measure, x.column(1).to_pylist()), strict=True)])
 
 
-def mask(rules: dict = RULES) -> Column:
-    """The failed rules as a mask of bits, from the measurements."""
+def mask(rules: dict = RULES, names: dict | None = None) -> Column:
+    """The failed rules as a mask of bits, from the measurements (names: what their columns are called)."""
     out = F.lit(0)
     for bit, fails in rules.values():
+        fails = re.sub(r"\b[a-z_]+\b", lambda m: f"`{names[m[0]]}`" if names and m[0] in names else m[0], fails)
         out = out.bitwiseOR(F.when(F.expr(fails), bit).otherwise(0))
     return out
 
@@ -107,22 +110,19 @@ def ablation(rows: DataFrame, policy: str = DEFAULT_POLICY, rules: dict = RULES)
     )
 
 
-def keep(docs: DataFrame, policy: str = DEFAULT_POLICY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that pass the policy. One pass, no shuffle: each row is measured where it is."""
-    chosen = POLICIES[policy]
-    tests = [fails for bit, fails in RULES.values() if bit & chosen]
-    at = docs.columns.index(text_col)
-
-    compiled: list = []
-
-    def passes(text: str | None) -> bool:
-        values = dict(zip(MEASURES, measure(text or ""), strict=True))
-        return not any(eval(t, {}, values) for t in compiled)
+def keep(docs: DataFrame, policy: str | int = DEFAULT_POLICY, id_col: str = "doc_id", text_col: str = "text", rules: dict = RULES) -> DataFrame:
+    """The rows of docs, all columns, that pass the policy: each row is measured once where it is, all rules give its
+    mask, and the policy is applied to the mask. One pass, no shuffle. Of equal masks all or none are kept."""
+    names = {m: u.fresh(f"m_{m}", docs) for m in MEASURES}
+    at, columns = docs.columns.index(text_col), docs.columns
 
-    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled[:] = [compile(t, "rule", "eval") for t in tests]  # code objects aren't sent to executors
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in u.pieces(b):
-                yield x.filter(pa.array([passes(t) for t in x.column(at).to_pylist()], type=pa.bool_()))
+                found = zip(*(measure(t or "") for t in x.column(at).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*x.columns, *(pa.array(f, type=pa.int64()) for f in found)], names=[*columns, *names.values()])
 
-    return docs.mapInArrow(filtered, docs.schema)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names.values())])
+    failed = u.fresh("failed", docs)
+    measured = docs.mapInArrow(run, schema)
+    return measured.withColumn(failed, mask(rules, names)).where(verdict(policy, failed)).select(*[F.col(f"`{c}`") for c in columns])
