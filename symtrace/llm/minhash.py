@@ -196,22 +196,28 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands:
     u.drop_files(keyed)
     stars = u.materialise(meeting.where("a <> b").select("a", "b").distinct(), "stars")
     ends = stars.select(F.col("a").alias("rep")).unionByName(stars.select(F.col("b").alias("rep"))).distinct()
-    ends = u.materialise(ends, "ends")
-    ends = F.broadcast(ends) if ends.count() <= FEW_IDS else ends
+    ids = u.materialise(ends, "ends")
+    ends = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
     near = u.materialise(_compressed(texts.join(ends, "rep", "left_semi")), "near")
+    u.drop_files(texts)
     links = u.materialise(verify(stars, near, k, percent), "links")
     roots = u.materialise(components(links), "roots")
+    done = [ids]
     rows = u.materialise(_open(meeting, roots), "open")
-    open_pairs = u.materialise(_able_pairs(rows, near, reps, k, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    able, made = _able_pairs(rows, near, reps, k, percent)
+    open_pairs = u.materialise(able.join(stars, ["a", "b"], "left_anti"), "pairs")
+    u.drop_files(*made)
     if not open_pairs.isEmpty():
+        done += [links, roots]
         links = u.materialise(links.unionByName(verify(open_pairs, near, k, percent)), "links")
         roots = u.materialise(components(links), "roots")
-    for done in (meeting, stars, near, rows, open_pairs):
-        u.drop_files(done)
     by_class = reps.drop("n", "size").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
     joined = members.join(by_class, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "h1", "h2")
+    out = joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "h1", "h2")
+    out = u.materialise(out, "near")
+    u.drop_files(members, reps, meeting, stars, near, rows, open_pairs, links, roots, *done)
+    return out
 
 
 def _texts(cols: DataFrame, reps: DataFrame) -> DataFrame:
@@ -232,8 +238,8 @@ def _open(meeting: DataFrame, roots: DataFrame) -> DataFrame:
     return _several(meeting.join(root, "a", "left").select("key", "a", F.coalesce("root", "a").alias("root")))
 
 
-def _able_pairs(rows: DataFrame, near: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b), a > b, of the open rows (key, a, root) that are in different components and may link. Shingles are
+def _able_pairs(rows: DataFrame, near: DataFrame, reps: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b), a > b, and what was written to find them: pairs of the open rows (key, a, root) that are in different components and may link. Shingles are
     told apart by 32 bits here: where two collide, classes seem to share more than they do, never less. A class has
     `most` shingles that aren't rare; it `lacks` what a link with the smallest class of its bucket needs beyond them, or 1
     where only a link with a larger class needs more."""
@@ -268,7 +274,8 @@ def _able_pairs(rows: DataFrame, near: DataFrame, reps: DataFrame, k: int, perce
     # One that lacks none with the smallest class but some with the largest that it can link with lacks 1 at the least.
     own = rows.groupBy("a").agg(F.min("root").alias("root"), F.max("size").alias("size"), F.max("most").alias("most"), F.max("common").alias("common"), F.min(lacks).alias("least"), F.min(F.when(worst > 0, F.greatest(lacks, F.lit(1)))).alias("lacks"))
     need = lambda shared, n, m: (100.0 + percent) * shared >= percent * (n + m)
-    return _component_pairs(alive, need).unionByName(_rare_pairs(rare.where("df > 1"), own, need)).distinct()
+    pairs, made = _component_pairs(alive, need)
+    return pairs.unionByName(_rare_pairs(rare.where("df > 1"), own, need)).distinct(), [each, rare, rows, alive, *made]
 
 
 def _rare_pairs(rare: DataFrame, own: DataFrame, need) -> DataFrame:
@@ -286,7 +293,7 @@ def _rare_pairs(rare: DataFrame, own: DataFrame, need) -> DataFrame:
     return both.where(need(share, F.col("size"), F.col("s2"))).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
-def _component_pairs(rows: DataFrame, need) -> DataFrame:
+def _component_pairs(rows: DataFrame, need) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs of different components that meet in a bucket and may link without a rare shingle. Two components are paired
     bucket by bucket, or, where they meet in so many buckets that this would repeat pairs, once as wholes."""
     here = u.materialise(rows.groupBy("key", "root").agg(F.count("*").alias("n")), "groups")
@@ -304,7 +311,7 @@ def _component_pairs(rows: DataFrame, need) -> DataFrame:
     once = way.where("not by_key").select(small.alias("root"), large.alias("other")).join(members, "root").join(members.select(*second), "other").where(may)
     keyed = meet.join(way.where("by_key"), ["root", "other"]).select("key", "root", "other").join(rows, ["key", "root"]).join(rows.select("key", *second), ["key", "other"]).where(may)
     both = once.select("a", "b").unionByName(keyed.select("a", "b"))
-    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), [here, meet, members, way]
 
 
 def near_digest(docs: DataFrame, k: int = 2, **options) -> DataFrame:
@@ -313,12 +320,13 @@ def near_digest(docs: DataFrame, k: int = 2, **options) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with one document of each group: the row whose id is the smallest of its component."""
-    found = u.materialise(near_components(docs, k, percent, id_col=id_col, text_col=text_col), "near")
-    gone = found.where("not kept").select(F.col("doc_id").alias(u.fresh("gone", docs))).distinct()
+    found = near_components(docs, k, percent, id_col=id_col, text_col=text_col)
+    gone = u.materialise(found.where("not kept").select(F.col("doc_id").alias(u.fresh("gone", docs))).distinct(), "gone")
     name = gone.columns[0]
     out = docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")
-    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return out if repeated.isEmpty() else _first_rows(out, id_col)
+    repeated = not found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    u.drop_files(found)
+    return _first_rows(out, id_col) if repeated else out
 
 
 def _first_rows(docs: DataFrame, id_col: str) -> DataFrame:
