@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without the lines that an earlier document has too."""
-    return linededup.drop_lines(docs)
+    """All rows, without the lines that an earlier document has too; a row that this leaves without a word goes."""
+    return linededup.drop_lines(docs, keep_emptied=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read back."""
     docs = _util.read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES):
             docs = _util.materialise(docs, name)
+            _util.drop_files(before)  # only what a stage wrote; the tables stay
     return docs
