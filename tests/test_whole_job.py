@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
-from symtrace.llm import lm, minhash
 from symtrace.plans import fixtures, queries
 
 
@@ -43,19 +42,6 @@ def test_neighbor_inference_has_all_open_functions(spark, tmp_path):
     assert {b for b, _ in found} >= {10, 100010, 100020}
 
 
-def test_near_duplicates_by_few_rare_shingles(spark):
-    """One passage in over 64 classes of spread sizes; pairs of 87 common shingles, 10 of their own and 3 rare ones that
-    both have: 90 of 110. The passage alone would do with the smaller classes of the bucket, not with each other."""
-    rng, passage = random.Random(5), [f"c{i}" for i in range(87)]
-    rows = [(i, " ".join(rng.sample(passage, 74) + [f"f{i}x{j}" for j in range(rng.randrange(12, 22))])) for i in range(300)]
-    for i in range(300, 320):
-        rows.append((i, " ".join(passage + [f"r{i // 2}x{j}" for j in range(3)] + [f"o{i}x{j}" for j in range(10)])))
-    want = minhash.brute_force(rows, 1)
-    assert all(want[i] == i - i % 2 for i in range(300, 320))
-    got = {r.doc_id: r.component_id for r in minhash.near_digest(spark.createDataFrame(rows, "doc_id long, text string"), k=1).collect()}
-    assert got == want
-
-
 def test_all_lines_of_an_order_count(spark, tmp_path):
     lines = [(1, 1, 5, 1), (1, 2, 6, 2), (1, 3, 7, 3), (10, 1, 8, 2), (2, 2, 6, 3)]
     spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
@@ -66,11 +52,3 @@ def test_all_lines_of_an_order_count(spark, tmp_path):
     bins, srcs = ({tuple(r) for r in e.collect()} for e in fixtures.document_edges(spark, str(tmp_path)))
     assert srcs == {(s * 2, p * 2) for _, s, p, _ in lines}
     assert bins == {(s * 2 + 1, p * 2 + 1) for o, s, p, _ in lines if o % 10}
-
-
-def test_equal_blocks_all_count(spark):
-    """The same rows in two partitions are two equal blocks: scores are those of one partition that holds them twice."""
-    rows = [(i, f"a b{i % 7} c d{i % 5} e{i % 3}") for i in range(40)]
-    twice = lambda parts: spark.createDataFrame(spark.sparkContext.parallelize(rows + rows, parts), "doc_id long, text string")
-    score = lambda docs: {(r.doc_id, round(r.score, 9), r.train_tokens) for r in lm.score(docs, top=6).collect()}
-    assert score(twice(2)) == score(twice(1))
