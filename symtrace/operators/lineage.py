@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; where that is unset (tests), in a local one. A frame
-    that is a checkpoint already stays as it is."""
+    """A reliable checkpoint in the folder of spark.checkpoint.dir. Where that is unset, a local folder does if the executors
+    run in the driver (tests), and is refused elsewhere. A frame that is a checkpoint already stays as it is."""
     if getattr(df, "_is_cut", False):
         return df
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="symtrace-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="symtrace-"))
     out = df.checkpoint()
     out._is_cut = True
     return out

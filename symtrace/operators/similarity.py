@@ -11,7 +11,8 @@ from .lineage import cut
 
 def overlaps(bins: DataFrame, srcs: DataFrame) -> DataFrame:
     """bin_id, src_id, n_i, w_i: number and weight of the strings both have. Inputs: func_id, s, w. The join is on the
-    string, pairs without a common one never arise; pair counts are summed before they are shuffled."""
+    string, pairs without a common one never arise; pair counts are summed before they are shuffled. All pairs of a string
+    that many functions have arise, as the result has them all: for a threshold, similar_pairs never makes them."""
     b = bins.select(F.col("func_id").alias("bin_id"), "s", "w")
     s = srcs.select(F.col("func_id").alias("src_id"), "s")
     return b.join(s, "s").groupBy("bin_id", "src_id").agg(F.count("*").alias("n_i"), F.sum("w").alias("w_i"))
@@ -21,15 +22,14 @@ def totals(strings: DataFrame) -> DataFrame:
     return strings.groupBy("func_id").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
 
 
-def similarity(bins: DataFrame, srcs: DataFrame, rarity: DataFrame | None = None, positive_only: bool = False) -> DataFrame:
+def similarity(bins: DataFrame, srcs: DataFrame, rarity: DataFrame | None = None) -> DataFrame:
     """bin_id, src_id, shared, jaccard, weighted of all pairs with a common string. Inputs: func_id, s. rarity: s, idf of
-    the binary side by default. positive_only leaves out strings of weight 0 in the join: safe where only `weighted` is used."""
+    the binary side by default. The output is all such pairs, so this is for small sides and for reports."""
     rarity = features.idf(bins) if rarity is None else rarity
     b, s = features.weighted(bins, rarity), features.weighted(srcs, rarity)
-    index = b.where("w > 0") if positive_only else b
     tb = totals(b).select(F.col("func_id").alias("bin_id"), F.col("n").alias("n_a"), F.col("w").alias("w_a"))
     ts = totals(s).select(F.col("func_id").alias("src_id"), F.col("n").alias("n_b"), F.col("w").alias("w_b"))
-    return _scored(overlaps(index, srcs).join(tb, "bin_id").join(ts, "src_id"))
+    return _scored(overlaps(b, srcs).join(tb, "bin_id").join(ts, "src_id"))
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def _scored(pairs: DataFrame) -> DataFrame:
 def _prefix(strings: DataFrame, measure: Column, threshold: float) -> DataFrame:
     """func_id, s: each function's strings from rare to common, up to where what is left is less than threshold times
     the whole. Of two sets with a similarity of threshold or more, these ends have a string in common."""
-    after = Window.partitionBy("func_id").orderBy(F.desc("w"), "s").rowsBetween(0, Window.unboundedFollowing)
+    after = Window.partitionBy("func_id").orderBy("w", F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)  # read once
     rows = strings.withColumn("rest", F.sum(measure).over(after)).withColumn("all", F.sum(measure).over(Window.partitionBy("func_id")))
     return rows.where(F.col("rest") >= (threshold - 1e-9) * F.col("all")).select("func_id", "s")
 

@@ -17,13 +17,27 @@ def read_extract(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: doc.select(F.inline(F.coalesce(F.col(name), F.array().cast(doc.schema[name].dataType)))) for name in ("functions", "strings", "call_graph", "func_string_refs")}
 
 
+#: Rows of one table that a document may have: a document is one value, in one task.
+MOST_ROWS = 5_000_000
+
+
 def write_extract(tables: dict[str, DataFrame], path: str, program: str = "", image_base: str = "") -> None:
-    """One JSON document of the four tables. A document is one value, so it is for programs, not for corpora."""
+    """One JSON document for each program: tables may have a column program; without one their rows are of `program`. A
+    program with more than MOST_ROWS rows in a table is refused, as its document would be too large for a task."""
     spark = next(iter(tables.values())).sparkSession
-    doc = spark.range(1).select(F.lit(program).alias("program"), F.lit(image_base).alias("image_base"))
+    docs = spark.createDataFrame([(program,)], "program string") if any("program" not in df.columns for df in tables.values()) else None
+    lists = []
     for name, df in tables.items():
-        doc = doc.crossJoin(F.broadcast(df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))))
-    doc.coalesce(1).write.mode("overwrite").json(path)
+        df = df if "program" in df.columns else df.withColumn("program", F.lit(program))
+        large = df.groupBy("program").agg(F.count("*").alias("n")).where(F.col("n") > MOST_ROWS).limit(1).collect()
+        if large:
+            raise ValueError(f"{name} of program {large[0]['program']!r} has {large[0]['n']} rows; write Parquet relations instead")
+        lists.append(df.groupBy("program").agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != "program"]))).alias(name)))
+        docs = df.select("program").distinct() if docs is None else docs.unionByName(df.select("program")).distinct()
+    for one in lists:
+        docs = docs.join(one, "program", "left")
+    docs = docs.withColumn("image_base", F.lit(image_base)).select("program", "image_base", *tables)
+    docs.write.mode("overwrite").json(path)
 
 
 def raw_strings(blocks: DataFrame, least: int = 5) -> DataFrame:
@@ -66,6 +80,23 @@ def containing(refs: DataFrame, ranges: DataFrame, width: int = 1 << 12) -> Data
     return refs.withColumn("cell", F.floor(F.col("addr") / width)).join(cells, "cell").where("addr between lo and hi").drop("cell", "lo", "hi")
 
 
+def string_refs(strings: DataFrame, refs: DataFrame, functions: DataFrame, image_base: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(func_addr, string_addr, ref_addr of the references to strings that lie in a function; one row of counters).
+    strings: address, addr_offset; refs: from_addr, to_addr; functions: address, lo, hi. The counters: total strings,
+    skipped_below_base, addr_convert_fail, no_refs, refs_found, no_containing_func, added."""
+    offset = F.coalesce(scalars.from_hex(F.col("address")), F.col("addr_offset"))
+    known = strings.select("address", F.col("addr_offset") < image_base, offset.alias("to_addr")).toDF("address", "below", "to_addr")
+    known = known.withColumn("below", F.coalesce("below", F.lit(False)))
+    usable = known.where("not below and to_addr is not null")
+    met = usable.join(refs.select("from_addr", "to_addr"), "to_addr")
+    found = containing(met.withColumnRenamed("from_addr", "addr"), functions.select(F.col("address").alias("id"), "lo", "hi"))
+    rows = found.select(F.col("id").alias("func_addr"), F.col("address").alias("string_addr"), scalars.to_hex(F.col("addr")).alias("ref_addr"))
+    one = known.agg(F.count("*").alias("total"), F.count_if("below").alias("skipped_below_base"), F.count_if("not below and to_addr is null").alias("addr_convert_fail"))
+    unmet = usable.join(refs.select("to_addr").distinct(), "to_addr", "left_anti").agg(F.count("*").alias("no_refs"))
+    counted = met.agg(F.count("*").alias("refs_found")).crossJoin(rows.agg(F.count("*").alias("added")))  # one row each
+    return rows, one.crossJoin(unmet).crossJoin(counted).withColumn("no_containing_func", F.col("refs_found") - F.col("added"))
+
+
 def resolve(edges: DataFrame, ids: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     """(edges with the ids of their address columns, edges that name an address no row of ids (id, address) has)."""
     out = edges
@@ -77,13 +108,20 @@ def resolve(edges: DataFrame, ids: DataFrame, *columns: str) -> tuple[DataFrame,
     return out.where(~missing), out.where(missing).drop(*[f"{c}_id" for c in columns])
 
 
-def next_call(refs: DataFrame, calls: DataFrame, tolerance: Column | int = TOLERANCE) -> DataFrame:
+def next_call(refs: DataFrame, calls: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """As-of join, forward and strict: refs (func, addr, ...) with callee and call_addr of the first call (func, addr,
-    callee, seq) after the address, if it is at most `tolerance` away. Only the nearest call counts. One shuffle by func."""
+    callee, seq) after the address, if it is at most `tolerance` away. Only the nearest call counts.
+
+    One shuffle by function and cell of addresses, so that a function with very many rows is many groups: a call is in its
+    cell and, if references of the cell before can reach it, in that one. In a group rows are read once, from the highest
+    address down, with the least call so far."""
     extra = [c for c in refs.columns if c not in ("func", "addr")]
-    r = refs.select("func", "addr", F.lit(False).alias("is_call"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast(calls.schema["callee"].dataType).alias("callee"), F.struct(*extra).alias("extra") if extra else F.lit(None).alias("extra"))
-    c = calls.select("func", "addr", F.lit(True).alias("is_call"), F.col("seq").cast("long").alias("seq"), "callee", F.lit(None).cast(r.schema["extra"].dataType).alias("extra"))
-    w = Window.partitionBy("func").orderBy("addr").rangeBetween(1, Window.unboundedFollowing)
+    width = 64 * max(1, tolerance)
+    cell = lambda a: F.floor(a / width)
+    r = refs.select("func", "addr", cell(F.col("addr")).alias("cell"), F.lit(False).alias("is_call"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast(calls.schema["callee"].dataType).alias("callee"), F.struct(*extra).alias("extra") if extra else F.lit(None).alias("extra"))
+    cells = F.array_distinct(F.array(cell(F.col("addr")), cell(F.col("addr") - tolerance)))
+    c = calls.select("func", "addr", F.explode(cells).alias("cell"), F.lit(True).alias("is_call"), F.col("seq").cast("long").alias("seq"), "callee", F.lit(None).cast(r.schema["extra"].dataType).alias("extra"))
+    w = Window.partitionBy("func", "cell").orderBy(F.desc("addr")).rangeBetween(Window.unboundedPreceding, -1)
     found = F.min(F.when(F.col("is_call"), F.struct("addr", "seq", "callee"))).over(w)
     near = F.col("found.addr") - F.col("addr") <= tolerance
     out = r.unionByName(c).withColumn("found", found).where(~F.col("is_call"))
