@@ -1,6 +1,13 @@
-"""Command line: match MODE INPUT OUTPUT | summary DIR | top DIR [N] [MIN] | candidates DIR [N] | search DIR NAME | export DIR FILE | scan PATH OUT | import JSON OUT.
+"""Command line:
 
-INPUT holds Parquet tables bin_info, src_info, bin_strings, src_strings, bin_edges, src_edges; DIR is an exported result."""
+    scan PATH OUT                     parse a source tree (or one file) into relations
+    import JSON OUT                   import a disassembler's extract into relations
+    match MODE SOURCES BINARIES OUT   match relations (Parquet folders or SQLite files); MODE is v2 or v3
+    match MODE PREPARED OUT           the same from the six tables bin_info, src_info, bin_strings, src_strings, bin_edges, src_edges
+    summary DIR | top DIR [N] [MIN] | candidates DIR [N] | search DIR NAME | export DIR FILE
+
+Options of match: --phase NAME (repeatable) runs only these phases; --resume DIR starts from exported results. DIR is an
+exported result."""
 
 from __future__ import annotations
 
@@ -11,8 +18,7 @@ from pyspark.sql import SparkSession
 
 def main(args: list[str]) -> int:
     from symtrace.plans import engine, report
-    from symtrace.plans.state import Inputs
-    from symtrace.sources import extract, source_scan
+    from symtrace.sources import extract, relations, source_scan
 
     if len(args) < 2:
         print(__doc__)
@@ -21,10 +27,17 @@ def main(args: list[str]) -> int:
     command, path, *rest = args
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     if command == "match":
-        folder, out = rest
-        inputs = Inputs.of(*[spark.read.parquet(f"{folder}/{n}") for n in ("bin_info", "src_info", "bin_strings", "src_strings", "bin_edges", "src_edges")])
-        run = engine.MatchEngine.of(path)
-        engine.export(out, inputs, run.run(inputs), run, path)
+        options: dict[str, list[str]] = {"--phase": [], "--resume": []}
+        while rest and (at := next((k for k, x in enumerate(rest) if x in options), None)) is not None:
+            options[rest[at]] += rest[at + 1 : at + 2]
+            del rest[at : at + 2]
+        if path not in engine.MODES or len(rest) not in (2, 3):
+            print(__doc__)
+            return 2
+        *tables, out = rest
+        loader = relations.PreparedLoader(*tables) if len(tables) == 1 else relations.RelationLoader(*tables, path)
+        state = engine.resume(spark, options["--resume"][-1]) if options["--resume"] else None
+        engine.MatchEngine.of(path, options["--phase"], engine.PrintLogger()).execute(spark, loader, engine.ParquetExporter(out), state)
     elif command == "summary":
         for df in (report.overall(read("mapping_results")), report.buckets(read("mapping_results")), report.methods(read("mapping_results")), read("statistics").orderBy("phase")):
             df.show(truncate=False)

@@ -13,7 +13,7 @@ from symtrace.functions import scalars
 from symtrace.operators import assign, similarity
 
 from . import v2, v3
-from .state import Inputs, Phase, State
+from .state import Exporter, Inputs, Loader, Logger, Phase, State
 
 MODES = {"v2": v2.PHASES, "v3": v3.PHASES}
 
@@ -26,21 +26,37 @@ def statistics(state: State, phase: str, seconds: float | None = None) -> DataFr
 
 @dataclass
 class MatchEngine:
-    """Runs the phases over the inputs, one statistics row after each."""
+    """Runs the phases over the inputs, one statistics row after each. The mode says which rules the results follow."""
 
     phases: Sequence[tuple[str, Phase]]
+    mode: str = "v3"
+    logger: Logger | None = None
     stats: list[DataFrame] = field(default_factory=list)
 
     @classmethod
-    def of(cls, mode: str) -> MatchEngine:
-        return cls(MODES[mode])
+    def of(cls, mode: str, only: Sequence[str] = (), logger: Logger | None = None) -> MatchEngine:
+        """The phases of a mode, or those named."""
+        if unknown := set(only) - {name for name, _ in MODES[mode]}:
+            raise ValueError(f"{mode} has no {', '.join(sorted(unknown))}")
+        return cls([(name, phase) for name, phase in MODES[mode] if not only or name in only], mode, logger)
 
     def run(self, inputs: Inputs, state: State | None = None) -> State:
         state = state or State.empty(inputs.bin_info.sparkSession)
         for name, phase in self.phases:
             began = time.time()
             state = phase(inputs, state)
-            self.stats.append(statistics(state, name, time.time() - began))
+            seconds = time.time() - began
+            self.stats.append(statistics(state, name, seconds))
+            if self.logger:
+                row = self.stats[-1].first()
+                self.logger.phase(name, row["confirmed_count"], row["candidate_count"], seconds)
+        return state
+
+    def execute(self, spark: SparkSession, loader: Loader, exporter: Exporter, state: State | None = None) -> State:
+        """Load, run all phases, export."""
+        inputs = loader.load(spark)
+        state = self.run(inputs, state)
+        exporter.export(inputs, state, self.statistics(), self.mode)
         return state
 
     def statistics(self) -> DataFrame:
@@ -50,6 +66,24 @@ class MatchEngine:
         return out.orderBy("phase")
 
 
+@dataclass(frozen=True)
+class ParquetExporter:
+    """Overwrites the four result tables under a path."""
+
+    path: str
+
+    def export(self, inputs: Inputs, state: State, statistics: DataFrame, mode: str) -> None:
+        for name, df in (("mapping_results", results(inputs, state, mode)), ("mapping_candidates", candidates(state, mode)), ("mapping_log", match_log(state)), ("statistics", statistics)):
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+
+class PrintLogger:
+    """Tells the standard output about each phase."""
+
+    def phase(self, name: str, confirmed: int, candidates: int, seconds: float) -> None:
+        print(f"{name}: {confirmed} confirmed, {candidates} candidates, {seconds:.1f} s")
+
+
 def results(inputs: Inputs, state: State, mode: str = "v3") -> DataFrame:
     """mapping_results: confirmed matches with records on both sides; v3 keeps one match of each source name, v2 all, with
     the call similarity against the final mapping."""
@@ -76,10 +110,9 @@ def match_log(state: State) -> DataFrame:
     return state.log.select("phase", F.col("bin_id").alias("bin_func_id"), F.col("src_id").alias("src_func_id"), "score", "reason", F.current_timestamp().alias("timestamp"))
 
 
-def export(path: str, inputs: Inputs, state: State, engine: MatchEngine, mode: str = "v3") -> None:
-    """Overwrite the four result tables under path."""
-    for name, df in (("mapping_results", results(inputs, state, mode)), ("mapping_candidates", candidates(state, mode)), ("mapping_log", match_log(state)), ("statistics", engine.statistics())):
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+def export(path: str, inputs: Inputs, state: State, engine: MatchEngine) -> None:
+    """Overwrite the four result tables under path, by the rules of the engine's mode."""
+    ParquetExporter(path).export(inputs, state, engine.statistics(), engine.mode)
 
 
 def resume(spark: SparkSession, path: str) -> State:
@@ -91,4 +124,4 @@ def resume(spark: SparkSession, path: str) -> State:
     return State.empty(spark).confirm(kept, 0).settled()
 
 
-__all__ = ["MODES", "MatchEngine", "candidates", "export", "match_log", "results", "resume", "statistics"]
+__all__ = ["MODES", "MatchEngine", "ParquetExporter", "PrintLogger", "candidates", "export", "match_log", "results", "resume", "statistics"]

@@ -46,8 +46,7 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def document_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(binary edges, source edges) over document ids: order lines link the documents numbered by supplier and part. All
-    lines count; the SQL of v3_pipeline has the first of each order only."""
+    """(binary edges, source edges) over document ids: order lines link the documents numbered by supplier and part."""
     lines = table(spark, sf_dir, "lineitem")
     edge = lambda df, side: df.select((F.col("l_suppkey") * 2 + side).alias("caller_id"), (F.col("l_partkey") * 2 + side).alias("callee_id")).where("caller_id <> callee_id").distinct()
     return edge(lines.where("l_orderkey % 10 <> 0"), 1), edge(lines, 0)
@@ -81,3 +80,9 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, raw: the quoted values of href attributes."""
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href=("[^"]*")'), 1)).alias("raw"))
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_path, lang, content: a small C file for each supplier, with one definition and two calls."""
+    text = F.format_string('/* call("no") */\nint fn_%d(int x) {\n  if (x) {\n    log_it("%s", x);\n  }\n  return g%d(x);\n}\n', "s_suppkey", "s_name", F.col("s_suppkey") % 7)
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("/src/"), F.col("s_suppkey").cast("string"), F.lit(".c")).alias("file_path"), F.lit("c").alias("lang"), text.cast("binary").alias("content"))

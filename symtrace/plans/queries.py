@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from symtrace.functions import scalars
 from symtrace.operators import assign, features, similarity
-from symtrace.sources import extract, source_scan, store
+from symtrace.operators.lineage import cut
+from symtrace.sources import extract, relations, source_scan, store
 
-from . import engine, report, v2
+from . import engine, report, v2, v3
 from . import fixtures as fx
-from .state import State
+from .state import Inputs, State
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +33,12 @@ def query(sql: str | None):
     return register
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and the executors share."""
+    cut(spark.range(1))  # the checkpoint folder exists from here on
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 r6 = lambda c: F.round(c, 6).alias(c)
 
 
@@ -67,15 +75,20 @@ GRAPH = """se AS (SELECT DISTINCT l_suppkey AS caller_id, 100000 + l_partkey AS
 nodes AS (SELECT caller_id AS id FROM be UNION SELECT callee_id FROM be), seeds AS (SELECT id AS bin_id, id AS src_id FROM nodes WHERE id % 10 <> 0)"""
 
 
-def _side_sql(name: str, own: str, other: str) -> str:
-    return f"""{name}m AS (SELECT DISTINCT {own} AS bin_id, src_id AS ns FROM be JOIN seeds ON seeds.bin_id = {other}), {name}s AS (SELECT DISTINCT {own} AS src_id, {other} AS ns FROM se),
-{name} AS (SELECT p.bin_id, p.src_id, coalesce(max(a.n), 0) AS n_m, coalesce(max(z.n), 0) AS n_s, count(i.ns) AS n_i FROM pairs p
-  LEFT JOIN (SELECT bin_id, count(*) AS n FROM {name}m GROUP BY 1) a USING (bin_id) LEFT JOIN (SELECT src_id, count(*) AS n FROM {name}s GROUP BY 1) z USING (src_id)
-  LEFT JOIN (SELECT m.bin_id, s.src_id, m.ns FROM {name}m m JOIN {name}s s USING (ns)) i ON i.bin_id = p.bin_id AND i.src_id = p.src_id GROUP BY 1, 2)"""
+def _side_sql(name: str, own: str, other: str, t: str = "", pairs: str = "pairs", seeds: str = "seeds", be: str = "be", se: str = "se") -> str:
+    return f"""{name}m{t} AS (SELECT DISTINCT {own} AS bin_id, src_id AS ns FROM {be} JOIN {seeds} z ON z.bin_id = {other}), {name}s{t} AS (SELECT DISTINCT {own} AS src_id, {other} AS ns FROM {se}),
+{name}{t} AS (SELECT p.bin_id, p.src_id, coalesce(a.n, 0) AS n_m, coalesce(z.n, 0) AS n_s, coalesce(i.n, 0) AS n_i FROM {pairs} p
+  LEFT JOIN (SELECT bin_id, count(*) AS n FROM {name}m{t} GROUP BY 1) a USING (bin_id) LEFT JOIN (SELECT src_id, count(*) AS n FROM {name}s{t} GROUP BY 1) z USING (src_id)
+  LEFT JOIN (SELECT q.bin_id, q.src_id, count(*) AS n FROM (SELECT DISTINCT bin_id, src_id FROM {pairs}) q JOIN {name}m{t} m ON m.bin_id = q.bin_id JOIN {name}s{t} s ON s.src_id = q.src_id AND s.ns = m.ns GROUP BY 1, 2) i ON i.bin_id = p.bin_id AND i.src_id = p.src_id)"""
+
+
+def call_sql(t: str = "", **names: str) -> str:
+    """CTEs whose last is calls (bin_id, src_id, call), their names ending in t; names: what pairs, seeds, be, se are called."""
+    return f"""{_side_sql("up", "callee_id", "caller_id", t, **names)}, {_side_sql("dn", "caller_id", "callee_id", t, **names)},
+calls{t} AS (SELECT DISTINCT bin_id, src_id, (coalesce(up{t}.n_i / CAST(nullif(up{t}.n_m + up{t}.n_s - up{t}.n_i, 0) AS DOUBLE), 0) + coalesce(dn{t}.n_i / CAST(nullif(dn{t}.n_m + dn{t}.n_s - dn{t}.n_i, 0) AS DOUBLE), 0)) / 2 AS call FROM up{t} JOIN dn{t} USING (bin_id, src_id))"""
 
 
-CALL = f"""{_side_sql("up", "callee_id", "caller_id")}, {_side_sql("dn", "caller_id", "callee_id")},
-calls AS (SELECT bin_id, src_id, (coalesce(up.n_i / CAST(nullif(up.n_m + up.n_s - up.n_i, 0) AS DOUBLE), 0) + coalesce(dn.n_i / CAST(nullif(dn.n_m + dn.n_s - dn.n_i, 0) AS DOUBLE), 0)) / 2 AS call FROM up JOIN dn USING (bin_id, src_id))"""
+CALL = call_sql()
 UNSEEDED = "pairs AS (SELECT id AS bin_id, id AS src_id FROM nodes WHERE id % 10 = 0)"
 #: Results of the reports: similar documents stand for exported matches.
 RESULTS = f"""{LINES}, {IDF}, res AS (SELECT bin_id AS bin_func_id, printf('0x%08x', bin_id) AS bin_address, src_id AS src_func_id, 'src' || src_id || '_fn' AS src_func_name, round(0.35 * jaccard + 0.65 * weighted, 6) AS confidence,
@@ -167,6 +180,15 @@ def merge_remap(spark, sf_dir):
     return store.merge_sources(c.select("hash"), c.select("content"), c.withColumn("usage_count", F.lit(1)), none)["function_string_map"]
 
 
+@query(f"""WITH {_MERGE}, e AS (SELECT DISTINCT c_mktsegment || ':' || c_nationkey AS a, c_mktsegment || ':' || (c_custkey % 25) AS z, CAST(c_custkey % 9 AS INTEGER) AS call_line FROM customer)
+SELECT x.id AS caller_id, y.id AS callee_id, call_line FROM e JOIN f x ON x.hash = a JOIN f y ON y.hash = z""")
+def merge_remap_edges(spark, sf_dir):
+    key = lambda n: F.concat_ws(":", "c_mktsegment", n.cast("string"))
+    c = fx.table(spark, sf_dir, "customer").select(key(F.col("c_nationkey")).alias("hash"), key(F.col("c_custkey") % 25).alias("callee_hash"), F.col("c_mktsegment").alias("content"), (F.col("c_custkey") % 9).cast("int").alias("call_line"))
+    calls = c.select(F.col("hash").alias("caller_hash"), "callee_hash", "call_line")
+    return store.merge_sources(c.select("hash"), c.select("content"), c.select("hash", "content").withColumn("usage_count", F.lit(1)), calls)["source_call_graph"]
+
+
 @query("""SELECT doc_id, CAST((row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) % 8 AS INTEGER) AS chunk FROM documents""")
 def size_balanced_chunks(spark, sf_dir):
     return store.balanced(fx.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", 8).select("doc_id", "chunk")
@@ -233,6 +255,57 @@ def address_resolution(spark, sf_dir):
     return found.agg(F.count("*").alias("resolved")).crossJoin(F.broadcast(lost.agg(F.count("*").alias("skipped"))))
 
 
+_PARSED = """SELECT '/src/' || s_suppkey || '.c' AS file_path, unnest([
+  struct_pack(kind := 'def', name := 'fn_' || s_suppkey, a := 2, z := 7, strings := CAST([] AS VARCHAR[])), struct_pack(kind := 'call', name := 'log_it', a := 4, z := 4, strings := [s_name]),
+  struct_pack(kind := 'call', name := 'g' || (s_suppkey % 7), a := 6, z := 6, strings := CAST([] AS VARCHAR[]))]) AS r, left(sha256('/src/' || s_suppkey || '.c:fn_' || s_suppkey || ':2:7'), 16) AS opener FROM supplier"""
+
+
+@query(f"""SELECT file_path, r.kind AS kind, r.name AS name, CAST(r.a AS INTEGER) AS line_start, CAST(r.z AS INTEGER) AS line_end, left(sha256(file_path || ':' || r.name || ':' || r.a || ':' || r.z), 16) AS hash, CASE WHEN r.kind = 'call' THEN opener END AS caller_hash FROM ({_PARSED})""")
+def parsed_source(spark, sf_dir):
+    return source_scan.parsed(fx.source_files(spark, sf_dir)).select("file_path", "kind", "name", "line_start", "line_end", "hash", "caller_hash")
+
+
+@query(f"""SELECT DISTINCT unnest(r.strings) AS content, r.name AS name, file_path FROM ({_PARSED})""")
+def call_strings(spark, sf_dir):
+    tables = source_scan.source_relations(source_scan.parsed(fx.source_files(spark, sf_dir)))
+    functions = tables["functions"].select(F.col("id").alias("function_id"), "name", "file_path")
+    strings = tables["strings"].select(F.col("id").alias("string_id"), "content")
+    return tables["function_string_map"].join(functions, "function_id").join(strings, "string_id").select("content", "name", "file_path")
+
+
+@query(f"""SELECT a.name AS caller, b.name AS callee, b.line AS call_line FROM (SELECT file_path, r.name AS name FROM ({_PARSED}) WHERE r.kind = 'def') a JOIN (SELECT file_path, r.name AS name, CAST(r.a AS INTEGER) AS line FROM ({_PARSED}) WHERE r.kind = 'call') b USING (file_path)""")
+def source_call_graph(spark, sf_dir):
+    tables = source_scan.source_relations(source_scan.parsed(fx.source_files(spark, sf_dir)))
+    name = lambda i, n: tables["functions"].select(F.col("id").alias(i), F.col("name").alias(n))
+    return tables["source_call_graph"].join(name("caller_id", "caller"), "caller_id").join(name("callee_id", "callee"), "callee_id").select("caller", "callee", "call_line")
+
+
+@query("""SELECT printf('0x%08x', p_partkey * 16) AS address, p_name AS content, CAST(length(p_name) AS INTEGER) AS length FROM part WHERE p_partkey % 3 < 2 AND length(p_name) >= 2 AND p_partkey * 16 >= 4096""")
+def defined_strings(spark, sf_dir):
+    kind = F.when(F.col("p_partkey") % 3 == 0, "TerminatedCString").when(F.col("p_partkey") % 3 == 1, "uchar[4]").otherwise("dword")
+    return extract.defined_strings(fx.table(spark, sf_dir, "part").select((F.col("p_partkey") * 16).alias("offset"), kind.alias("data_type"), F.col("p_name").alias("value")))
+
+
+@query("""SELECT printf('0x%08x', s_suppkey) AS address, s_name AS name, CAST(s_nationkey AS BIGINT) AS size FROM supplier""")
+def extract_json_roundtrip(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "supplier").select(scalars.to_hex(F.col("s_suppkey")).alias("address"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("size"), F.concat(F.lit("p"), (F.col("s_suppkey") % 5).cast("string")).alias("program"))
+    path = shared_path(spark, "extract")
+    extract.write_extract({"functions": rows}, path)
+    return extract.read_extract(spark, path)["functions"].select("address", "name", "size")
+
+
+@query("""WITH s AS (SELECT p_partkey * 16 AS a, p_partkey % 10 = 0 AS bad, p_partkey * 16 < 320 AS below FROM part), u AS (SELECT a FROM s WHERE NOT bad AND NOT below),
+r AS (SELECT l_partkey * 32 AS t, l_orderkey AS f FROM lineitem), m AS (SELECT f FROM u JOIN r ON a = t), h AS (SELECT f FROM m JOIN supplier ON f BETWEEN s_suppkey * 500 AND s_suppkey * 500 + 199)
+SELECT (SELECT count(*) FROM s) AS total, (SELECT count(*) FROM s WHERE below) AS skipped_below_base, (SELECT count(*) FROM s WHERE bad AND NOT below) AS addr_convert_fail, (SELECT count(*) FROM u WHERE a NOT IN (SELECT t FROM r)) AS no_refs,
+  (SELECT count(*) FROM m) AS refs_found, (SELECT count(*) FROM m) - (SELECT count(*) FROM h) AS no_containing_func, (SELECT count(*) FROM h) AS added""")
+def xref_diagnostics(spark, sf_dir):
+    at = F.col("p_partkey") * 16
+    strings = fx.table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 10 == 0, "none").otherwise(scalars.to_hex(at)).alias("address"), F.when((F.col("p_partkey") % 10 != 0) | (at < 320), at).alias("addr_offset"))
+    refs = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("from_addr"), (F.col("l_partkey") * 32).alias("to_addr"))
+    ranges = fx.table(spark, sf_dir, "supplier").select(scalars.to_hex(F.col("s_suppkey") * 500).alias("address"), (F.col("s_suppkey") * 500).alias("lo"), (F.col("s_suppkey") * 500 + 199).alias("hi"))
+    return extract.string_refs(strings, refs, ranges, 320)[1]
+
+
 # Features
 
 
@@ -252,9 +325,8 @@ def indirect_strings(spark, sf_dir):
     return features.indirect_strings(*fx.order_brands(spark, sf_dir))
 
 
-@query("""SELECT DISTINCT o_custkey AS func_id, p_type AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1""")
+@query("""SELECT DISTINCT o_custkey AS func_id, p_type AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""")
 def caller_attributed_strings(spark, sf_dir):
-    # All lines of an order. The SQL above has its first line only: it is a part of this.
     lines = fx.table(spark, sf_dir, "lineitem")
     mapping = lines.select(F.col("l_orderkey").alias("function_id"), F.col("l_partkey").alias("string_id"))
     functions = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(0).alias("is_def"))
@@ -269,10 +341,45 @@ def function_strings(spark, sf_dir):
     return features.function_strings(mapping, fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("content")))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_returnflag AS ref_type FROM lineitem WHERE l_returnflag = 'R'""")
+_REF_TYPE = "CASE WHEN l_returnflag = 'R' THEN 'direct' ELSE l_returnflag END"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, ref_type, kind FROM (SELECT *, {_REF_TYPE} AS ref_type FROM lineitem), (SELECT unnest(['filter', 'fallback']) AS kind) WHERE ref_type = 'direct' AND kind = 'filter' OR ref_type <> 'direct' AND kind = 'fallback'""")
 def direct_ref_filter(spark, sf_dir):
-    refs = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", "direct").otherwise(F.col("l_returnflag")).alias("ref_type"))
-    return features.direct_refs(refs).select("l_orderkey", "l_linenumber", F.lit("R").alias("ref_type"))
+    refs = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_REF_TYPE).alias("ref_type"))
+    kinds = {"filter": refs, "fallback": refs.where("ref_type <> 'direct'")}  # the second has no direct one
+    one, two = (features.direct_refs(df).withColumn("kind", F.lit(k)) for k, df in kinds.items())
+    return one.unionByName(two)
+
+
+_CHILD = "strings AS (SELECT p_partkey AS id, p_name AS content FROM part), refs AS (SELECT l_orderkey AS func_id, l_partkey AS string_id, CASE WHEN l_returnflag = 'R' THEN 'direct' ELSE 'indirect' END AS ref_type FROM lineitem)"
+
+
+@query(f"""WITH {_CHILD} SELECT DISTINCT 'v3' AS mode, func_id, content AS s FROM refs JOIN strings ON id = string_id WHERE ref_type = 'direct' UNION ALL SELECT DISTINCT 'v2', func_id, content FROM refs JOIN strings ON id = string_id
+UNION ALL SELECT DISTINCT 'old', func_id, content FROM refs JOIN strings ON id = string_id WHERE ref_type <> 'direct'""")
+def loaded_binary_strings(spark, sf_dir):
+    strings = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("content"))
+    refs = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("func_id"), F.col("l_partkey").alias("string_id"), F.when(F.col("l_returnflag") == "R", "direct").otherwise("indirect").alias("ref_type"))
+    each = {"v3": relations.binary_strings(refs, strings, "v3"), "v2": relations.binary_strings(refs, strings, "v2"), "old": relations.binary_strings(refs.where("ref_type <> 'direct'"), strings, "v3")}
+    out = None
+    for name, df in each.items():
+        df = df.select(F.lit(name).alias("mode"), "func_id", "s")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+@query("""SELECT p_partkey AS src_id, p_name AS name, CAST(CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE p_partkey % 50 END AS BIGINT) AS size, p_brand AS file_path FROM part""")
+def function_info(spark, sf_dir):
+    last = F.when(F.col("p_partkey") % 11 != 0, F.col("p_size") + F.col("p_partkey") % 50)
+    rows = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("file_path"), F.col("p_size").alias("line_start"), last.alias("line_end"))
+    return relations.function_info(rows)
+
+
+@query("""SELECT s_suppkey AS bin_id, s_name AS name, CAST(CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE s_nationkey END AS BIGINT) AS size, printf('0x%08x', s_suppkey) AS address FROM supplier WHERE s_suppkey % 3 <> 0""")
+def non_library(spark, sf_dir):
+    size = F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey"))
+    rows = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), size.alias("size"), scalars.to_hex(F.col("s_suppkey")).alias("address"), (F.col("s_suppkey") % 3 == 0).cast("int").alias("is_library"))
+    return relations.non_library(rows)
 
 
 @query(f"""WITH {GRAPH} SELECT id AS func_id, CAST(sum(i) AS BIGINT) AS callers, CAST(sum(o) AS BIGINT) AS callees FROM (SELECT caller_id AS id, 0 AS i, 1 AS o FROM be UNION ALL SELECT callee_id, 1, 0 FROM be) GROUP BY id""")
@@ -378,24 +485,42 @@ def call_similarity(spark, sf_dir):
     return _calls(spark, sf_dir).select("bin_id", "src_id", r6("call"))
 
 
-@query(f"""WITH {GRAPH}, {UNSEEDED}, {CALL} SELECT bin_id, src_id, round(CASE WHEN round(call, 12) > 0.1 THEN 0.5 * 0.6 + call * 0.4 ELSE 0.5 END, 6) AS score FROM calls""")
-def callgraph_boost(spark, sf_dir):
-    boosted = F.when(F.round("call", 12) > 0.1, 0.5 * 0.6 + F.col("call") * 0.4).otherwise(0.5)
-    return _calls(spark, sf_dir).select("bin_id", "src_id", F.round(boosted, 6).alias("score"))
-
-
 _TWO_HOPS = """ub AS (SELECT caller_id AS x, callee_id AS y FROM be UNION SELECT callee_id, caller_id FROM be), us AS (SELECT caller_id AS x, callee_id AS y FROM se UNION SELECT callee_id, caller_id FROM se),
-pairs AS (SELECT DISTINCT ub.x AS bin_id, us.y AS src_id FROM ub JOIN seeds ON seeds.bin_id = ub.y JOIN us ON us.x = seeds.src_id WHERE ub.x % 100 = 0 AND ub.x > 100000)"""
+pairs AS (SELECT DISTINCT ub.x AS bin_id, us.y AS src_id FROM ub JOIN seeds ON seeds.bin_id = ub.y JOIN us ON us.x = seeds.src_id WHERE ub.x % 10 = 0)"""
 
 
 @query(f"""WITH {GRAPH}, {_TWO_HOPS}, {CALL} SELECT bin_id, src_id, round(call * 0.8, 6) AS score FROM calls WHERE round(call, 12) > 0.3""")
 def neighbor_inference(spark, sf_dir):
     bins, src, seeds, opened = _unseeded(spark, sf_dir)
-    # All open functions of F2. The SQL above has those numbered by hundreds over 100000 only: it is a part of this.
     found = similarity.inferred_pairs(opened.select("bin_id"), bins, src, seeds, 0.3)
     return found.select("bin_id", "src_id", F.round(F.col("call") * 0.8, 6).alias("score"))
 
 
+_BOOST = f"""WITH {GRAPH}, cand AS (SELECT id AS bin_id, id AS src_id FROM nodes WHERE id % 20 = 0), {_TWO_HOPS.replace("pairs AS", "two AS").replace("ub.x % 10 = 0", "ub.x % 20 = 10")}, pairs AS (SELECT * FROM cand UNION ALL SELECT * FROM two), {CALL},
+boosted AS (SELECT bin_id, src_id, CASE WHEN round(call, 12) > 0.1 THEN 0.9 * 0.6 + call * 0.4 ELSE 0.9 END AS score, CASE WHEN round(call, 12) > 0.1 THEN 'string+callgraph' ELSE 'c' END AS method FROM calls JOIN cand USING (bin_id, src_id)
+  UNION ALL SELECT bin_id, src_id, call * 0.8, 'callgraph' FROM calls JOIN two USING (bin_id, src_id) WHERE round(call, 12) > 0.3)"""
+
+
+def _call_phase(spark, sf_dir) -> State:
+    """Phase 3 alone: half of the open nodes have themselves as a candidate, the others have none."""
+    bins, src, seeds, opened = _unseeded(spark, sf_dir)
+    state = State.empty(spark).confirm(seeds.select("bin_id", "src_id", F.lit(1.0).alias("confidence"), F.lit("seed").alias("method")), 0)
+    mine = opened.where("bin_id % 20 = 0").select("bin_id", "src_id", F.lit(0.9).alias("score"), F.lit("c").alias("method"), F.col("src_id").alias("order"))
+    nodes = seeds.select("bin_id").unionByName(opened.select("bin_id"))
+    src_nodes = src.select(F.col("caller_id").alias("src_id")).unionByName(src.select(F.col("callee_id").alias("src_id"))).distinct()
+    return v2.call_graph(_GraphInputs(nodes, src_nodes, bins, src), state.propose(mine, 2).settled())
+
+
+@query(f"""{_BOOST} SELECT bin_id, src_id, round(score, 6) AS score, method FROM boosted""")
+def callgraph_boost(spark, sf_dir):
+    return _call_phase(spark, sf_dir).candidates.select("bin_id", "src_id", r6("score"), "method")
+
+
+@query(f"""{_BOOST} SELECT bin_id, src_id, round(score, 6) AS confidence, method FROM (SELECT *, row_number() OVER (PARTITION BY bin_id ORDER BY round(score, 12) DESC, src_id) AS r FROM boosted) WHERE r = 1 AND round(score, 12) > 0.7""")
+def callgraph_confirmed(spark, sf_dir):
+    return _call_phase(spark, sf_dir).confirmed.where("method <> 'seed'").select("bin_id", "src_id", r6("confidence"), "method")
+
+
 @query("""SELECT p_partkey, round(CASE WHEN p_size > 10 AND p_partkey % 60 > 0 THEN least(p_size, p_partkey % 60) / CAST(greatest(p_size, p_partkey % 60) AS DOUBLE) WHEN p_size > 0 AND p_size <= 10 AND p_partkey % 60 > 0 THEN 0.5 ELSE 0.5 END, 6) AS size_sim FROM part""")
 def size_similarity(spark, sf_dir):
     one = F.when(F.col("p_size") > 10, F.col("p_size")).otherwise(0)
@@ -448,16 +573,15 @@ def propagation_fixpoint(spark, sf_dir):
     bins, src, seeds, pairs = _near(spark, sf_dir)
     state = State.empty(spark).confirm(seeds.select("bin_id", "src_id", F.lit(1.0).alias("confidence"), F.lit("seed").alias("method")), 0)
     state = state.propose(pairs.select("bin_id", "src_id", F.lit(0.5).alias("score"), F.lit("c").alias("method"), F.col("src_id").alias("order")), 1).settled()
-    info = pairs.select("src_id").distinct()
-    inputs = _GraphInputs(info, bins, src)
+    inputs = _GraphInputs(pairs.select("bin_id").distinct(), pairs.select("src_id").distinct(), bins, src)
     return v2.propagation(inputs, state).confirmed.where("method <> 'seed'").select("bin_id", "src_id", F.round("confidence", 6).alias("confidence"))
 
 
 class _GraphInputs:
-    """Inputs of phase 5 alone."""
+    """Inputs of the phases that look at calls alone."""
 
-    def __init__(self, src_info: DataFrame, bin_edges: DataFrame, src_edges: DataFrame):
-        self.src_info, self.bin_edges, self.src_edges = src_info, bin_edges, src_edges
+    def __init__(self, bin_info: DataFrame, src_info: DataFrame, bin_edges: DataFrame, src_edges: DataFrame):
+        self.bin_info, self.src_info, self.bin_edges, self.src_edges = bin_info, src_info, bin_edges, src_edges
 
 
 # Reports
@@ -538,16 +662,66 @@ def _pipeline(mode: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.results(inputs, state, mode).drop("timestamp").withColumn("confidence", F.round("confidence", 6)).withColumn("call_similarity", F.round("call_similarity", 6))
 
 
-@query(None)
+_DOC_EDGES = "SELECT DISTINCT l_suppkey * 2 + {0} AS f, l_partkey * 2 + {0} AS g FROM lineitem WHERE l_suppkey <> l_partkey"
+
+
+def _best_sql(source: str, least: float, gap: float | None) -> str:
+    """The best candidate of each bin_id of source (bin_id, src_id, score, method, seq) above least, with a gap to the next."""
+    apart = f"AND (nx IS NULL OR round(score - nx, 12) > {gap})" if gap is not None else ""
+    return f"SELECT bin_id, src_id, score, method FROM (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS nx FROM {source} WINDOW w AS (PARTITION BY bin_id ORDER BY round(score, 12) DESC, seq, src_id)) WHERE r = 1 AND round(score, 12) > {least} {apart}"
+
+
+def _v2_sql() -> str:
+    """All phases of v2 over documents: k_n the candidates after a step, m_n the mapping, o_n the open candidates."""
+    out = [
+        f"{SENTENCES}, {EVIDENCE}, {IDF}",
+        f"be AS (SELECT DISTINCT f AS caller_id, g AS callee_id FROM ({_DOC_EDGES.format(1)} AND l_orderkey % 10 <> 0)), se AS (SELECT DISTINCT f AS caller_id, g AS callee_id FROM ({_DOC_EDGES.format(0)}))",
+        "info AS (SELECT doc_id, n_chars FROM documents)",
+        "m1 AS (SELECT bin_id, arg_min(src_id, s) AS src_id, CAST(0.95 AS DOUBLE) AS score, 'unique_string' AS method FROM ub JOIN uc USING (s) GROUP BY bin_id)",
+        "k2 AS (SELECT bin_id, src_id, 0.35 * jaccard + 0.65 * weighted AS score, 'string_set' AS method, 2 AS seq FROM sim WHERE round(0.35 * jaccard + 0.65 * weighted, 12) > 0.25 AND bin_id NOT IN (SELECT bin_id FROM m1))",
+        f"m2 AS (SELECT * FROM m1 UNION ALL {_best_sql('k2', 0.75, 0.15)})",
+        "o2 AS (SELECT * FROM k2 WHERE bin_id NOT IN (SELECT bin_id FROM m2))",
+        call_sql("_o", pairs="o2", seeds="m2"),
+        "lonely AS (SELECT doc_id AS bin_id FROM info WHERE doc_id % 2 = 1 AND doc_id NOT IN (SELECT bin_id FROM m2) AND doc_id NOT IN (SELECT bin_id FROM k2))",
+        "ube AS (SELECT caller_id AS x, callee_id AS y FROM be UNION SELECT callee_id, caller_id FROM be), use AS (SELECT caller_id AS x, callee_id AS y FROM se UNION SELECT callee_id, caller_id FROM se)",
+        "two AS (SELECT DISTINCT l.bin_id, use.y AS src_id FROM lonely l JOIN ube ON ube.x = l.bin_id JOIN m2 ON m2.bin_id = ube.y JOIN use ON use.x = m2.src_id WHERE use.y IN (SELECT doc_id FROM info WHERE doc_id % 2 = 0))",
+        call_sql("_l", pairs="two", seeds="m2"),
+        "k3 AS (SELECT k2.bin_id, k2.src_id, CASE WHEN round(call, 12) > 0.1 THEN score * 0.6 + call * 0.4 ELSE score END AS score, CASE WHEN round(call, 12) > 0.1 THEN 'string+callgraph' ELSE method END AS method, seq FROM k2 LEFT JOIN calls_o USING (bin_id, src_id)"
+        " UNION ALL SELECT bin_id, src_id, call * 0.8, 'callgraph', 3 FROM calls_l WHERE round(call, 12) > 0.3)",
+        "o3 AS (SELECT * FROM k3 WHERE bin_id NOT IN (SELECT bin_id FROM m2))",
+        f"m3 AS (SELECT * FROM m2 UNION ALL {_best_sql('o3', 0.70, None)})",
+        "o4 AS (SELECT * FROM o3 WHERE bin_id NOT IN (SELECT bin_id FROM m3))",
+        call_sql("_h", pairs="o4", seeds="m3"),
+        "h4 AS (SELECT o4.bin_id, o4.src_id, 0.5 * coalesce(0.4 * jaccard + 0.6 * weighted, 0) + 0.35 * coalesce(call, 0) + 0.15 * CASE WHEN x.n_chars > 0 AND y.n_chars > 0 THEN least(x.n_chars, y.n_chars) / CAST(greatest(x.n_chars, y.n_chars) AS DOUBLE) ELSE 0.5 END AS score, 'hybrid' AS method, seq"
+        " FROM o4 JOIN info y ON y.doc_id = o4.src_id LEFT JOIN info x ON x.doc_id = o4.bin_id LEFT JOIN sim ON sim.bin_id = o4.bin_id AND sim.src_id = o4.src_id LEFT JOIN calls_h ON calls_h.bin_id = o4.bin_id AND calls_h.src_id = o4.src_id)",
+        f"nh AS ({_best_sql('h4', 0.70, 0.10)}), f0 AS (SELECT * FROM m3 UNION ALL SELECT * FROM nh), c0 AS (SELECT * FROM h4), n0 AS (SELECT 1 AS one)",
+    ]
+    for k in range(1, v2.ROUNDS + 1):
+        sub = _PROP.replace("pairs", f"o5{k}").replace("JOIN seeds", f"JOIN f{k - 1}").replace("seeds.", f"f{k - 1}.").replace("pb AS", f"pb{k} AS").replace("bonus AS (", f"bonus{k} AS (").replace("FROM pb ", f"FROM pb{k} ")
+        out.append(f"o5{k} AS (SELECT * FROM c{k - 1} WHERE bin_id NOT IN (SELECT bin_id FROM f{k - 1}))")
+        out.append(sub)
+        out.append(f"c{k} AS (SELECT o5{k}.bin_id, o5{k}.src_id, least(score + coalesce(bonus, 0), 0.98) AS score, method || '+propagation' AS method, seq FROM o5{k} LEFT JOIN bonus{k} USING (bin_id, src_id))")
+        # A round after one that confirmed nothing doesn't take place.
+        out.append(f"n{k} AS (SELECT * FROM ({_best_sql(f'c{k}', 0.68, 0.12)}) WHERE EXISTS (SELECT 1 FROM n{k - 1}))")
+        out.append(f"f{k} AS (SELECT * FROM f{k - 1} UNION ALL SELECT * FROM n{k})")
+    last = f"f{v2.ROUNDS}"
+    out.append(call_sql("_z", pairs=last, seeds=last))
+    return (
+        "WITH " + ", ".join(out) + f" SELECT f.bin_id AS bin_func_id, printf('0x%08x', f.bin_id) AS bin_address, f.src_id AS src_func_id, y.source || '_' || f.src_id AS src_func_name, y.lang AS src_file_path, round(score, 6) AS confidence, method,"
+        " CASE WHEN method LIKE '%indirect%' THEN 'indirect' ELSE 'direct' END AS ref_type, CAST(coalesce(shared, 0) AS INTEGER) AS shared_strings, round(coalesce(call, 0), 6) AS call_similarity"
+        f" FROM {last} f JOIN documents x ON x.doc_id = f.bin_id JOIN documents y ON y.doc_id = f.src_id LEFT JOIN sim ON sim.bin_id = f.bin_id AND sim.src_id = f.src_id LEFT JOIN calls_z ON calls_z.bin_id = f.bin_id AND calls_z.src_id = f.src_id"
+    )
+
+
+@query(_v2_sql())
 def v2_pipeline(spark, sf_dir):
     return _pipeline("v2", spark, sf_dir)
 
 
-_DOC_EDGES = "SELECT DISTINCT l_suppkey * 2 + {0} AS f, l_partkey * 2 + {0} AS g FROM lineitem WHERE l_linenumber = 1 AND l_suppkey <> l_partkey"
 _V3 = f"""WITH {SENTENCES}, {EVIDENCE}, {greedy_sql("ev", "evidence", 6)},
 bi AS (SELECT DISTINCT f AS func_id, s FROM ({_DOC_EDGES.format(1)} AND l_orderkey % 10 <> 0) JOIN b ON b.func_id = g), ci AS (SELECT DISTINCT f AS func_id, s FROM ({_DOC_EDGES.format(0)}) JOIN c ON c.func_id = g),
-ev2 AS (SELECT bin_id, src_id, count(*) AS evidence FROM (SELECT s, min(func_id) AS bin_id FROM bi GROUP BY s HAVING count(*) = 1) JOIN (SELECT s, min(func_id) AS src_id FROM ci GROUP BY s HAVING count(*) = 1) USING (s)
-  WHERE bin_id NOT IN (SELECT bin_id FROM matched) AND src_id NOT IN (SELECT src_id FROM matched) GROUP BY 1, 2), {greedy_sql("ev2", "evidence", 8, "_2")},
+ev2_all AS (SELECT bin_id, src_id, count(*) AS evidence FROM (SELECT s, min(func_id) AS bin_id FROM bi GROUP BY s HAVING count(*) = 1) JOIN (SELECT s, min(func_id) AS src_id FROM ci GROUP BY s HAVING count(*) = 1) USING (s) GROUP BY 1, 2),
+ev2 AS (SELECT * FROM ev2_all WHERE bin_id NOT IN (SELECT bin_id FROM matched) AND src_id NOT IN (SELECT src_id FROM matched)), {greedy_sql("ev2", "evidence", 8, "_2")},
 done AS (SELECT * FROM matched UNION ALL SELECT * FROM matched_2),
 nn AS (SELECT greatest(count(DISTINCT func_id), 1) AS n FROM b), idf AS (SELECT s, ln((n + 1.0) / (count(*) + 1.0)) AS idf FROM b, nn GROUP BY s, n),
 bw AS (SELECT func_id, s, coalesce(idf, 1.0) AS w FROM bi LEFT JOIN idf USING (s) WHERE func_id NOT IN (SELECT bin_id FROM done)), cw AS (SELECT func_id, s, coalesce(idf, 1.0) AS w FROM ci LEFT JOIN idf USING (s) WHERE func_id NOT IN (SELECT src_id FROM done)),
@@ -566,11 +740,51 @@ def v3_pipeline(spark, sf_dir):
     return _pipeline("v3", spark, sf_dir)
 
 
+@query(f"""WITH {LINES}, {IDF}, near AS (SELECT bin_id, src_id, round(weighted, 12) AS wt FROM sim WHERE round(weighted, 12) >= 0.6), {greedy_sql("near", "wt", 12)}
+SELECT bin_id, src_id, round(CASE WHEN m THEN wt * 0.85 ELSE wt * 0.85 * 0.9 END, 6) AS score, CASE WHEN m THEN 'indirect_multi_string' ELSE 'indirect_multi_string_conflict' END AS method FROM (SELECT *, (bin_id, src_id) IN (SELECT (bin_id, src_id) FROM matched) AS m FROM near)""")
+def indirect_similarity_phase(spark, sf_dir):
+    """Matches and conflicts of v3's second phase alone, lines standing for indirect strings."""
+    bins, srcs = fx.by_lines(spark, sf_dir)
+    none = spark.createDataFrame([], "caller_id long, callee_id long")
+    state = v3.indirect_similarity(Inputs(None, None, bins, srcs, none, none, bins, srcs, features.idf(bins)), State.empty(spark))
+    return state.confirmed.select("bin_id", "src_id", F.round("confidence", 6).alias("score"), "method").unionByName(state.candidates.select("bin_id", "src_id", r6("score"), "method"))
+
+
+@query(f"""WITH {SENTENCES}, {EVIDENCE} SELECT 'phase1' AS phase, bin_id AS bin_func_id, arg_min(src_id, s) AS src_func_id, CAST(0.95 AS DOUBLE) AS score, 'unique_string: "' || left(min(s), 60) || '"' AS reason FROM ub JOIN uc USING (s) GROUP BY bin_id""")
+def phase_log(spark, sf_dir):
+    bins, srcs = fx.by_sentences(spark, sf_dir)
+    none = spark.createDataFrame([], "caller_id long, callee_id long")
+    state = v2.unique_string(Inputs(None, None, bins, srcs, none, none, None, None, None), State.empty(spark))
+    return engine.match_log(state).drop("timestamp")
+
+
+@query(f"""WITH {SENTENCES}, {EVIDENCE}, {greedy_sql("ev", "evidence", 6)} SELECT bin_id, src_id, CAST(0.95 AS DOUBLE) AS confidence, 'unique_string_direct' AS method FROM matched""")
+def resumed_matches(spark, sf_dir):
+    """Phase 1 exported, and read back as the state that a later run starts from."""
+    inputs = fx.document_inputs(spark, sf_dir)
+    state = v3.first_round(inputs, State.empty(spark))
+    path = shared_path(spark, "results")
+    engine.results(inputs, state, "v3").write.parquet(f"{path}/mapping_results")
+    return engine.resume(spark, path).confirmed.drop("seq")
+
+
+def _statistics_sql() -> str:
+    head = _V3[: _V3.index("conf AS (")].rstrip().rstrip(",")
+    return f"""{head}, p1 AS (SELECT (SELECT count(*) FROM done) AS c, (SELECT count(*) FROM ev) - (SELECT count(*) FROM matched) + (SELECT count(*) FROM ev2_all) - (SELECT count(*) FROM matched_2) AS k, (SELECT count(*) FROM matched) * 0.95 + (SELECT count(*) FROM matched_2) * 0.8 AS s),
+p2 AS (SELECT (SELECT count(*) FROM matched_3) AS c, (SELECT count(*) FROM near) - (SELECT count(*) FROM matched_3) AS k, (SELECT coalesce(sum(wt * 0.85), 0) FROM matched_3 JOIN near USING (bin_id, src_id)) AS s)
+SELECT 'phase1' AS phase, c AS confirmed_count, k AS candidate_count, round(CAST(s / c AS DOUBLE), 6) AS avg_confidence FROM p1 UNION ALL SELECT 'phase2', p1.c + p2.c, p1.k + p2.k, round(CAST((p1.s + p2.s) / (p1.c + p2.c) AS DOUBLE), 6) FROM p1, p2"""
+
+
+@query(_statistics_sql())
+def statistics_by_phase(spark, sf_dir):
+    run = engine.MatchEngine.of("v3")
+    run.run(fx.document_inputs(spark, sf_dir))
+    return run.statistics().select("phase", "confirmed_count", "candidate_count", r6("avg_confidence"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unique-string evidence, assigned one to one, as mapping_results rows."""
     inputs = fx.document_inputs(spark, sf_dir)
-    from . import v3
-
-    state = v3._round(State.empty(spark), inputs.bin_strings, inputs.src_strings, v3.DIRECT, "unique_string_direct", 10)
+    state = v3.first_round(inputs, State.empty(spark))
     return engine.results(inputs, state, "v3").drop("timestamp")
 

@@ -50,8 +50,9 @@ class State:
         return cls(spark.createDataFrame([], schemas.CONFIRMED), spark.createDataFrame([], schemas.CANDIDATES), spark.createDataFrame([], "phase STRING, bin_id LONG, src_id LONG, score DOUBLE, reason STRING"))
 
     def settled(self) -> State:
-        """The same state without the plans that led to it."""
-        return replace(self, confirmed=cut(self.confirmed), candidates=cut(self.candidates), log=cut(self.log))
+        """The same state without the plans that led to its matches and candidates. The log is read once, at the end, from
+        rows that phases have cut, so it stays a union."""
+        return replace(self, confirmed=cut(self.confirmed), candidates=cut(self.candidates))
 
     def confirm(self, rows: DataFrame, phase: int) -> State:
         """rows: bin_id, src_id, confidence, method."""
@@ -72,11 +73,21 @@ class State:
 
 
 class Loader(Protocol):
+    """Where inputs come from: sources.relations has one for stored relations and one for prepared tables."""
+
     def load(self, spark: SparkSession) -> Inputs: ...
 
 
 class Exporter(Protocol):
-    def export(self, inputs: Inputs, state: State) -> None: ...
+    """Where results go: engine.ParquetExporter writes the four result tables."""
+
+    def export(self, inputs: Inputs, state: State, statistics: DataFrame, mode: str) -> None: ...
+
+
+class Logger(Protocol):
+    """Who is told about each phase when it has ended: name, confirmed matches, candidates, seconds."""
+
+    def phase(self, name: str, confirmed: int, candidates: int, seconds: float) -> None: ...
 
 
 Phase = Callable[[Inputs, State], State]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from symtrace.functions.scalars import size_similarity
 from symtrace.operators import assign, features, similarity
+from symtrace.operators.lineage import cut
 
 from .state import Inputs, State
 
@@ -22,19 +23,19 @@ def _confirmed(rows: DataFrame) -> DataFrame:
 
 def unique_string(inputs: Inputs, state: State) -> State:
     """Phase 1: the first string that is unique on both sides; source functions may be claimed more than once."""
-    rows = assign.first_wins(inputs.bin_strings, inputs.src_strings).join(state.confirmed.select("bin_id"), "bin_id", "left_anti")
+    rows = cut(assign.first_wins(inputs.bin_strings, inputs.src_strings).join(state.confirmed.select("bin_id"), "bin_id", "left_anti"))
     note = rows.select("bin_id", "src_id", F.lit(0.95).alias("score"), F.format_string('unique_string: "%s"', F.substring("s", 1, 60)).alias("reason"))
-    return state.confirm(rows.select("bin_id", "src_id", F.lit(0.95).alias("confidence"), F.lit("unique_string").alias("method")), 1).noted("phase1", note).settled()
+    return state.confirm(rows.select("bin_id", "src_id", F.lit(0.95).alias("confidence"), F.lit("unique_string").alias("method")), 1).noted("phase1", note)
 
 
 def string_set(inputs: Inputs, state: State) -> State:
     """Phase 2: combined Jaccard and weighted similarity; above 0.25 a candidate, above 0.75 with a gap confirmed."""
     bins = inputs.bin_strings.join(state.confirmed.select(F.col("bin_id").alias("func_id")), "func_id", "left_anti")
-    scored = similarity.combined_candidates(bins, inputs.src_strings, 0.25, inputs.rarity)
+    scored = cut(similarity.combined_candidates(bins, inputs.src_strings, 0.25, inputs.rarity))
     rows = scored.select("bin_id", "src_id", "score", F.lit("string_set").alias("method"), F.col("src_id").alias("order"))
     note = scored.select("bin_id", "src_id", "score", F.format_string("jaccard=%.3f, weighted=%.3f, shared=%d", "jaccard", "weighted", "shared").alias("reason"))
-    state = state.propose(rows, 2).noted("phase2", note).settled()
-    return state.confirm(_confirmed(assign.best_with_gap(state.open_candidates(), 0.75, 0.15)), 2).settled()
+    state = state.propose(rows, 2).noted("phase2", note)
+    return state.confirm(cut(_confirmed(assign.best_with_gap(state.open_candidates(), 0.75, 0.15))), 2)
 
 
 def call_graph(inputs: Inputs, state: State) -> State:
@@ -45,17 +46,16 @@ def call_graph(inputs: Inputs, state: State) -> State:
     mapping = state.confirmed.select("bin_id", "src_id")
     calls = similarity.call_similarity(state.open_candidates(), inputs.bin_edges, inputs.src_edges, mapping)
     # A call similarity above 0 implies that both functions have an edge.
-    boosted = state.candidates.join(state.confirmed.select("bin_id", F.lit(True).alias("done")), "bin_id", "left").join(calls, ["bin_id", "src_id"], "left")
+    boosted = cut(state.candidates.join(state.confirmed.select("bin_id", F.lit(True).alias("done")), "bin_id", "left").join(calls, ["bin_id", "src_id"], "left"))
     up = F.col("done").isNull() & (F.round("call", 12) > 0.1)
     after = boosted.select("bin_id", "src_id", F.when(up, F.col("score") * 0.6 + F.col("call") * 0.4).otherwise(F.col("score")).alias("score"), F.when(up, "string+callgraph").otherwise(F.col("method")).alias("method"), "seq")
     note = boosted.where(up).select("bin_id", "src_id", F.col("call").alias("score"), F.format_string("call_similarity=%.3f", "call").alias("reason"))
     lonely = inputs.bin_info.select("bin_id").join(state.confirmed.select("bin_id"), "bin_id", "left_anti").join(state.candidates.select("bin_id").distinct(), "bin_id", "left_anti")
-    pairs = similarity.neighbour_candidates(lonely, inputs.bin_edges, inputs.src_edges, mapping).join(inputs.src_info.select("src_id"), "src_id", "left_semi")
-    found = similarity.call_similarity(pairs, inputs.bin_edges, inputs.src_edges, mapping, two_hops=True).where(F.round("call", 12) > 0.3)
+    found = cut(similarity.inferred_pairs(lonely, inputs.bin_edges, inputs.src_edges, mapping, 0.3).join(inputs.src_info.select("src_id"), "src_id", "left_semi"))
     rows = found.select("bin_id", "src_id", (F.col("call") * 0.8).alias("score"), F.lit("callgraph").alias("method"), F.col("src_id").alias("order"))
     note2 = found.select("bin_id", "src_id", F.col("call").alias("score"), F.format_string("neighbor_infer, call_similarity=%.3f", "call").alias("reason"))
-    state = replace(state, candidates=after).propose(rows, 3).noted("phase3", note).noted("phase3", note2).settled()
-    return state.confirm(_confirmed(assign.best_with_gap(state.open_candidates(), 0.70, None)), 3).settled()
+    state = replace(state, candidates=after).propose(rows, 3).noted("phase3", note).noted("phase3", note2)
+    return state.confirm(cut(_confirmed(assign.best_with_gap(state.open_candidates(), 0.70, None))), 3)
 
 
 def hybrid(inputs: Inputs, state: State) -> State:
@@ -68,11 +68,11 @@ def hybrid(inputs: Inputs, state: State) -> State:
     joined = opened.join(strings, ["bin_id", "src_id"], "left").join(calls, ["bin_id", "src_id"], "left")
     string, call = F.coalesce("string", F.lit(0.0)), F.coalesce("call", F.lit(0.0))
     size = size_similarity(F.coalesce("bin_size", F.lit(0)), F.coalesce("src_size", F.lit(0)))
-    scored = joined.select("bin_id", "src_id", similarity.hybrid(string, call, size).alias("score"), F.lit("hybrid").alias("method"), "seq", string.alias("st"), call.alias("ca"), size.alias("si"))
+    scored = cut(joined.select("bin_id", "src_id", similarity.hybrid(string, call, size).alias("score"), F.lit("hybrid").alias("method"), "seq", string.alias("st"), call.alias("ca"), size.alias("si")))
     done = state.candidates.join(state.confirmed.select("bin_id"), "bin_id", "left_semi")
     note = scored.select("bin_id", "src_id", "score", F.format_string("string=%.3f, call=%.3f, size=%.3f", "st", "ca", "si").alias("reason"))
-    state = replace(state, candidates=done.unionByName(scored.drop("st", "ca", "si"))).noted("phase4", note).settled()
-    return state.confirm(_confirmed(assign.best_with_gap(state.open_candidates(), 0.70, 0.10)), 4).settled()
+    state = replace(state, candidates=cut(done.unionByName(scored.drop("st", "ca", "si")))).noted("phase4", note)
+    return state.confirm(cut(_confirmed(assign.best_with_gap(state.open_candidates(), 0.70, 0.10))), 4)
 
 
 def propagated(inputs: Inputs, state: State) -> DataFrame:
@@ -85,15 +85,15 @@ def propagated(inputs: Inputs, state: State) -> DataFrame:
 
 def propagation(inputs: Inputs, state: State, rounds: int = ROUNDS) -> State:
     """Phase 5: scores rise by the neighbours that agree, until a round confirms nothing. Each round sees the mapping of
-    its start; both frames are checkpointed, so plans don't grow."""
+    its start; what a round makes is checkpointed once, so plans don't grow."""
     for k in range(rounds):
         done = state.candidates.join(state.confirmed.select("bin_id"), "bin_id", "left_semi")
-        state = replace(state, candidates=done.unionByName(propagated(inputs, state))).settled()
-        new = assign.best_with_gap(state.open_candidates(), 0.68, 0.12)
+        state = replace(state, candidates=cut(done.unionByName(propagated(inputs, state))))
+        new = cut(assign.best_with_gap(state.open_candidates(), 0.68, 0.12))
         if new.isEmpty():
             break
         note = new.select("bin_id", "src_id", "score", F.lit(f"iteration={k + 1}, propagation_bonus").alias("reason"))
-        state = state.confirm(_confirmed(new), 5 + k).noted("phase5", note).settled()
+        state = state.confirm(_confirmed(new), 5 + k).noted("phase5", note)
     return state
 
 

@@ -21,8 +21,12 @@ def _round(state: State, bins: DataFrame, srcs: DataFrame, confidence: float, me
     return state.propose(lost, phase).settled()
 
 
+def first_round(inputs: Inputs, state: State) -> State:
+    return _round(state, inputs.bin_strings, inputs.src_strings, DIRECT, "unique_string_direct", 10)
+
+
 def unique_strings(inputs: Inputs, state: State) -> State:
-    state = _round(state, inputs.bin_strings, inputs.src_strings, DIRECT, "unique_string_direct", 10)
+    state = first_round(inputs, state)
     return _round(state, inputs.bin_indirect, inputs.src_indirect, INDIRECT, "unique_string_indirect", 11)
 
 

@@ -37,7 +37,7 @@ def write_extract(tables: dict[str, DataFrame], path: str, program: str = "", im
     for one in lists:
         docs = docs.join(one, "program", "left")
     docs = docs.withColumn("image_base", F.lit(image_base)).select("program", "image_base", *tables)
-    docs.write.mode("overwrite").json(path)
+    docs.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)  # a file holds one document
 
 
 def raw_strings(blocks: DataFrame, least: int = 5) -> DataFrame:
@@ -91,7 +91,7 @@ def string_refs(strings: DataFrame, refs: DataFrame, functions: DataFrame, image
     met = usable.join(refs.select("from_addr", "to_addr"), "to_addr")
     found = containing(met.withColumnRenamed("from_addr", "addr"), functions.select(F.col("address").alias("id"), "lo", "hi"))
     rows = found.select(F.col("id").alias("func_addr"), F.col("address").alias("string_addr"), scalars.to_hex(F.col("addr")).alias("ref_addr"))
-    one = known.agg(F.count("*").alias("total"), F.count_if("below").alias("skipped_below_base"), F.count_if("not below and to_addr is null").alias("addr_convert_fail"))
+    one = known.agg(F.count("*").alias("total"), F.count_if(F.col("below")).alias("skipped_below_base"), F.count_if(~F.col("below") & F.col("to_addr").isNull()).alias("addr_convert_fail"))
     unmet = usable.join(refs.select("to_addr").distinct(), "to_addr", "left_anti").agg(F.count("*").alias("no_refs"))
     counted = met.agg(F.count("*").alias("refs_found")).crossJoin(rows.agg(F.count("*").alias("added")))  # one row each
     return rows, one.crossJoin(unmet).crossJoin(counted).withColumn("no_containing_func", F.col("refs_found") - F.col("added"))

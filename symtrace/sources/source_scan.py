@@ -4,6 +4,9 @@ Files are read by Spark's binaryFile source and parsed in Arrow batches. Functio
 a small lexer of the brace languages (C, C++, Go, Java, JavaScript, TypeScript, Rust) and of Python, as a full grammar
 isn't at hand; a file that can't be parsed gives one error row and no others, and the job goes on.
 
+Only plain names are recorded, as definitions and as calls: methods of classes (JavaScript, TypeScript, Go), destructors,
+operators and functions behind a qualified name have none, and an arrow function has that of its one bare parameter.
+
 Who calls: by default the function opened last before the call in the file (`last_opened`), or, with `enclosing`, the
 innermost function whose body holds the call.
 """
@@ -35,6 +38,10 @@ DEFINES = {
     "javascript": re.compile(r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*$"),
     "typescript": re.compile(r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)(?:<[^{}()]*>)?\s*$"),
 }
+#: What introduces a function without its name, or a method whose name isn't recorded: no calls.
+OPENERS = {"go": frozenset({"func"}), "rust": frozenset({"fn"}), "javascript": frozenset({"function"}), "typescript": frozenset({"function"})}
+GO_METHOD = re.compile(r"\bfunc\s*\([^()]*\)\s*$")
+ARROW = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*=>\s*\{")
 NAME = re.compile(r"([A-Za-z_$][\w$]*)(?:<[^<>(){};]*>)?\s*$")
 PYTHON_DEF = re.compile(r"^([ \t]*)(?:async[ \t]+)?def[ \t]+([A-Za-z_]\w*)[ \t]*\(", re.M)
 SKIP = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|^[ \t]*#[^\n]*(?:\\\n[^\n]*)*", re.S | re.M)
@@ -73,7 +80,7 @@ def parse(text: str, lang: str) -> list[dict]:
         start = m.start()
         close = pair.get(start)
         name = NAME.search(blank, max(0, start - 200), start)
-        if close is None or name is None or name[1].lower() in KEYWORDS:
+        if close is None or name is None or name[1].lower() in KEYWORDS or name[1] in OPENERS.get(lang, ()):
             continue
         body = re.compile(r"[^;{}()=]*\{").match(blank, close + 1)
         head = DEFINES.get(lang)
@@ -85,11 +92,18 @@ def parse(text: str, lang: str) -> list[dict]:
             out.append({"kind": "def", "name": name[1], "line_start": line(brace), "line_end": line(end), "at": name.start(1), "end": end, "strings": []})
         elif lang in WITH_CALLS and not re.search(r"[.>:]\s*$", blank[max(0, name.start(1) - 3) : name.start(1)]):
             before = blank[max(0, name.start(1) - 20) : name.start(1)]
-            if re.search(r"\b(?:func|fn|function|new)\s+\*?$", before):
+            if re.search(r"\b(?:func|fn|function|new)\s+\*?$", before) or lang == "go" and GO_METHOD.search(blank[max(0, start - 200) : name.start(1)]):
                 continue
+            if body is not None and lang in ("javascript", "typescript"):
+                continue  # a method: conditions are in parentheses there, so no call stands before a brace
             strings = [literal(s[0]) for s in SKIP.finditer(text, start + 1, close) if s[0][0] in '"`'] if lang in WITH_STRINGS else []
             at = line(name.start(1))
             out.append({"kind": "call", "name": name[1], "line_start": at, "line_end": at, "at": name.start(1), "end": close, "strings": strings})
+    if lang in ("javascript", "typescript"):
+        for m in ARROW.finditer(blank):
+            if m[1].lower() not in KEYWORDS:
+                end = pair.get(m.end() - 1, len(blank) - 1)
+                out.append({"kind": "def", "name": m[1], "line_start": line(m.end() - 1), "line_end": line(end), "at": m.start(1), "end": end, "strings": []})
     return sorted(out, key=lambda r: r["at"])
 
 

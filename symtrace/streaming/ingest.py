@@ -1,7 +1,8 @@
 """Incremental ingestion: extracts that arrive as files are imported batch by batch into the stored relations.
 
 Rows are keyed by their addresses within a program, so a batch that is replayed after a failure adds nothing: each batch
-goes through the same insert-or-ignore as a full import.
+goes through the same insert-or-ignore as a full import. Relations are stored by program, and a batch reads only the programs
+that it brings.
 """
 
 from __future__ import annotations
@@ -22,16 +23,17 @@ def read_extracts(spark: SparkSession, path: str, files_per_batch: int = 100) ->
 
 def _append(batch: DataFrame, out: str) -> None:
     spark = batch.sparkSession
+    programs = [r[0] for r in batch.where("program is not null").select("program").distinct().collect()]  # of a batch's files
     for name, key in KEYS.items():
         rows = batch.where(F.col(name).isNotNull()).select("program", F.inline(name))
         path = f"{out}/{name}"
         try:
-            known = spark.read.schema(rows.schema).parquet(path)
+            known = spark.read.schema(rows.schema).parquet(path).where(F.col("program").isin(programs) | F.col("program").isNull())
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             known = None
-        store.insert_or_ignore(rows, key, known).write.mode("append").parquet(path)
+        store.insert_or_ignore(rows, key, known).write.partitionBy("program").mode("append").parquet(path)
 
 
 def ingest(extracts: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -167,3 +167,39 @@ def test_every_query_matches_its_sql(spark):
 
     for name in ("evidence_pairs", "greedy_bijective", "similarity_bijective", "threshold_all_pairs", "call_similarity", "propagation_fixpoint", "asof_next_call", "merge_remap"):
         assert rows(queries.QUERIES[name](spark, sf).toPandas()) == rows(con.execute(queries.SQL[name]).fetch_df()), name
+
+
+def test_next_call_of_a_hot_function(spark):
+    """Very many references and calls of one function: as by a sorted list, over many groups, in seconds."""
+    import bisect
+    import random
+    import time
+
+    rng = random.Random(5)
+    refs = [(1, rng.randrange(0, 4_000_000), k) for k in range(40_000)]
+    calls = [(1, rng.randrange(0, 4_000_000), k, 1000 + k) for k in range(40_000)]
+    began = time.time()
+    got = extract.next_call(spark.createDataFrame(refs, "func long, addr long, string long"), spark.createDataFrame(calls, "func long, addr long, seq long, callee long")).collect()
+    assert time.time() - began < 60 and len(got) == len(refs)
+    order = sorted((a, s, c) for _, a, s, c in calls)
+    starts = [a for a, _, _ in order]
+    for r in got:
+        k = bisect.bisect_right(starts, r.addr)
+        near = order[k] if k < len(order) and order[k][0] - r.addr <= extract.TOLERANCE else None
+        assert (r.callee, r.call_addr) == ((near[2], near[0]) if near else (None, None))
+
+
+def test_methods_are_no_calls():
+    js = "class A { run(x) { go(x); } }\nitems.map(x => { show(x); });\nfunction top(a) { later(); }\nif (cond(a)) { b(); }\n"
+    rows = [(r["kind"], r["name"]) for r in source_scan.parse(js, "javascript")]
+    assert rows == [("call", "go"), ("def", "x"), ("call", "show"), ("def", "top"), ("call", "later"), ("call", "cond"), ("call", "b")]
+    go = "func (r *T) Method(x int) int { return plain(x) }\nfunc Plain(x int) int { go func() { other(x) }(); if check(x) { return 1 } }\n"
+    assert [(r["kind"], r["name"]) for r in source_scan.parse(go, "go")] == [("call", "plain"), ("def", "Plain"), ("call", "other"), ("call", "check")]
+
+
+def test_extracts_by_program(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "0x1", "f"), ("a", "0x2", "g"), ("b", "0x1", "h")], "program string, address string, name string")
+    extract.write_extract({"functions": rows}, str(tmp_path / "x"))
+    docs = spark.read.option("multiLine", True).json(str(tmp_path / "x")).collect()
+    assert {d.program: sorted(f.name for f in d.functions) for d in docs} == {"a": ["f", "g"], "b": ["h"]}
+    assert extract.read_extract(spark, str(tmp_path / "x"))["functions"].count() == 3
