@@ -41,7 +41,7 @@ DEFINES = {
 #: What introduces a function without its name, or a method whose name isn't recorded: no calls.
 OPENERS = {"go": frozenset({"func"}), "rust": frozenset({"fn"}), "javascript": frozenset({"function"}), "typescript": frozenset({"function"})}
 GO_METHOD = re.compile(r"\bfunc\s*\([^()]*\)\s*$")
-ARROW = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*=>\s*\{")
+ARROW_FUNCTION = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*=>\s*\{")
 NAME = re.compile(r"([A-Za-z_$][\w$]*)(?:<[^<>(){};]*>)?\s*$")
 PYTHON_DEF = re.compile(r"^([ \t]*)(?:async[ \t]+)?def[ \t]+([A-Za-z_]\w*)[ \t]*\(", re.M)
 SKIP = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|^[ \t]*#[^\n]*(?:\\\n[^\n]*)*", re.S | re.M)
@@ -100,7 +100,7 @@ def parse(text: str, lang: str) -> list[dict]:
             at = line(name.start(1))
             out.append({"kind": "call", "name": name[1], "line_start": at, "line_end": at, "at": name.start(1), "end": close, "strings": strings})
     if lang in ("javascript", "typescript"):
-        for m in ARROW.finditer(blank):
+        for m in ARROW_FUNCTION.finditer(blank):
             if m[1].lower() not in KEYWORDS:
                 end = pair.get(m.end() - 1, len(blank) - 1)
                 out.append({"kind": "def", "name": m[1], "line_start": line(m.end() - 1), "line_end": line(end), "at": m.start(1), "end": end, "strings": []})
