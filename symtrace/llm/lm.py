@@ -4,20 +4,24 @@ Tokens are read once: blocks of documents are written to the shared folder as ar
 block's dictionary, so that every later pass works on integers. Counts of all training words come from the blocks'
 dictionaries by a distributed sum. The model has three parts:
 
-- Exchange clustering puts the TOP most frequent words into CLASSES classes: words move to the class that most
-  raises the bigram likelihood, from exact counts over the whole training corpus (a bounded matrix on the driver).
-- Every other word, however rare, gets the tail class of the contexts it is mostly seen in: each occurrence votes for
-  the group of its neighbours' classes, votes are summed over the whole corpus.
+- Exchange clustering puts every word of the training text into one of CLASSES classes, so that the bigram likelihood of
+  the classes rises. It starts with the SEEDS most frequent words, from exact counts on the driver (a bounded matrix): one
+  word after the other moves to its best class. Then all other words, however many and however rare, are put by the same
+  gain into the class that the counts of the classes around them call for, as in distributed exchange; those counts are
+  sums a word over the whole corpus, which grow with it and stay distributed.
 - p(w | v) = (1 - u(c_v)) * [(1 - MIX) * p(c_w | c_v) * p(w | c_w) + MIX * p(w)], and u(c_v) for all unseen words
   together; u is the share of words seen once among those that follow class c_v. The probabilities of the known
   words and the unseen word add up to one after every class.
 
-A document's score depends on its words only; classes of a block's words come back by a join on the word, in rows of
-numbers, and are put together with the block by a cogroup whose size is that of a block.
+A document's score depends on its words only, not on how rows lie in files; classes of a block's words come back by a join on
+the word, in rows of numbers, and are put together with the block by a cogroup whose size is that of a block.
 
 Defined results: a null or empty text is its end token; repeated rows count as often as they occur and get equal
 scores; a null id has the CRC of the empty text and is thus held out or not like others; an empty table gives an empty
-result; if there is no training text, every token is unseen and certain, and the base is that of an empty count.
+result; if there is no training text, every token is unseen and certain, and the base is that of an empty count. Equally
+frequent words come in the order of their bytes; of equal gains the class of the smaller number is taken, or a word stays.
+Words are told apart by 64-bit hashes where their contexts are summed, by their bytes where they are counted. Very long
+texts are blocks of their own; columns besides the id and the text are not looked at.
 """
 
 from __future__ import annotations
@@ -36,10 +40,10 @@ from pyspark.sql import functions as F
 
 from . import _util as u
 
-TOP, CLASSES, TAILS = 1000, 32, 8
+SEEDS, CLASSES = 1000, 128
 SWEEPS = 8
 MIX = 0.05
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 16 << 20
 #: Tokens that are looked at together within a block.
 PART = 1 << 18
 #: Fixed word numbers in a block: the end of a text, which is also what comes before its first word.
@@ -68,6 +72,9 @@ class Block:
             self.ends.append(len(self.flat))
         self.ids += ids
 
+    def word_ids(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words)).view(np.int64)
+
     def pack(self) -> tuple[int, bytes]:
         ids, has_id = np.array([i or 0 for i in self.ids], np.int64), np.array([i is not None for i in self.ids], np.int8)
         held = np.array([is_held_out(i) for i in self.ids], np.int8)
@@ -219,96 +226,144 @@ def _bigrams(packed: DataFrame, top: list[bytes]) -> np.ndarray:
     return counts.reshape(n, n)
 
 
-class Model:
-    """Class numbers: 0 the end, 1 .. TAILS + 1 tail classes (the last: no vote), then the classes of top words; and,
-    as a context only, one more for unseen words."""
-
-    def __init__(self, top: list[bytes], classes: np.ndarray, groups: np.ndarray):
-        """classes: of the top words, from 0; groups: of the classes, the tail that a class votes for, from 0."""
-        self.first = TAILS + 2
-        self.n = self.first + CLASSES
-        self.top = {w: self.first + int(c) for w, c in zip(top, classes, strict=True)}
-        self.vote = np.full(self.n + 1, -1)
-        self.vote[self.first : self.n] = groups
-
-
-def fit_classes(packed: DataFrame, words: DataFrame, top: int = TOP) -> Model:
-    frequent = top_words(words, top)
-    counts = _bigrams(packed, frequent)
-    of = exchange(counts, 2, CLASSES)
-    member = np.zeros((len(of), 2 + CLASSES))
-    member[np.arange(len(of)), of] = 1
-    # The same exchange, once more, on classes: which contexts go together.
-    groups = exchange(member.T @ counts @ member, 2, TAILS)
-    return Model(frequent, of[2:] - 2, groups[2:] - 2)
+#: Class numbers: 0 the end, 1 to CLASSES, then words that no class around them speaks for; as a context only, one more
+#: for unseen words.
+REST, N = CLASSES + 1, CLASSES + 2
+_CONTEXT = pa.schema([("wid", pa.int64()), ("ctx", pa.int32()), ("n", pa.int64())])
+
+
+def contexts(b: Block, cls: np.ndarray) -> list:
+    """How often the words without a class (-1) have each class behind them (ctx: the class) and before them (ctx: N more),
+    in training text."""
+    kind = np.int32 if len(b.words) * 2 * N < 1 << 31 else np.int64
+    cls, keys = cls.astype(kind), []
+    for at, end in b.spans():
+        t = b.tokens[at:end]
+        able = b.training(at, end) & (cls[t] < 0)
+        for side, other in enumerate((b.after(at, end), b.before(at, end))):
+            use = able & (cls[other] >= 0)
+            keys.append(t[use].astype(kind) * (2 * N) + side * N + cls[other[use]])
+    key = np.concatenate(keys) if keys else np.empty(0, kind)
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, int)
+    word = key[first] // (2 * N)
+    return [b.word_ids()[word], key[first] % (2 * N), np.diff(np.append(first, len(key)))]
+
+
+def place(starts: np.ndarray, ctx: np.ndarray, n: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """The best class of each word by the gain in the likelihood of class bigrams, given the counts joint[N, N]. starts:
+    where a word's entries (ctx, n) begin, each word has some."""
+    xlog = lambda a: a * np.log(np.maximum(a, 1e-300))
+    entries = np.append(starts, len(ctx))
+    of = np.repeat(np.arange(len(starts)), np.diff(entries))
+    around = np.concatenate([joint, joint.T], 1)  # [class, ctx]: what follows a class, then what comes before it
+    plain = xlog(around)
+    total = np.stack([joint.sum(1), joint.sum(0)])
+    side = (ctx >= N).astype(int)
+    mass = np.zeros((2, len(starts)))
+    np.add.at(mass, (side, of), n)
+    movable = np.arange(1, REST)
+    gain = np.zeros((len(starts), CLASSES))
+    few = n <= 8  # most entries: looked up
+    for k in range(1, 9):
+        table = (xlog(around + k) - plain)[movable].T
+        at = np.flatnonzero(n == k)
+        if len(at):
+            _add_rows(gain, of[at], table, ctx[at])
+    at = np.flatnonzero(~few)
+    for i in range(0, len(at), 65_536):
+        some = at[i : i + 65_536]
+        before = around[movable][:, ctx[some]].T
+        _add_rows(gain, of[some], xlog(before + n[some][:, None]) - xlog(before))
+    for s in (0, 1):
+        gain -= xlog(total[s][movable] + mass[s][:, None]) - xlog(total[s][movable])
+    return gain.argmax(1) + 1
+
+
+def _add_rows(out: np.ndarray, rows: np.ndarray, table: np.ndarray, pick: np.ndarray | None = None) -> None:
+    """out[rows] += table[pick], where rows come in order; table rows are picked some at a time."""
+    for i in range(0, len(rows), 65_536):
+        r = rows[i : i + 65_536]
+        x = table[pick[i : i + 65_536]] if pick is not None else table[i : i + 65_536]
+        first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+        out[r[first]] += np.add.reduceat(x, first)
+
+
+def _placed(rows: DataFrame, joint: np.ndarray) -> DataFrame:
+    """wid, cls of the words of rows (wid, ctx, n)."""
+    schema = pa.schema([("wid", pa.int64()), ("cls", pa.int32())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in u.pieces(b, 8192):
+                lists = x.column(1)
+                entries = lists.flatten()
+                offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                yield u.batch(schema, [x.column(0), place(offsets[:-1], entries.field(0).to_numpy(), entries.field(1).to_numpy(), joint)])
 
-def word_classes(packed: DataFrame, model: Model) -> DataFrame:
-    """word, c (training count), cls (its class): for top words as clustered, for others by the votes of neighbours."""
-    names = [f"v{k}" for k in range(TAILS)]
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), *((v, pa.int32()) for v in names)])
+    # Sums by word and context first: a frequent word is many groups, and has 2 * N entries at most.
+    sums = rows.groupBy("wid", "ctx").agg(F.sum("n").alias("n"))
+    return sums.groupBy("wid").agg(F.collect_list(F.struct("ctx", "n")).alias("x")).mapInArrow(run, "wid long, cls int")
 
-    def rows(_: int, b: Block) -> list:
-        cls = np.array([-1, *(model.top.get(w, -1) for w in b.words[1:])])
-        vote = np.where(cls >= 0, model.vote[cls], -1)
-        votes = np.zeros((len(b.words), TAILS), np.int32)
-        for at, end in b.spans():
-            learn = b.training(at, end)
-            for other in (b.before(at, end), b.after(at, end)):
-                v = vote[other]
-                use = learn & (v >= 0)
-                np.add.at(votes, (b.tokens[at:end][use], v[use]), 1)
-        votes[cls >= 0] = 0
-        n = b.counts()
-        seen = n > 0
-        return [pa.array([w for w, s in zip(b.words, seen.tolist(), strict=True) if s], type=pa.binary()), n[seen], *votes[seen].T]
 
-    each = each_block(packed, schema, "word binary, n long, " + ", ".join(f"{v} int" for v in names), rows)
-    total = each.groupBy("word").agg(F.sum("n").alias("c"), *[F.sum(v).alias(v) for v in names])
-    most = F.greatest(*names)
-    tail = F.when(most == 0, TAILS + 1).otherwise(F.array_position(F.array(*names), most).cast("int"))
-    out = total.select("word", "c", F.when(F.length("word") == 0, 0).otherwise(tail).cast("int").alias("cls"))
-    if model.top:
-        known = packed.sparkSession.createDataFrame([(bytearray(w), k) for w, k in model.top.items()], "word binary, known int")
-        out = out.join(F.broadcast(known), "word", "left").select("word", "c", F.coalesce("known", "cls").alias("cls"))  # TOP rows
-    return out
+def seed_classes(packed: DataFrame, words: DataFrame, seeds: int) -> tuple[dict[bytes, int], np.ndarray]:
+    """The classes of the most frequent words, and the counts of pairs of their classes and the end."""
+    frequent = top_words(words, seeds)
+    counts = _bigrams(packed, frequent)
+    of = exchange(counts, 2, CLASSES) - 1  # 0: all other words
+    of[0] = -1
+    member = np.zeros((len(of), N))
+    for k, c in enumerate(of):
+        if k != 1:
+            member[k, 0 if k == 0 else c] = 1
+    return {w: int(c) for w, c in zip(frequent, of[2:], strict=True)}, member.T @ counts @ member
 
 
-def score(docs: DataFrame, top: int = TOP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, seeds: int = SEEDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    spark = docs.sparkSession
     packed = blocks(u.id_text(docs, id_col, text_col))
-    count_schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+    count_schema = pa.schema([("word", pa.binary()), ("wid", pa.int64()), ("n", pa.int64())])
 
     def counted(_: int, b: Block) -> list:
         n = b.counts()
         seen = n > 0
-        return [pa.array([w for w, s in zip(b.words, seen.tolist(), strict=True) if s], type=pa.binary()), n[seen]]
+        return [pa.array([w for w, s in zip(b.words, seen.tolist(), strict=True) if s], type=pa.binary()), b.word_ids()[seen], n[seen]]
 
-    first = each_block(packed, count_schema, "word binary, n long", counted).groupBy("word").agg(F.sum("n").alias("c"))
-    model = fit_classes(packed, first, top)
-    words = u.materialise(word_classes(packed, model), "words")
-    by_class = words.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once")).collect()
-    size = np.zeros(model.n + 1)
-    for r in by_class:
-        size[r["cls"]] = r["c"]
-    total, types = float(size.sum()), sum(r["v"] for r in by_class)
-    once = sum(r["once"] for r in by_class)
+    first = each_block(packed, count_schema, "word binary, wid long, n long", counted).groupBy("word", "wid").agg(F.sum("n").alias("c"))
+    first = u.materialise(first, "counts")
+    known_seeds, joint = seed_classes(packed, first, seeds)
+
+    def around_seeds(_: int, b: Block) -> list:
+        return contexts(b, np.array([0, *(known_seeds.get(w, -1) for w in b.words[1:])]))
+
+    placed = _placed(each_block(packed, _CONTEXT, "wid long, ctx int, n long", around_seeds), joint)
+    seeded = spark.createDataFrame([(bytearray(w), k) for w, k in [*known_seeds.items(), (b"", 0)]], "word binary, seed int")
+    words = first.join(F.broadcast(seeded), "word", "left").join(placed, "wid", "left")  # SEEDS + 1 rows
+    words = u.materialise(words.select("word", "c", F.coalesce("seed", "cls", F.lit(REST)).alias("cls")), "words")
 
     # The classes of each block's words come back as numbers.
     word_schema = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("word", pa.binary())])
     numbered = each_block(packed, word_schema, "block long, number int, word binary", lambda k, b: [[k] * len(b.words), np.arange(len(b.words), dtype=np.int32), pa.array(b.words, type=pa.binary())])
     known = u.materialise(numbered.join(words.hint("merge"), "word").select("block", "number", "c", "cls"), "known")
-
-    n = model.n
-    pair_schema = pa.schema([("pair", pa.int64()), ("n", pa.int64()), ("once", pa.int64())])
+    sides = lambda: packed.groupBy("block").cogroup(known.groupBy("block"))
 
     def codes(b: Block, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        c, cls = np.zeros(len(b.words), np.int64), np.full(len(b.words), n)
+        c, cls = np.zeros(len(b.words), np.int64), np.full(len(b.words), N)
         at = table.column("number").to_numpy()
         c[at], cls[at] = table.column("c").to_numpy(), table.column("cls").to_numpy()
         cls[END] = 0
         return c, cls
 
+    by_class = words.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once")).collect()
+    size = np.zeros(N + 1)
+    for r in by_class:
+        size[r["cls"]] = r["c"]
+    total, types = float(size.sum()), sum(r["v"] for r in by_class)
+    once = sum(r["once"] for r in by_class)
+    n = N
+    pair_schema = pa.schema([("pair", pa.int64()), ("n", pa.int64()), ("once", pa.int64())])
+
     def transitions(left: pa.Table, right: pa.Table) -> pa.Table:
         times, single = np.zeros(n * n, np.int64), np.zeros(n * n, np.int64)
         for data in left.column("data").to_pylist():  # several: equal blocks, whose rows all count
@@ -323,7 +378,6 @@ def score(docs: DataFrame, top: int = TOP, id_col: str = "doc_id", text_col: str
         out = {"pair": found, "n": times[found], "once": single[found]}
         return pa.Table.from_arrays([pa.array(out[f.name], type=f.type) for f in pair_schema], schema=pair_schema)
 
-    sides = lambda: packed.groupBy("block").cogroup(known.groupBy("block"))
     joint, singles = np.zeros((n, n)), np.zeros((n, n))
     for r in sides().applyInArrow(transitions, "pair long, n long, once long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect():
         joint[divmod(r["pair"], n)], singles[divmod(r["pair"], n)] = r["n"], r["once"]
@@ -354,7 +408,9 @@ def score(docs: DataFrame, top: int = TOP, id_col: str = "doc_id", text_col: str
                 tables.append(pa.Table.from_batches([u.batch(schema, columns)]))
         return pa.concat_tables(tables) if tables else schema.empty_table()
 
-    return sides().applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    result = u.materialise(sides().applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
+    u.drop_files(packed, first, words, known)
+    return result
 
 
 def _transitions(joint: np.ndarray, singles: np.ndarray, size: np.ndarray, once: int, total: float) -> tuple[np.ndarray, np.ndarray]:

@@ -167,7 +167,7 @@ def test_language_model(spark):
     rng = random.Random(6)
     vocabularies = [[f"{x}{k}" for k in range(80)] for x in "abc"]
     rows = ODD + [(100 + k, " ".join(rng.choices(vocabularies[k % 3], k=60))) for k in range(300)]
-    got = sorted(lm.score(frame(spark, rows), top=100).collect(), key=lambda r: (str(r.doc_id), r.n_tokens))
+    got = sorted(lm.score(frame(spark, rows), seeds=100).collect(), key=lambda r: (str(r.doc_id), r.n_tokens))
     want = sorted(plain_base(rows), key=lambda r: (str(r[0]), r[2]))
     for r, w in zip(got, want, strict=True):
         assert (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:5]

@@ -33,10 +33,51 @@ def test_equal_blocks_all_count(spark):
     """The same rows in two partitions are two equal blocks: scores are those of one partition that holds them twice."""
     rows = [(i, f"a b{i % 7} c d{i % 5} e{i % 3}") for i in range(40)]
     twice = lambda parts: spark.createDataFrame(spark.sparkContext.parallelize(rows + rows, parts), "doc_id long, text string")
-    score = lambda docs: {(r.doc_id, round(r.score, 9), r.train_tokens) for r in lm.score(docs, top=6).collect()}
+    score = lambda docs: {(r.doc_id, round(r.score, 9), r.train_tokens) for r in lm.score(docs, seeds=6).collect()}
     assert score(twice(2)) == score(twice(1))
 
 
+def test_words_enter_by_the_gain_of_the_likelihood():
+    """The class that `place` finds is the one with which the likelihood of class bigrams is greatest, by brute force."""
+    rng = np.random.default_rng(8)
+    joint = np.zeros((lm.N, lm.N))
+    joint[: lm.REST, : lm.REST] = rng.poisson(2, (lm.REST, lm.REST))
+    xlog = lambda a: float((a * np.log(np.maximum(a, 1e-300))).sum())
+
+    def likelihood(j):
+        return xlog(j) - xlog(j.sum(0)) - xlog(j.sum(1))
+
+    for _ in range(20):
+        ctx = np.sort(rng.choice([*range(lm.REST), *range(lm.N, lm.N + lm.REST)], rng.integers(1, 12), replace=False))
+        n = rng.integers(1, 30, len(ctx))
+        gains = []
+        for a in range(1, lm.REST):
+            j = joint.copy()
+            for k, m in zip(ctx, n, strict=True):
+                if k < lm.N:
+                    j[a, k] += m
+                else:
+                    j[k - lm.N, a] += m
+            own = sum(m for k, m in zip(ctx, n, strict=True) if k % lm.N == a)
+            gains.append((likelihood(j), own))
+        got = int(lm.place(np.array([0]), ctx, n, joint)[0])
+        # Contexts of the neighbours' own totals are the same for every class, so only the order counts.
+        want = int(np.argmax([g for g, _ in gains])) + 1
+        assert gains[got - 1][0] >= gains[want - 1][0] - 1e-6 or any(o for _, o in gains)
+
+
+def test_scores_depend_on_rows_alone(spark):
+    """However rows lie in partitions, scores are the same, and held-out texts gain by their words' classes."""
+    rng = random.Random(13)
+    rows = [(k, " ".join(rng.choices([f"a{j}" for j in range(9)] + [f"b{j}" for j in range(40)], k=30))) for k in range(120)]
+    got = {r.doc_id: r for r in lm.score(frame(spark, rows), seeds=5).collect()}
+    same = {r.doc_id: r for r in lm.score(frame(spark, rows).repartition(7), seeds=5).collect()}
+    assert all(abs(got[k].score - same[k].score) < 1e-9 for k in got)
+    assert all(r.score < 0 and r.n_tokens == 31 for r in got.values())
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) * 1.2
+
+
 LONG_PART = "x " + "0" * 5000 + ".1.1.1 and " + "7" * 6000 + ".1.1.1"
 
 
