@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,20 +41,32 @@ def sequential(rows: list, taken_bins: set, taken_srcs: set) -> list[tuple[int,
 
 def greedy(pairs: DataFrame, weight: str, on_driver: int = ON_DRIVER) -> DataFrame:
     """bin_id, src_id of the greedy one-to-one assignment. Pairs that are the best of both their ends are what the
-    sequential scan confirms too; they are taken, their ends leave, and the rest goes round again. Few enough pairs are
-    finished on the driver; the limit is checked before anything is collected."""
+    sequential scan confirms too; they are taken, their ends leave, and the rest goes round again. Where such a round
+    settles less than a tenth (chains of ever heavier pairs), the heaviest `on_driver` pairs are settled by the sequential
+    scan itself, so the number of rounds is at most of the order of log(pairs) + pairs / on_driver. So many pairs or
+    fewer are finished on the driver; the limit is checked before anything is collected."""
     spark = pairs.sparkSession
     rest = pairs.select("bin_id", "src_id", F.col(weight).cast("double").alias("w"))
-    taken = None
-    while True:
-        rows = rest.limit(on_driver + 1).collect()
-        if len(rows) <= on_driver:
-            last = spark.createDataFrame(sequential([(r["bin_id"], r["src_id"], r["w"]) for r in rows], set(), set()), "bin_id long, src_id long")
-            return last if taken is None else taken.unionByName(last)
-        best = lambda end: rest.groupBy(end).agg(F.min(F.struct((-F.col("w")).alias("v"), F.col("bin_id").alias("b"), F.col("src_id").alias("s"))).alias("m")).select("m.b", "m.s")
-        chosen = cut(best("bin_id").join(best("src_id"), ["b", "s"]).select(F.col("b").alias("bin_id"), F.col("s").alias("src_id")))
-        taken = chosen if taken is None else taken.unionByName(chosen)
+
+    def scanned(rows: list) -> DataFrame:
+        return spark.createDataFrame(sequential([(r["bin_id"], r["src_id"], r["w"]) for r in rows], set(), set()), "bin_id long, src_id long")
+
+    rows = rest.limit(on_driver + 1).collect()
+    if len(rows) <= on_driver:
+        return scanned(rows)
+    taken, slow, rest = [], False, cut(rest)
+    n = rest.count()
+    while n > on_driver:
+        if slow:
+            chosen = scanned(rest.orderBy(F.desc("w"), "bin_id", "src_id").limit(on_driver).collect())
+        else:
+            best = lambda end: rest.groupBy(end).agg(F.min(F.struct((-F.col("w")).alias("v"), F.col("bin_id").alias("b"), F.col("src_id").alias("s"))).alias("m")).select("m.b", "m.s")  # noqa: E731, B023
+            chosen = cut(best("bin_id").join(best("src_id"), ["b", "s"]).select(F.col("b").alias("bin_id"), F.col("s").alias("src_id")))
+        taken.append(chosen)
         rest = cut(rest.join(chosen.select("bin_id"), "bin_id", "left_anti").join(chosen.select("src_id"), "src_id", "left_anti"))
+        before, n = n, rest.count()
+        slow = not slow and n > 0.9 * before
+    return reduce(DataFrame.unionByName, [*taken, scanned(rest.collect())])
 
 
 def assign(pairs: DataFrame, weight: str, confirmed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

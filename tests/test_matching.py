@@ -154,3 +154,17 @@ def test_name_search_is_like(spark):
     rows = spark.createDataFrame([("Foo_Bar",), ("fooXbar",), ("a\\b",), ("zz",)], "src_func_name string").selectExpr("src_func_name", "1.0D as confidence", "1L as bin_func_id")
     names = lambda text: sorted(r.src_func_name for r in report.search(rows, text).collect())
     assert names("FOO_BAR") == ["Foo_Bar", "fooXbar"] and names("a\\b") == ["a\\b"] and names("o%r") == ["Foo_Bar", "fooXbar"]
+
+
+def test_greedy_settles_chains_in_few_rounds(spark, monkeypatch):
+    """Ever heavier pairs of a chain, where a round of mutual best pairs takes one: the scan of the heaviest goes on."""
+    chain = [(k // 2, (k + 1) // 2, float(k)) for k in range(600)]
+    ties = [(1000 + k // 2, 1000 + (k + 1) // 2, 0.5) for k in range(300)]
+    easy = [(5000 + k, 5000 + k, 700.0 + k % 3) for k in range(40)]
+    rows = chain + ties + easy
+    cuts = []
+    real = assign.cut
+    monkeypatch.setattr(assign, "cut", lambda df: cuts.append(1) or real(df))
+    found = assign.greedy(spark.createDataFrame(rows, "bin_id long, src_id long, w double"), "w", on_driver=100)
+    assert sorted(map(tuple, found.collect())) == sorted(assign.sequential(rows, set(), set()))
+    assert len(cuts) < 40
