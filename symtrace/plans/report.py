@@ -22,7 +22,7 @@ def methods(results: DataFrame) -> DataFrame:
 
 
 def top(results: DataFrame, k: int = 20, at_least: float = 0.0) -> DataFrame:
-    return results.where(F.col("confidence") >= at_least).orderBy(F.desc("confidence"), "bin_func_id").limit(k)
+    return results.where(F.col("confidence") >= at_least).orderBy(F.desc("confidence"), "bin_func_id", "src_func_id").limit(k)
 
 
 def top_candidates(candidates: DataFrame, names: DataFrame, k: int = 10, bin_id: int | None = None) -> DataFrame:
