@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,21 +24,117 @@ def totals(strings: DataFrame) -> DataFrame:
     return strings.groupBy("func_id").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
 
 
-def similarity(bins: DataFrame, srcs: DataFrame, rarity: DataFrame | None = None) -> DataFrame:
+def similarity(bins: DataFrame, srcs: DataFrame, rarity: DataFrame | None = None, bin_info: DataFrame | None = None, src_info: DataFrame | None = None) -> DataFrame:
     """bin_id, src_id, shared, jaccard, weighted of all pairs with a common string. Inputs: func_id, s. rarity: s, idf of
-    the binary side by default. The output is all such pairs, so this is for small sides and for reports."""
-    rarity = features.idf(bins) if rarity is None else rarity
-    b, s = features.weighted(bins, rarity), features.weighted(srcs, rarity)
-    tb = totals(b).select(F.col("func_id").alias("bin_id"), F.col("n").alias("n_a"), F.col("w").alias("w_a"))
-    ts = totals(s).select(F.col("func_id").alias("src_id"), F.col("n").alias("n_b"), F.col("w").alias("w_b"))
-    return _scored(overlaps(b, srcs).join(tb, "bin_id").join(ts, "src_id"))
-
-
-def _scored(pairs: DataFrame) -> DataFrame:
-    """Both similarities from n_i, w_i (what a pair shares) and n_a, w_a, n_b, w_b (what each has)."""
+    the binary side by default. The output is all such pairs; what they share is counted once for all functions with the
+    same shared strings. bin_info, src_info: func_id and columns that the pairs are to have too (an inner join)."""
+    return shared_sets(bins, srcs, rarity).pairs(bin_info, src_info)
+
+
+#: So many functions or classes of a side are sent to all executors; more are shuffled.
+SENT = 1_000_000
+#: Functions of one set of strings that a row holds at most, so that a large set is many rows.
+CHUNK = 256
+
+
+@dataclass(frozen=True)
+class Shared:
+    """members: b (binary side), func_id, set, class, n, w of the functions that share a string with the other side. Those of
+    a set have the same shared strings, those of a class the same number and weight of all strings too; both are named by
+    their smallest function. overlaps: bin_set, src_set, n_i, w_i of the sets with a common string."""
+
+    members: DataFrame
+    overlaps: DataFrame
+
+    def pairs(self, bin_info: DataFrame | None = None, src_info: DataFrame | None = None) -> DataFrame:
+        """The similarities of all pairs of functions, and the columns of bin_info and src_info."""
+        ends = [self.members.where(F.col("b") == side) if info is None else self.members.where(F.col("b") == side).join(info, "func_id") for side, info in ((True, bin_info), (False, src_info))]
+        more = [[c for c in info.columns if c != "func_id"] if info is not None else [] for info in (bin_info, src_info)]
+        return _scored(self._met(*[e.select("set", "n", "w", F.col("func_id").alias(i), *m) for e, i, m in zip(ends, ("bin_id", "src_id"), more, strict=True)]), "bin_id", "src_id", *more[0], *more[1])
+
+    def classes(self) -> DataFrame:
+        """bin_class, src_class, copies (how many pairs of functions), shared, jaccard, weighted of the pairs of classes."""
+        kinds = self.members.groupBy("b", "class").agg(F.first("set").alias("set"), F.first("n").alias("n"), F.first("w").alias("w"), F.count("*").alias("c"))
+        ends = [kinds.where(F.col("b") == side).select("set", "n", "w", F.col("class").alias(i), F.col("c").alias(c)) for side, i, c in ((True, "bin_class", "c_a"), (False, "src_class", "c_b"))]
+        return _scored(self._met(*ends), "bin_class", "src_class", (F.col("c_a") * F.col("c_b")).alias("copies"))
+
+    def expanded(self, classes: DataFrame, k: int | None = None) -> DataFrame:
+        """Rows of classes (bin_class, src_class, ...) for their functions, bin_id and src_id; k: for the k smallest source
+        functions of a class only."""
+        b, s = (self.members.where(F.col("b") == side).select(F.col("class").alias(c), F.col("func_id").alias(i)) for side, c, i in ((True, "bin_class", "bin_id"), (False, "src_class", "src_id")))
+        return classes.join(_least(s, "src_class", "src_id", k) if k else s, "src_class").join(b, "bin_class").drop("bin_class", "src_class")
+
+    def best(self, classes: DataFrame, k: int, score: str) -> DataFrame:
+        """Of all pairs of functions some that have the k first by score (descending), bin_id, src_id among them: the k first
+        pairs of classes hold them, as a class is named by its smallest function."""
+        first = classes.orderBy(F.desc(score), "bin_class", "src_class").limit(k)
+        b, s = (_least(self.members.where(F.col("b") == side).select(F.col("class").alias(c), F.col("func_id").alias(i)).join(F.broadcast(first.select(c).distinct()), c), c, i, k) for side, c, i in ((True, "bin_class", "bin_id"), (False, "src_class", "src_id")))
+        return first.join(b, "bin_class").join(s, "src_class").drop("bin_class", "src_class")
+
+    def _met(self, bins: DataFrame, srcs: DataFrame) -> DataFrame:
+        """Rows of bins and srcs (set, n, w, ...) whose sets meet, with n_a, w_a, n_b, w_b, n_i, w_i. A set goes in chunks, and
+        pairs of sets are dealt out by chunk, so that two large sets are the work of many tasks."""
+        b, s = _packed(bins, "bin_set", "bin_chunk", "n_a", "w_a"), _packed(srcs, "src_set", "src_chunk", "n_b", "w_b")
+        dealt = self.overlaps.join(_sent(b.select("bin_set", "bin_chunk")), "bin_set").repartition("bin_set", "bin_chunk", "src_set")
+        each = dealt.join(_sent(b), ["bin_set", "bin_chunk"]).join(_sent(s), "src_set")
+        each = each.select("n_i", "w_i", F.col("src_chunk_rows"), F.inline("bin_chunk_rows"))
+        return each.select(*[c for c in each.columns if c != "src_chunk_rows"], F.inline("src_chunk_rows"))
+
+
+def _least(rows: DataFrame, key: str, what: str, k: int) -> DataFrame:
+    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(what))).where(F.col("__r") <= k).drop("__r")
+
+
+def _packed(rows: DataFrame, name: str, chunk: str, n: str, w: str) -> DataFrame:
+    """name, chunk, <chunk>_rows: rows (set, n, w, ...) in arrays of CHUNK at most."""
+    more = [c for c in rows.columns if c not in ("set", "n", "w")]
+    at = F.row_number().over(Window.partitionBy("set").orderBy(*more))
+    dealt = rows.withColumn("__at", F.floor((at - 1) / CHUNK))
+    return cut(dealt.groupBy(F.col("set").alias(name), F.col("__at").alias(chunk)).agg(F.collect_list(F.struct(F.col("n").alias(n), F.col("w").alias(w), *more)).alias(f"{chunk}_rows")))
+
+
+def _sent(packed: DataFrame) -> DataFrame:
+    """packed, to be sent to all if it has few rows and they hold SENT functions at most."""
+    rows = next((c for c in packed.columns if c.endswith("_rows")), None)
+    n = packed.agg(F.sum(F.size(rows)) if rows else F.count("*")).first()[0] or 0
+    return F.broadcast(packed) if n <= SENT else packed
+
+
+def _key(s: Column) -> Column:
+    """128 bits that stand for a string."""
+    return F.substring(F.unhex(F.sha2(s, 256)), 1, 16)
+
+
+def shared_sets(bins: DataFrame, srcs: DataFrame, rarity: DataFrame | None = None) -> Shared:
+    """Inputs and rarity as for similarity. Most functions of a large program share few strings with the other side, and
+    many share the same: overlaps are counted between the different sets of shared strings alone."""
+    side = lambda df, b: df.select("func_id", _key(F.col("s")).alias("s"), F.lit(b).alias("b"))
+    rows = cut(side(bins, True).unionByName(side(srcs, False)))
+    each = rows.groupBy("s").agg(F.count_if("b").alias("df"), F.count_if(~F.col("b")).alias("others"))
+    if rarity is None:
+        n = rows.where("b").agg(F.greatest(F.countDistinct("func_id"), F.lit(1)).alias("n"))
+        each = each.crossJoin(F.broadcast(n)).withColumn("idf", F.when(F.col("df") > 0, F.log((F.col("n") + 1.0) / (F.col("df") + 1.0))))
+    else:
+        each = each.join(rarity.select(_key(F.col("s")).alias("s"), "idf"), "s", "left")
+    each = each.select("s", F.coalesce("idf", F.lit(1.0)).alias("w"), ((F.col("df") > 0) & (F.col("others") > 0)).alias("met"))
+    own = rows.join(each, "s").groupBy("b", "func_id").agg(F.sort_array(F.collect_list("w")).alias("ws"), F.sort_array(F.collect_list(F.when(F.col("met"), F.struct("s", "w")))).alias("met"))
+    # Weights are added in one order, so equal sets weigh the same to the last digit.
+    total = F.aggregate("ws", F.lit(0.0), lambda a, x: a + x)
+    own = cut(own.where(F.size("met") > 0).select("b", "func_id", F.size("ws").cast("long").alias("n"), total.alias("w"), "met", _key(F.array_join(F.transform("met", lambda x: F.hex(x["s"])), "")).alias("key")))
+    sets = cut(own.groupBy("b", "key").agg(F.min("func_id").alias("set"), F.first("met").alias("met")))
+    members = own.select("b", "key", "func_id", "n", "w").join(sets.select("b", "key", "set"), ["b", "key"])
+    members = cut(members.select("b", "func_id", "set", "n", "w", F.min("func_id").over(Window.partitionBy("b", "set", "n", "w")).alias("class")))
+    post = lambda b, name: sets.where(F.col("b") == b).select(F.col("set").alias(name), F.inline("met"))
+    met = post(True, "bin_set").join(post(False, "src_set").drop("w"), "s")
+    return Shared(members, met.groupBy("bin_set", "src_set").agg(F.count("*").alias("n_i"), F.sum("w").alias("w_i")))
+
+
+def _scored(pairs: DataFrame, *kept: Column | str) -> DataFrame:
+    """Both similarities from n_i, w_i (what a pair shares) and n_a, w_a, n_b, w_b (what each has). kept: what else stays, the
+    two ids by default."""
     union = F.col("w_a") + F.col("w_b") - F.col("w_i")
     return pairs.select(
-        "bin_id", "src_id", F.col("n_i").alias("shared"),
+        *(kept or ("bin_id", "src_id")), F.col("n_i").alias("shared"),
         (F.col("n_i") / (F.col("n_a") + F.col("n_b") - F.col("n_i"))).alias("jaccard"),
         F.when(F.round(union, 12) > 0, F.col("w_i") / union).otherwise(0.0).alias("weighted"),
     )

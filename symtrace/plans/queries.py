@@ -95,14 +95,28 @@ RESULTS = f"""{LINES}, {IDF}, res AS (SELECT bin_id AS bin_func_id, printf('0x%0
   CASE WHEN weighted >= 0.6 THEN 'indirect_multi_string' ELSE 'string_set' END AS method, shared AS shared_strings FROM sim)"""
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = similarity.similarity(*fx.by_lines(spark, sf_dir))
+def _as_results(pairs: DataFrame, bin_id: str, src_id: str, *more: str) -> DataFrame:
     return pairs.select(
-        F.col("bin_id").alias("bin_func_id"), F.format_string("0x%08x", "bin_id").alias("bin_address"), F.col("src_id").alias("src_func_id"), F.concat(F.lit("src"), F.col("src_id").cast("string"), F.lit("_fn")).alias("src_func_name"),
-        F.round(similarity.combined(F.col("jaccard"), F.col("weighted")), 6).alias("confidence"), F.when(F.col("weighted") >= 0.6, "indirect_multi_string").otherwise("string_set").alias("method"), F.col("shared").alias("shared_strings"),
+        F.col(bin_id).alias("bin_func_id"), F.format_string("0x%08x", bin_id).alias("bin_address"), F.col(src_id).alias("src_func_id"), F.concat(F.lit("src"), F.col(src_id).cast("string"), F.lit("_fn")).alias("src_func_name"),
+        F.round(similarity.combined(F.col("jaccard"), F.col("weighted")), 6).alias("confidence"), F.when(F.col("weighted") >= 0.6, "indirect_multi_string").otherwise("string_set").alias("method"), F.col("shared").alias("shared_strings"), *more,
     )
 
 
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_results(similarity.similarity(*fx.by_lines(spark, sf_dir)), "bin_id", "src_id")
+
+
+def _by_class(spark: SparkSession, sf_dir: str) -> tuple[similarity.Shared, DataFrame]:
+    """The results as classes of functions: their members, and bin_class, src_class, copies, confidence, method."""
+    shared = similarity.shared_sets(*fx.by_lines(spark, sf_dir))
+    return shared, _as_results(shared.classes(), "bin_class", "src_class", "bin_class", "src_class", "copies").select("bin_class", "src_class", "copies", "confidence", "method")
+
+
+def _expanded(rows: DataFrame) -> DataFrame:
+    """Rows (bin_id, src_id, confidence) with the columns of results that follow from the ids."""
+    return rows.select(F.col("bin_id").alias("bin_func_id"), F.format_string("0x%08x", "bin_id").alias("bin_address"), F.col("src_id").alias("src_func_id"), F.concat(F.lit("src"), F.col("src_id").cast("string"), F.lit("_fn")).alias("src_func_name"), "confidence")
+
+
 # Sources and scalars
 
 

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symtrace.functions import scalars
 
 
-def overall(results: DataFrame) -> DataFrame:
+def _count(copies: str | None) -> Column:
+    """How many results the rows stand for. copies: the column that says so, where a row stands for many."""
+    return F.coalesce(F.sum(copies), F.lit(0)) if copies else F.count("*")
+
+
+def _average(copies: str | None) -> Column:
+    return F.sum(F.col("confidence") * F.col(copies)) / F.sum(copies) if copies else F.avg("confidence")
+
+
+def overall(results: DataFrame, copies: str | None = None) -> DataFrame:
     """total, avg, min, max of the confidence; nulls on an empty table."""
-    return results.agg(F.count("*").alias("total"), F.avg("confidence").alias("avg_confidence"), F.min("confidence").alias("min_confidence"), F.max("confidence").alias("max_confidence"))
+    return results.agg(_count(copies).alias("total"), _average(copies).alias("avg_confidence"), F.min("confidence").alias("min_confidence"), F.max("confidence").alias("max_confidence"))
 
 
-def buckets(results: DataFrame) -> DataFrame:
-    return results.groupBy(scalars.bucket(F.col("confidence")).alias("level")).agg(F.count("*").alias("count"))
+def buckets(results: DataFrame, copies: str | None = None) -> DataFrame:
+    return results.groupBy(scalars.bucket(F.col("confidence")).alias("level")).agg(_count(copies).alias("count"))
 
 
-def methods(results: DataFrame) -> DataFrame:
-    return results.groupBy("method").agg(F.count("*").alias("count"), F.avg("confidence").alias("avg_confidence")).orderBy(F.desc("count"), "method")
+def methods(results: DataFrame, copies: str | None = None) -> DataFrame:
+    return results.groupBy("method").agg(_count(copies).alias("count"), _average(copies).alias("avg_confidence")).orderBy(F.desc("count"), "method")
 
 
 def top(results: DataFrame, k: int = 20, at_least: float = 0.0) -> DataFrame:
@@ -35,10 +44,10 @@ def search(results: DataFrame, text: str) -> DataFrame:
     return results.where(scalars.name_contains(F.col("src_func_name"), text)).orderBy(F.desc("confidence"), "bin_func_id")
 
 
-def summary(results: DataFrame, functions: DataFrame) -> DataFrame:
+def summary(results: DataFrame, functions: DataFrame, copies: str | None = None) -> DataFrame:
     """matched, total, match_percent (null where there is no function)."""
     n = functions.agg(F.count("*").alias("total"))
-    return results.agg(F.count("*").alias("matched")).crossJoin(F.broadcast(n)).select("matched", "total", F.expr("matched * 100.0D / nullif(total, 0)").alias("match_percent"))
+    return results.agg(_count(copies).alias("matched")).crossJoin(F.broadcast(n)).select("matched", "total", F.expr("matched * 100.0D / nullif(total, 0)").alias("match_percent"))
 
 
 def rename_lines(results: DataFrame, at_least: float = scalars.MEDIUM) -> DataFrame:

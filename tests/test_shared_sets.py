@@ -2,10 +2,71 @@
 
 from __future__ import annotations
 
+import math
+import random
+from collections import Counter, defaultdict
+
+from symtrace.operators import similarity
 from symtrace.plans import report
+from symtrace.plans.queries import QUERIES
 
 
 def test_top_matches_have_a_total_order(spark):
     rows = [(1, s, 1.0) for s in range(90, 0, -1)] + [(2, 0, 0.5)]
     frame = spark.createDataFrame(rows, "bin_func_id long, src_func_id long, confidence double").repartition(5)
     assert [r.src_func_id for r in report.top(frame, 20, 0.3).collect()] == list(range(1, 21))
+
+
+def _tables(spark, path):
+    """Documents of few lines, most of them shared, with copies; and what brute force says of their pairs."""
+    rng = random.Random(5)
+    texts = ["\n".join(["shared line"] * (k % 3 > 0) + [f"line {rng.randrange(6)}" for _ in range(k % 4)] + [f"own line {k}"] * (k % 5 == 0)) for k in range(60)]
+    texts += texts[:25]
+    spark.createDataFrame([(k, t, 10 + k % 7) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    sets = {k: {x for x in t.split("\n") if len(x) >= 5} for k, t in enumerate(texts)}
+    bins, srcs = ({k: v for k, v in sets.items() if v and k % 2 == side} for side in (1, 0))
+    df = Counter(s for v in bins.values() for s in v)
+    weight = {s: math.log((len(bins) + 1) / (df[s] + 1)) if s in df else 1.0 for v in sets.values() for s in v}
+    total = lambda v: sum(weight[s] for s in v)
+    pairs = {}
+    for b, x in bins.items():
+        for c, y in srcs.items():
+            if x & y:
+                union = total(x | y)
+                pairs[b, c] = (len(x & y), len(x & y) / len(x | y), total(x & y) / union if union > 1e-12 else 0.0)
+    return pairs
+
+
+def test_all_pairs_come_from_sets_alone(spark, tmp_path, monkeypatch):
+    pairs = _tables(spark, tmp_path)
+    score = {k: round(0.35 * j + 0.65 * w, 6) for k, (_, j, w) in pairs.items()}
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    near = lambda a, b: a.keys() == b.keys() and all(abs(a[k] - b[k]) < 2e-6 for k in a)
+    for sent, chunk in ((similarity.SENT, similarity.CHUNK), (0, 2)):  # sent to all in one chunk; shuffled in many
+        monkeypatch.setattr(similarity, "SENT", sent)
+        monkeypatch.setattr(similarity, "CHUNK", chunk)
+        assert near({(r.bin_id, r.src_id): r.jaccard for r in run("jaccard_pairs")}, {k: v[1] for k, v in pairs.items()})
+        assert near({(r.bin_id, r.src_id): r.weighted for r in run("weighted_jaccard")}, {k: v[2] for k, v in pairs.items()})
+        assert {(r.bin_id, r.src_id): r.shared_strings for r in run("export_shared_strings")} == {k: v[0] for k, v in pairs.items()}
+        assert sum(r["count"] for r in run("confidence_buckets")) == len(pairs)
+    size = lambda k: 10 + k % 7
+    hybrid = {(b, c): 0.5 * (0.4 * j + 0.6 * w) + 0.15 * min(size(b), size(c)) / max(size(b), size(c)) for (b, c), (_, j, w) in pairs.items()}
+    assert near({(r.bin_id, r.src_id): r.score for r in run("hybrid_score")}, hybrid)
+    assert run("overall_stats")[0].total == run("run_summary")[0].matched == sum(r["count"] for r in run("method_histogram")) == len(pairs)
+    assert abs(run("overall_stats")[0].avg_confidence - sum(score.values()) / len(score)) < 1e-5
+    order = sorted(score, key=lambda k: (-score[k], k))
+    assert [(r.bin_func_id, r.src_func_id) for r in run("top_candidates")] == order[:10]
+    assert [(r.bin_func_id, r.src_func_id) for r in run("top_matches")] == order[:20]
+    each = defaultdict(list)
+    for b, c in sorted(score, key=lambda k: (-score[k], k[1])):
+        each[b].append(c)
+    assert {(r.bin_func_id, r.src_func_id) for r in run("top5_per_bin")} == {(b, c) for b, x in each.items() for c in x[:5]}
+    assert len(run("rename_script")) == sum(v >= 0.7 for v in score.values())
+
+
+def test_pairs_of_a_shared_string_are_counted_by_sets(spark):
+    """Of 200 functions a side that share one string, the join on the string meets one set of each side."""
+    rows = lambda odd: spark.createDataFrame([(2 * k + odd, s) for k in range(200) for s in ("shared", f"own {odd} {k % 3} {k}")], "func_id long, s string")
+    shared = similarity.shared_sets(rows(1), rows(0))
+    assert [r.n_i for r in shared.overlaps.collect()] == [1]
+    assert [r.copies for r in shared.classes().collect()] == [40_000]
