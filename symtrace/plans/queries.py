@@ -603,7 +603,7 @@ class _GraphInputs:
 
 @query(f"""WITH {RESULTS} SELECT CASE WHEN confidence > 0.85 THEN 'high' WHEN confidence >= 0.7 THEN 'medium' ELSE 'low' END AS level, count(*) AS count FROM res GROUP BY 1""")
 def confidence_buckets(spark, sf_dir):
-    return report.buckets(results(spark, sf_dir))
+    return report.buckets(_by_class(spark, sf_dir)[1], "copies")
 
 
 @query(f"""WITH {RESULTS} SELECT method, count(*) AS count, round(avg(confidence), 6) AS avg_confidence FROM res GROUP BY 1""")
