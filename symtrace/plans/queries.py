@@ -544,9 +544,8 @@ def size_similarity(spark, sf_dir):
 @query(f"""WITH {LINES}, {IDF} SELECT bin_id, src_id, round(0.5 * (0.4 * jaccard + 0.6 * weighted) + 0.15 * CASE WHEN x.n_chars > 0 AND y.n_chars > 0 THEN least(x.n_chars, y.n_chars) / CAST(greatest(x.n_chars, y.n_chars) AS DOUBLE) ELSE 0.5 END, 6) AS score
 FROM sim JOIN documents x ON x.doc_id = bin_id JOIN documents y ON y.doc_id = src_id""")
 def hybrid_score(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    pairs = similarity.similarity(*fx.by_lines(spark, sf_dir))
-    sized = pairs.join(docs.select(F.col("doc_id").alias("bin_id"), F.col("n_chars").alias("x")), "bin_id").join(docs.select(F.col("doc_id").alias("src_id"), F.col("n_chars").alias("y")), "src_id")
+    size = lambda c: fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("func_id"), F.col("n_chars").alias(c))
+    sized = similarity.similarity(*fx.by_lines(spark, sf_dir), bin_info=size("x"), src_info=size("y"))
     score = similarity.hybrid(similarity.string_score(F.col("jaccard"), F.col("weighted")), F.lit(0.0), scalars.size_similarity(F.col("x"), F.col("y")))
     return sized.select("bin_id", "src_id", F.round(score, 6).alias("score"))
 
