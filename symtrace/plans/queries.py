@@ -664,9 +664,7 @@ def phase_statistics(spark, sf_dir):
 
 @query(f"""WITH {LINES}, m AS (SELECT bin_id, src_id FROM (SELECT x.func_id AS bin_id, y.func_id AS src_id FROM b x JOIN c y USING (s) GROUP BY 1, 2)) SELECT m.bin_id, m.src_id, CAST(count(*) AS INTEGER) AS shared_strings FROM m JOIN b ON b.func_id = m.bin_id JOIN c ON c.func_id = m.src_id AND c.s = b.s GROUP BY 1, 2""")
 def export_shared_strings(spark, sf_dir):
-    bins, srcs = fx.by_lines(spark, sf_dir)
-    pairs = similarity.overlaps(bins.withColumn("w", F.lit(1.0)), srcs).select("bin_id", "src_id")
-    return similarity.shared_strings(pairs, bins, srcs)
+    return similarity.similarity(*fx.by_lines(spark, sf_dir)).select("bin_id", "src_id", F.col("shared").cast("int").alias("shared_strings"))
 
 
 def _pipeline(mode: str, spark: SparkSession, sf_dir: str) -> DataFrame:
