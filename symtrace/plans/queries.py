@@ -607,7 +607,7 @@ def confidence_buckets(spark, sf_dir):
 
 @query(f"""WITH {RESULTS} SELECT method, count(*) AS count, round(avg(confidence), 6) AS avg_confidence FROM res GROUP BY 1""")
 def method_histogram(spark, sf_dir):
-    return report.methods(results(spark, sf_dir)).select("method", "count", r6("avg_confidence"))
+    return report.methods(_by_class(spark, sf_dir)[1], "copies").select("method", "count", r6("avg_confidence"))
 
 
 @query(f"""WITH {RESULTS} SELECT count(*) AS total, round(avg(confidence), 6) AS avg_confidence, min(confidence) AS min_confidence, max(confidence) AS max_confidence FROM res""")
