@@ -612,7 +612,7 @@ def method_histogram(spark, sf_dir):
 
 @query(f"""WITH {RESULTS} SELECT count(*) AS total, round(avg(confidence), 6) AS avg_confidence, min(confidence) AS min_confidence, max(confidence) AS max_confidence FROM res""")
 def overall_stats(spark, sf_dir):
-    return report.overall(results(spark, sf_dir)).select("total", r6("avg_confidence"), "min_confidence", "max_confidence")
+    return report.overall(_by_class(spark, sf_dir)[1], "copies").select("total", r6("avg_confidence"), "min_confidence", "max_confidence")
 
 
 @query(f"""WITH {RESULTS} SELECT bin_func_id, src_func_id, confidence FROM res WHERE confidence >= 0.3 ORDER BY confidence DESC, bin_func_id, src_func_id LIMIT 20""")
