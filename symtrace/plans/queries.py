@@ -646,7 +646,8 @@ def name_search(spark, sf_dir):
 
 @query(f"""WITH {RESULTS} SELECT '    (' || bin_address || ', "' || src_func_name || '"),  # ' || printf('%.3f', confidence) AS line FROM res WHERE confidence >= 0.7""")
 def rename_script(spark, sf_dir):
-    return report.rename_lines(results(spark, sf_dir))
+    shared, classes = _by_class(spark, sf_dir)
+    return report.rename_lines(_expanded(shared.expanded(classes.where(F.col("confidence") >= scalars.MEDIUM))))
 
 
 @query(f"""WITH {RESULTS} SELECT count(*) AS matched, (SELECT count(*) FROM documents) AS total, round(count(*) * 100.0 / (SELECT count(*) FROM documents), 6) AS match_percent FROM res""")
