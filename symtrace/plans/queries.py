@@ -652,7 +652,7 @@ def rename_script(spark, sf_dir):
 
 @query(f"""WITH {RESULTS} SELECT count(*) AS matched, (SELECT count(*) FROM documents) AS total, round(count(*) * 100.0 / (SELECT count(*) FROM documents), 6) AS match_percent FROM res""")
 def run_summary(spark, sf_dir):
-    return report.summary(results(spark, sf_dir), fx.table(spark, sf_dir, "documents")).select("matched", "total", r6("match_percent"))
+    return report.summary(_by_class(spark, sf_dir)[1], fx.table(spark, sf_dir, "documents"), "copies").select("matched", "total", r6("match_percent"))
 
 
 @query(f"""WITH {SENTENCES}, {EVIDENCE}, {greedy_sql("ev", "evidence", 6)} SELECT 'phase1' AS phase, (SELECT count(*) FROM matched) AS confirmed_count, (SELECT count(*) FROM ev) - (SELECT count(*) FROM matched) AS candidate_count, CAST(0.95 AS DOUBLE) AS avg_confidence""")
