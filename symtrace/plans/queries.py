@@ -629,7 +629,10 @@ def top_candidates(spark, sf_dir):
 
 @query(f"""WITH {RESULTS} SELECT bin_func_id, src_func_id, confidence AS score FROM (SELECT *, row_number() OVER (PARTITION BY bin_func_id ORDER BY confidence DESC, src_func_id) AS r FROM res) WHERE r <= 5""")
 def top5_per_bin(spark, sf_dir):
-    rows = results(spark, sf_dir).select(F.col("bin_func_id").alias("bin_id"), F.col("src_func_id").alias("src_id"), F.col("confidence").alias("score"))
+    shared, classes = _by_class(spark, sf_dir)
+    # A class of source functions is named by its smallest, so the five first classes have the five first functions.
+    first = assign.top_per_bin(classes.select(F.col("bin_class").alias("bin_id"), "src_class", F.col("confidence").alias("score")), 5, F.desc("score"), "src_class")
+    rows = shared.expanded(first.withColumnRenamed("bin_id", "bin_class"), 5).select("bin_id", "src_id", "score")
     return assign.top_per_bin(rows, 5, F.desc("score"), "src_id").select(F.col("bin_id").alias("bin_func_id"), F.col("src_id").alias("src_func_id"), "score")
 
 
