@@ -622,7 +622,8 @@ def top_matches(spark, sf_dir):
 
 @query(f"""WITH {RESULTS} SELECT bin_func_id, src_func_id, src_func_name, confidence AS score FROM res ORDER BY score DESC, bin_func_id, src_func_id LIMIT 10""")
 def top_candidates(spark, sf_dir):
-    rows = results(spark, sf_dir)
+    shared, classes = _by_class(spark, sf_dir)
+    rows = cut(_expanded(shared.best(classes, 10, "confidence")))
     names = rows.select("src_func_id", "src_func_name").distinct()
     return report.top_candidates(rows.select("bin_func_id", "src_func_id", F.col("confidence").alias("score")), names).select("bin_func_id", "src_func_id", "src_func_name", "score")
 
