@@ -617,7 +617,8 @@ def overall_stats(spark, sf_dir):
 
 @query(f"""WITH {RESULTS} SELECT bin_func_id, src_func_id, confidence FROM res WHERE confidence >= 0.3 ORDER BY confidence DESC, bin_func_id, src_func_id LIMIT 20""")
 def top_matches(spark, sf_dir):
-    return report.top(results(spark, sf_dir), 20, 0.3).select("bin_func_id", "src_func_id", "confidence")
+    shared, classes = _by_class(spark, sf_dir)
+    return report.top(_expanded(shared.best(classes, 20, "confidence")), 20, 0.3).select("bin_func_id", "src_func_id", "confidence")
 
 
 @query(f"""WITH {RESULTS} SELECT bin_func_id, src_func_id, src_func_name, confidence AS score FROM res ORDER BY score DESC, bin_func_id, src_func_id LIMIT 10""")
