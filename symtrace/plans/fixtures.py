@@ -58,7 +58,7 @@ def document_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     bins = info.where("doc_id % 2 = 1").select(F.col("doc_id").alias("bin_id"), F.lit(None).cast("string").alias("name"), F.col("n_chars").alias("size"), F.format_string("0x%08x", "doc_id").alias("address"))
     srcs = info.where("doc_id % 2 = 0").select(F.col("doc_id").alias("src_id"), F.concat_ws("_", "source", F.col("doc_id").cast("string")).alias("name"), F.col("n_chars").alias("size"), F.col("lang").alias("file_path"))
     strings = cut(line_strings(spark, sf_dir, "[.\n]"))
-    return Inputs.of(bins, srcs, *sides(strings), *map(cut, document_edges(spark, sf_dir)))
+    return Inputs.of(bins, srcs, *sides(strings), *document_edges(spark, sf_dir))
 
 
 def error_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

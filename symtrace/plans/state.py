@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import cached_property
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +32,33 @@ class Inputs:
 
     @classmethod
     def of(cls, bin_info: DataFrame, src_info: DataFrame, bin_strings: DataFrame, src_strings: DataFrame, bin_edges: DataFrame, src_edges: DataFrame) -> Inputs:
-        """What is derived is checkpointed, as every phase reads it."""
-        indirect = [cut(features.indirect_strings(e, s)) for e, s in ((bin_edges, bin_strings), (src_edges, src_strings))]
-        return cls(bin_info, src_info, bin_strings, src_strings, bin_edges, src_edges, *indirect, cut(features.idf(bin_strings)))
+        """What is derived is checkpointed when a phase first reads it, and so are the edges."""
+        return _Derived(bin_info, src_info, bin_strings, src_strings, bin_edges, src_edges)
+
+
+class _Derived(Inputs):
+    def __init__(self, bin_info: DataFrame, src_info: DataFrame, bin_strings: DataFrame, src_strings: DataFrame, bin_edges: DataFrame, src_edges: DataFrame):
+        self.__dict__.update(bin_info=bin_info, src_info=src_info, bin_strings=bin_strings, src_strings=src_strings, _edges=(bin_edges, src_edges))
+
+    @cached_property
+    def bin_edges(self) -> DataFrame:
+        return cut(self._edges[0])
+
+    @cached_property
+    def src_edges(self) -> DataFrame:
+        return cut(self._edges[1])
+
+    @cached_property
+    def bin_indirect(self) -> DataFrame:
+        return cut(features.indirect_strings(self.bin_edges, self.bin_strings))
+
+    @cached_property
+    def src_indirect(self) -> DataFrame:
+        return cut(features.indirect_strings(self.src_edges, self.src_strings))
+
+    @cached_property
+    def rarity(self) -> DataFrame:
+        return cut(features.idf(self.bin_strings))
 
 
 @dataclass(frozen=True)

@@ -6,9 +6,10 @@ import math
 import random
 from collections import Counter, defaultdict
 
-from symtrace.operators import similarity
-from symtrace.plans import report
+from symtrace.operators import features, similarity
+from symtrace.plans import report, v3
 from symtrace.plans.queries import QUERIES
+from symtrace.plans.state import Inputs, State
 
 
 def test_top_matches_have_a_total_order(spark):
@@ -70,3 +71,24 @@ def test_pairs_of_a_shared_string_are_counted_by_sets(spark):
     shared = similarity.shared_sets(rows(1), rows(0))
     assert [r.n_i for r in shared.overlaps.collect()] == [1]
     assert [r.copies for r in shared.classes().collect()] == [40_000]
+
+
+def test_inputs_are_derived_when_they_are_read(spark, monkeypatch):
+    """Phase 1 of v3 reads no edge and no indirect string, so none is made for it."""
+    made = []
+    real = features.indirect_strings
+    monkeypatch.setattr(features, "indirect_strings", lambda *a: made.append(1) or real(*a))
+    sets = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c")], "func_id long, s string")
+    edges = spark.createDataFrame([(1, 3)], "caller_id long, callee_id long")
+    given = Inputs.of(None, None, sets, sets, edges, edges)
+    assert v3.first_round(given, State.empty(spark)).confirmed.count() == 2 and not made
+    assert sorted(map(tuple, given.bin_indirect.collect())) == [(1, "c")] and len(made) == 1 and given.bin_indirect is given.bin_indirect
+
+
+def test_combined_candidates_compare_classes(spark, monkeypatch):
+    rows = lambda odd: spark.createDataFrame([(2 * k + odd, s) for k in range(120) for s in ("shared", f"pair {k % 2}", f"own {odd} {k}")[: 2 + k % 2]], "func_id long, s string")
+    seen = []
+    real = similarity.Shared.expanded
+    monkeypatch.setattr(similarity.Shared, "expanded", lambda self, classes, k=None: seen.append(classes.count()) or real(self, classes, k))
+    found = similarity.combined_candidates(rows(1), rows(0), 0.25).count()
+    assert found == similarity.similarity(rows(1), rows(0)).where("0.35 * jaccard + 0.65 * weighted > 0.25").count() > 3_000 and seen == [seen[0]] and seen[0] <= 4
