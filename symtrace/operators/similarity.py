@@ -174,14 +174,11 @@ def similar_pairs(bins: DataFrame, srcs: DataFrame, threshold: float, rarity: Da
 
 
 def combined_candidates(bins: DataFrame, srcs: DataFrame, above: float, rarity: DataFrame | None = None) -> DataFrame:
-    """bin_id, src_id, shared, jaccard, weighted, score of the pairs whose combined score is above `above`: one of its two
-    parts must then be, so prefix filters for both parts find all of them."""
-    rarity = features.idf(bins) if rarity is None else rarity
-    b, s = features.weighted(bins, rarity), features.weighted(srcs, rarity)
-    plain = _meeting(_prefix(b, F.lit(1), above), _prefix(s, F.lit(1), above))
-    heavy = _meeting(_prefix(b.where("w > 0"), F.col("w"), above), _prefix(s.where("w > 0"), F.col("w"), above))
-    scored = pair_similarity(plain.unionByName(heavy), b, s).withColumn("score", combined(F.col("jaccard"), F.col("weighted")))
-    return scored.where(F.round("score", 12) > above)
+    """bin_id, src_id, shared, jaccard, weighted, score of the pairs whose combined score is above `above`. Classes of
+    functions are compared; only the pairs of classes that are above become pairs of functions."""
+    shared = shared_sets(bins, srcs, rarity)
+    scored = shared.classes().drop("copies").withColumn("score", combined(F.col("jaccard"), F.col("weighted"))).where(F.round("score", 12) > above)
+    return shared.expanded(scored).select("bin_id", "src_id", "shared", "jaccard", "weighted", "score")
 
 
 def combined(jaccard: Column, weighted: Column) -> Column:
