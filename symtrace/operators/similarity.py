@@ -252,16 +252,64 @@ def neighbour_candidates(bins: DataFrame, bin_edges: DataFrame, src_edges: DataF
     return mapped.join(both(src_edges), "x").select("bin_id", F.col("y").alias("src_id")).distinct()
 
 
+#: Sets of more neighbours have a wide sketch too.
+WIDE_ABOVE, WORDS = 64, 16
+
+
+def _sketched(near: DataFrame, func: str, order: DataFrame, two: DataFrame, above: float) -> DataFrame:
+    """ns, f, at, n, both, t0, t1: for each function (func) of near (func, ns) those of its neighbours, from rare to common, of
+    which any set that is similar enough has the first common one. at: the place, n: how many there are, both: it has
+    neighbours on the other side too (two: func), so either side may be what makes a pair; t0, t1: a bitmap of them all."""
+    rows = near.select(F.col(func).alias("f"), "ns").join(order, "ns", "left").repartition("f")
+    every = Window.partitionBy("f")
+    placed = rows.select(
+        "f", "ns", F.row_number().over(every.orderBy("df", "ns")).alias("at"), F.count("*").over(every).alias("n"), *[_word(k, 2).over(every).alias(f"t{k}") for k in range(2)]
+    )
+    placed = placed.join(two.select(F.col(func).alias("f"), F.lit(True).alias("both")).distinct(), "f", "left").withColumn("both", F.coalesce("both", F.lit(False)))
+    return placed.where(F.col("n") - F.col("at") + 1 >= F.when(F.col("both"), above).otherwise(2 * above) * F.col("n") - 1e-6)
+
+
+def _word(k: int, words: int) -> Column:
+    """Word k of a bitmap of so many words, of the neighbours ns."""
+    h = F.xxhash64("ns")
+    return F.bit_or(F.when(F.pmod(F.shiftright(h, 6), F.lit(words)) == k, F.expr("shiftleft(1L, cast(xxhash64(ns) & 63 as int))")).otherwise(F.lit(0).cast("long")))
+
+
+def _wide(near: DataFrame, func: str, name: str) -> DataFrame:
+    """func and a wide bitmap, of the functions with more than WIDE_ABOVE neighbours."""
+    maps = near.select(func, "ns").repartition(func).groupBy(func).agg(F.count("*").alias("n"), F.array(*[_word(k, WORDS) for k in range(WORDS)]).alias(name))
+    return maps.where(F.col("n") > WIDE_ABOVE).select(func, name)
+
+
+def _bits_apart(x: str, y: str) -> Column:
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+
+
 def inferred_pairs(bins: DataFrame, bin_edges: DataFrame, src_edges: DataFrame, mapping: DataFrame, above: float) -> DataFrame:
     """bin_id, src_id, call: the pairs of neighbour_candidates whose call similarity is more than `above` (0 or more).
-    The mean of two sides is that much only if one of them is, so only such pairs are kept from either side's counts."""
+    Edges are distinct. The mean of two sides is that much only if one of them is, or one is twice that where the other is empty. A side is only
+    for pairs that meet in a rare enough neighbour (the first common one leaves as many as the similarity takes) and whose
+    bitmaps do not rule it out; so few pairs that are not similar are ever made, and those left are computed exactly."""
+    bin_edges, src_edges = cut(bin_edges), cut(src_edges)
     m = mapping.select(F.col("bin_id").alias("nb"), F.col("src_id").alias("ns"))
+    open_edges = {own: bin_edges.select(F.col(own).alias("bin_id"), F.col(other).alias("nb")).join(bins.select("bin_id"), "bin_id", "left_semi").join(m, "nb").select("bin_id", "ns").distinct() for own, other in (("callee_id", "caller_id"), ("caller_id", "callee_id"))}
+    open_edges = {own: cut(df) for own, df in open_edges.items()}
     sides = []
     for own, other in (("callee_id", "caller_id"), ("caller_id", "callee_id")):
-        mapped = bin_edges.select(F.col(own).alias("bin_id"), F.col(other).alias("nb")).join(bins.select("bin_id"), "bin_id", "left_semi").join(m, "nb").select("bin_id", "ns").distinct()
-        near = src_edges.select(F.col(own).alias("src_id"), F.col(other).alias("ns")).distinct()
-        n_m, n_s = mapped.groupBy("bin_id").agg(F.count("*").alias("n_m")), near.groupBy("src_id").agg(F.count("*").alias("n_s"))
-        met = mapped.join(near, "ns").groupBy("bin_id", "src_id").agg(F.count("*").alias("n_i")).join(n_m, "bin_id").join(n_s, "src_id")
-        sides.append(met.where(F.col("n_i") / (F.col("n_m") + F.col("n_s") - F.col("n_i")) > above - 1e-9).select("bin_id", "src_id"))
+        near = src_edges.select(F.col(own).alias("src_id"), F.col(other).alias("ns"))
+        order = cut(near.groupBy("ns").agg(F.count("*").alias("df")))
+        b = cut(_sketched(open_edges[own], "bin_id", order, open_edges[other], above))
+        s = cut(_sketched(near, "src_id", order, src_edges.select(F.col(other).alias("src_id")), above))
+        met = b.select("ns", *[F.col(c).alias(f"b_{c}") for c in b.columns if c != "ns"]).join(s.select("ns", *[F.col(c).alias(f"s_{c}") for c in s.columns if c != "ns"]), "ns")
+        least = F.when(F.col("b_both") & F.col("s_both"), above).otherwise(2 * above)
+        enough = least / (1 + least) * (F.col("b_n") + F.col("s_n")) - 1e-6  # so many neighbours are common
+        tiny = _bits_apart("b_t0", "s_t0") + _bits_apart("b_t1", "s_t1")
+        able = met.where((1 + F.least(F.col("b_n") - F.col("b_at"), F.col("s_n") - F.col("s_at")) >= enough) & (F.col("b_n") + F.col("s_n") - tiny >= 2 * enough))
+        able = cut(able.select(F.col("b_f").alias("bin_id"), F.col("s_f").alias("src_id"), (F.col("b_n") + F.col("s_n") - 2 * enough).alias("apart")).distinct())
+        able = able.join(_wide(open_edges[own], "bin_id", "x"), "bin_id", "left").join(_wide(near, "src_id", "y"), "src_id", "left")
+        apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+        sides.append(cut(able.where(F.coalesce(apart <= F.col("apart"), F.lit(True))).select("bin_id", "src_id")))
     pairs = cut(sides[0].unionByName(sides[1]).distinct())
-    return call_similarity(pairs, bin_edges, src_edges, mapping).where(F.round("call", 12) > above)
+    ends = lambda edges, end: [edges.join(pairs.select(F.col(end).alias(c)).distinct(), c, "left_semi") for c in ("caller_id", "callee_id")]
+    bin_near, src_near = (cut(up.unionByName(down).distinct()) for up, down in (ends(bin_edges, "bin_id"), ends(src_edges, "src_id")))
+    return call_similarity(pairs, bin_near, src_near, mapping).where(F.round("call", 12) > above)

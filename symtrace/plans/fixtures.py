@@ -40,7 +40,7 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     and nodes whose number ends in 0 aren't mapped yet."""
     lines = table(spark, sf_dir, "lineitem")
     edge = lambda df: df.select(F.col("l_suppkey").alias("caller_id"), (F.lit(100000) + F.col("l_partkey")).alias("callee_id")).distinct()
-    src, bins = edge(lines), edge(lines.where("l_orderkey % 10 <> 0"))
+    src, bins = cut(edge(lines)), cut(edge(lines.where("l_orderkey % 10 <> 0")))
     nodes = bins.select(F.col("caller_id").alias("bin_id")).unionByName(bins.select(F.col("callee_id").alias("bin_id"))).distinct()
     return bins, src, nodes.where("bin_id % 10 <> 0").select("bin_id", F.col("bin_id").alias("src_id"))
 

@@ -92,3 +92,25 @@ def test_combined_candidates_compare_classes(spark, monkeypatch):
     monkeypatch.setattr(similarity.Shared, "expanded", lambda self, classes, k=None: seen.append(classes.count()) or real(self, classes, k))
     found = similarity.combined_candidates(rows(1), rows(0), 0.25).count()
     assert found == similarity.similarity(rows(1), rows(0)).where("0.35 * jaccard + 0.65 * weighted > 0.25").count() > 3_000 and seen == [seen[0]] and seen[0] <= 4
+
+
+def test_inferred_pairs_are_those_of_all_pairs(spark, monkeypatch):
+    """Functions with callers alone, callees alone and both, small and large sets, against the similarity of every pair."""
+    rng = random.Random(9)
+    callers = [(a, 1000 + p) for p in range(40) for a in rng.sample(range(30), 3 + p % 9)] + [(1000 + p, 1000 + (p * 7 + 3) % 40) for p in range(0, 40, 3)]
+    callers += [(50 + a, 5000 + p) for a in range(4) for p in rng.sample(range(120), 100 - a)]
+    src = sorted(set(callers))
+    bins = [e for e in src if rng.random() < 0.9]
+    frame = lambda rows, names: spark.createDataFrame(rows, " long, ".join(names.split()) + " long")
+    be, se = frame(bins, "caller_id callee_id"), frame(src, "caller_id callee_id")
+    nodes = sorted({x for e in bins for x in e})
+    opened, mapped = frame([(x,) for x in nodes if x % 3 == 0], "bin_id"), frame([(x, x) for x in nodes if x % 3], "bin_id src_id")
+    seen = []
+    real = similarity.call_similarity
+    monkeypatch.setattr(similarity, "call_similarity", lambda pairs, *a: seen.append(pairs.count()) or real(pairs, *a))
+    for above in (0.0, 0.2, 0.3, 0.45):
+        every = similarity.neighbour_candidates(opened, be, se, mapped)
+        expected = {(r.bin_id, r.src_id): r.call for r in real(every, be, se, mapped).collect() if round(r.call, 12) > above}
+        found = {(r.bin_id, r.src_id): r.call for r in similarity.inferred_pairs(opened, be, se, mapped, above).collect()}
+        assert found.keys() == expected.keys() and expected and all(abs(found[k] - expected[k]) < 1e-12 for k in found)
+    assert seen[-1] < 0.2 * every.count()
