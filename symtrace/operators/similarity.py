@@ -205,11 +205,11 @@ def _side(pairs: DataFrame, bin_edges: DataFrame, src_edges: DataFrame, mapping:
     """bin_id, src_id, n_m, n_s, n_i over the `other` ends of edges whose `own` end is the function: mapped neighbours of
     the binary function, neighbours of the source function, and those in both."""
     m = mapping.select(F.col("bin_id").alias("nb"), F.col("src_id").alias("ns"))
-    mapped = bin_edges.select(F.col(own).alias("bin_id"), F.col(other).alias("nb")).distinct().join(m, "nb").select("bin_id", "ns").distinct()
-    near = src_edges.select(F.col(own).alias("src_id"), F.col(other).alias("ns")).distinct()
-    wanted = pairs.select("bin_id", "src_id").distinct()
+    mapped = cut(_of(bin_edges, own, other, pairs, "bin_id", "nb").join(m, "nb").select("bin_id", "ns").distinct())
+    near = cut(_of(src_edges, own, other, pairs, "src_id", "ns"))
+    wanted = pairs.select("bin_id", "src_id")
     if two_hops:  # the pairs are about what the join on the common neighbour makes anyway
-        met = mapped.join(wanted.select("bin_id").distinct(), "bin_id", "left_semi").join(near, "ns")
+        met = mapped.join(near, "ns")
     else:  # few pairs: their neighbours only
         met = wanted.join(mapped, "bin_id").join(near, ["src_id", "ns"])
     both = met.groupBy("bin_id", "src_id").agg(F.count("*").alias("n_i"))
@@ -218,12 +218,21 @@ def _side(pairs: DataFrame, bin_edges: DataFrame, src_edges: DataFrame, mapping:
     return out.select("bin_id", "src_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_m", "n_s", "n_i")])
 
 
+def _of(edges: DataFrame, own: str, other: str, pairs: DataFrame, end: str, name: str) -> DataFrame:
+    """end, name: the distinct edges whose `own` end is an `end` of the pairs. Ids that all executors can have are sent to
+    them, so edges that no pair needs are never shuffled."""
+    ids = cut(pairs.select(end).distinct())
+    ids = F.broadcast(ids) if ids.count() <= SENT else ids
+    return edges.select(F.col(own).alias(end), F.col(other).alias(name)).join(ids, end, "left_semi").distinct()
+
+
 def call_similarity(pairs: DataFrame, bin_edges: DataFrame, src_edges: DataFrame, mapping: DataFrame, two_hops: bool = False) -> DataFrame:
     """bin_id, src_id, call: the mean over callers and callees of the Jaccard similarity between the mapped confirmed
     neighbours of the binary function and all neighbours of the source function; 0 for an empty union. two_hops: the pairs
     come from neighbour_candidates."""
     union = F.col("n_m") + F.col("n_s") - F.col("n_i")
     value = F.when(union > 0, F.col("n_i") / F.when(union > 0, union)).otherwise(0.0)
+    pairs = cut(pairs.select("bin_id", "src_id").distinct())
     callers = _side(pairs, bin_edges, src_edges, mapping, "callee_id", "caller_id", two_hops).select("bin_id", "src_id", value.alias("up"))
     callees = _side(pairs, bin_edges, src_edges, mapping, "caller_id", "callee_id", two_hops).select("bin_id", "src_id", value.alias("down"))
     return callers.join(callees, ["bin_id", "src_id"]).select("bin_id", "src_id", ((F.col("up") + F.col("down")) / 2).alias("call"))

@@ -56,6 +56,15 @@ def test_call_similarity_and_propagation(spark):
     assert [tuple(r) for r in near.collect()] == [(9, 19)]
 
 
+def test_calls_of_few_pairs_keep_their_edges_alone(spark, monkeypatch):
+    bin_edges, src_edges = edges(spark, [(1, 9), (2, 9), (9, 3)] + [(k, k + 1) for k in range(100, 300)]), edges(spark, [(11, 19), (12, 19), (19, 13)] + [(k, k + 1) for k in range(100, 300)])
+    kept = []
+    monkeypatch.setattr(similarity, "cut", lambda df: kept.append(df.count()) or df)
+    confirmed = mapping(spark, [(1, 11), (3, 13)] + [(k, k) for k in range(100, 300)])
+    assert similarity.call_similarity(mapping(spark, [(9, 19)] * 2), bin_edges, src_edges, confirmed).first().call == 0.75
+    assert kept and max(kept) <= 2
+
+
 def test_hybrid_and_size():
     assert 0.5 * 0.5 + 0.35 * 0.75 + 0.15 * 0.8 == pytest.approx(0.6325)
 
