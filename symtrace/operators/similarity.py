@@ -181,6 +181,20 @@ def combined_candidates(bins: DataFrame, srcs: DataFrame, above: float, rarity:
     return shared.expanded(scored).select("bin_id", "src_id", "shared", "jaccard", "weighted", "score")
 
 
+def combined_best(bins: DataFrame, srcs: DataFrame, above: float, at_least: float, gap: float) -> DataFrame:
+    """bin_id, src_id, score: of the combined candidates of each binary function the best, if its score is above at_least and,
+    unless it is alone, more than gap above the next. Decided between classes: a class with two source functions is its
+    own next, and candidates too low to be in the way of any best one leave before they are ordered."""
+    shared = shared_sets(bins, srcs)
+    scored = shared.classes().withColumn("score", combined(F.col("jaccard"), F.col("weighted"))).where(F.round("score", 12) > max(above, at_least - gap - 1e-9))
+    alone = shared.members.where(~F.col("b")).groupBy(F.col("class").alias("src_class")).agg((F.count("*") == 1).alias("alone"))
+    order = Window.partitionBy("bin_class").orderBy(F.desc(F.round("score", 12)), "src_class")
+    ranked = scored.select("bin_class", "src_class", "score").withColumn("r", F.row_number().over(order)).withColumn("next", F.lead("score").over(order))
+    best = ranked.where((F.col("r") == 1) & (F.round("score", 12) > at_least) & (F.col("next").isNull() | (F.round(F.col("score") - F.col("next"), 12) > gap)))
+    best = best.join(alone.where("alone"), "src_class", "left_semi")
+    return shared.expanded(best.select("bin_class", "src_class", "score")).select("bin_id", "src_id", "score")
+
+
 def combined(jaccard: Column, weighted: Column) -> Column:
     return 0.35 * jaccard + 0.65 * weighted
 

@@ -16,10 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def line_strings(spark: SparkSession, sf_dir: str, pattern: str = "\n") -> DataFrame:
-    """func_id, s, side: the distinct trimmed pieces of documents, of five characters or more."""
+    """func_id, s, side: the distinct trimmed pieces of documents, of five characters or more. The pieces of a row are made
+    distinct in its array; only where an id has more than one row are the texts shuffled."""
     docs = table(spark, sf_dir, "documents")
-    pieces = docs.select(F.col("doc_id").alias("func_id"), F.explode(F.split("text", pattern)).alias("s"))
-    return pieces.select("func_id", F.trim("s").alias("s"), (F.col("func_id") % 2).alias("side")).where(F.length("s") >= 5).distinct()
+    each = F.array_distinct(F.transform(F.split("text", pattern), lambda x: F.trim(x)))
+    pieces = docs.select(F.col("doc_id").alias("func_id"), F.explode(each).alias("s"))
+    pieces = pieces.select("func_id", "s", (F.col("func_id") % 2).alias("side")).where(F.length("s") >= 5)
+    again = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return pieces.distinct() if again else pieces
 
 
 def sides(strings: DataFrame) -> tuple[DataFrame, DataFrame]:

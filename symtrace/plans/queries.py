@@ -460,8 +460,7 @@ _RANKED = "(SELECT bin_id, src_id, sc, row_number() OVER w AS r, lead(sc) OVER w
 
 @query(f"""WITH {LINES}, {IDF} SELECT bin_id, src_id, round(sc, 6) AS score FROM {_RANKED} WHERE r = 1 AND round(sc, 12) > 0.75 AND (nx IS NULL OR round(sc - nx, 12) > 0.15)""")
 def top1_gap_confirm(spark, sf_dir):
-    scored = similarity.combined_candidates(*fx.by_lines(spark, sf_dir), 0.25).select("bin_id", "src_id", "score", F.col("src_id").alias("seq"))
-    return assign.best_with_gap(scored, 0.75, 0.15).select("bin_id", "src_id", r6("score"))
+    return similarity.combined_best(*fx.by_lines(spark, sf_dir), 0.25, 0.75, 0.15).select("bin_id", "src_id", r6("score"))
 
 
 @query(f"""WITH {LINES}, {IDF} SELECT bin_id, src_id, round(weighted, 6) AS weighted FROM (SELECT *, row_number() OVER (PARTITION BY bin_id ORDER BY round(weighted, 12) DESC, src_id) AS r FROM sim WHERE round(weighted, 12) >= 0.6) WHERE r = 1""")

@@ -7,7 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 from symtrace.operators import features, similarity
-from symtrace.plans import report, v3
+from symtrace.plans import fixtures, report, v3
 from symtrace.plans.queries import QUERIES
 from symtrace.plans.state import Inputs, State
 
@@ -114,3 +114,27 @@ def test_inferred_pairs_are_those_of_all_pairs(spark, monkeypatch):
         found = {(r.bin_id, r.src_id): r.call for r in similarity.inferred_pairs(opened, be, se, mapped, above).collect()}
         assert found.keys() == expected.keys() and expected and all(abs(found[k] - expected[k]) < 1e-12 for k in found)
     assert seen[-1] < 0.2 * every.count()
+
+
+def test_gaps_are_decided_between_classes(spark, tmp_path, monkeypatch):
+    pairs = _tables(spark, tmp_path)
+    ranked = defaultdict(list)
+    for (b, c), (_, j, w) in pairs.items():
+        if round(0.35 * j + 0.65 * w, 12) > 0.25:
+            ranked[b].append((-round(0.35 * j + 0.65 * w, 12), c))
+    best = {b: sorted(v) for b, v in ranked.items()}
+    expected = {(b, v[0][1]) for b, v in best.items() if v[0][0] < -0.75 and (len(v) == 1 or round(v[1][0] - v[0][0], 12) > 0.15)}
+    made, expanded = [], similarity.Shared.expanded
+    monkeypatch.setattr(similarity.Shared, "expanded", lambda self, classes, k=None: made.append(out := expanded(self, classes, k)) or out)
+    found = {(r.bin_id, r.src_id) for r in QUERIES["top1_gap_confirm"](spark, str(tmp_path)).collect()}
+    assert found == expected and made[0].count() == len(expected)
+
+
+def test_pieces_of_single_rows_are_not_shuffled(spark, tmp_path):
+    rows = [(1, "line one\n line one \nline two\nabc"), (2, "line one"), (3, None)]
+    for name, more in (("once", []), ("again", [(2, "line one\nline six")])):
+        spark.createDataFrame(rows + more, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    once, again = (fixtures.line_strings(spark, f"{tmp_path}/{name}") for name in ("once", "again"))
+    own = {(1, "line one", 1), (1, "line two", 1), (2, "line one", 0)}
+    assert sorted(map(tuple, once.collect())) == sorted(own) and sorted(map(tuple, again.collect())) == sorted(own | {(2, "line six", 0)})
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
