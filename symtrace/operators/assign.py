@@ -16,8 +16,12 @@ ON_DRIVER = 100_000
 
 def evidence_pairs(bins: DataFrame, srcs: DataFrame) -> DataFrame:
     """bin_id, src_id, evidence: number of strings that are unique on both sides."""
-    b = features.unique_strings(bins).select(F.col("func_id").alias("bin_id"), "s")
-    s = features.unique_strings(srcs).select(F.col("func_id").alias("src_id"), "s")
+    return evidence(features.unique_strings(bins), features.unique_strings(srcs))
+
+
+def evidence(bins: DataFrame, srcs: DataFrame) -> DataFrame:
+    """evidence_pairs of the strings (func_id, s) that are unique on their side."""
+    b, s = bins.select(F.col("func_id").alias("bin_id"), "s"), srcs.select(F.col("func_id").alias("src_id"), "s")
     return b.join(s, "s").groupBy("bin_id", "src_id").agg(F.count("*").alias("evidence"))
 
 

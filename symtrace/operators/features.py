@@ -5,7 +5,7 @@ String sets are exploded, distinct rows (func_id, s); graphs are distinct edges
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,6 +54,19 @@ def unique_strings(strings: DataFrame) -> DataFrame:
     return strings.groupBy("s").agg(F.min("func_id").alias("func_id"), F.max("func_id").alias("last")).where("func_id = last").select("func_id", "s")
 
 
+def unique_indirect(edges: DataFrame, strings: DataFrame) -> DataFrame:
+    """func_id, s of the indirect strings that one caller alone has, without listing indirect strings: the smallest and the
+    largest caller of the functions that have a string are the same. s is a 128-bit hash of the string."""
+    callers = edges.groupBy(F.col("callee_id").alias("func_id")).agg(F.min("caller_id").alias("least"), F.max("caller_id").alias("most"))
+    called = strings.select("func_id", hashed(F.col("s")).alias("s")).join(callers, "func_id")
+    return called.groupBy("s").agg(F.min("least").alias("func_id"), F.max("most").alias("last")).where("func_id = last").select("func_id", "s")
+
+
+def hashed(s: Column) -> Column:
+    """128 bits that stand for a string."""
+    return F.substring(F.unhex(F.sha2(s, 256)), 1, 16)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """func_id, callers, callees over distinct edges."""
     e = edges.select("caller_id", "callee_id").distinct()

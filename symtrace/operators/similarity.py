@@ -100,27 +100,22 @@ def _sent(packed: DataFrame) -> DataFrame:
     return F.broadcast(packed) if n <= SENT else packed
 
 
-def _key(s: Column) -> Column:
-    """128 bits that stand for a string."""
-    return F.substring(F.unhex(F.sha2(s, 256)), 1, 16)
-
-
 def shared_sets(bins: DataFrame, srcs: DataFrame, rarity: DataFrame | None = None) -> Shared:
     """Inputs and rarity as for similarity. Most functions of a large program share few strings with the other side, and
     many share the same: overlaps are counted between the different sets of shared strings alone."""
-    side = lambda df, b: df.select("func_id", _key(F.col("s")).alias("s"), F.lit(b).alias("b"))
+    side = lambda df, b: df.select("func_id", features.hashed(F.col("s")).alias("s"), F.lit(b).alias("b"))
     rows = cut(side(bins, True).unionByName(side(srcs, False)))
     each = rows.groupBy("s").agg(F.count_if("b").alias("df"), F.count_if(~F.col("b")).alias("others"))
     if rarity is None:
         n = rows.where("b").agg(F.greatest(F.countDistinct("func_id"), F.lit(1)).alias("n"))
         each = each.crossJoin(F.broadcast(n)).withColumn("idf", F.when(F.col("df") > 0, F.log((F.col("n") + 1.0) / (F.col("df") + 1.0))))
     else:
-        each = each.join(rarity.select(_key(F.col("s")).alias("s"), "idf"), "s", "left")
+        each = each.join(rarity.select(features.hashed(F.col("s")).alias("s"), "idf"), "s", "left")
     each = each.select("s", F.coalesce("idf", F.lit(1.0)).alias("w"), ((F.col("df") > 0) & (F.col("others") > 0)).alias("met"))
     own = rows.join(each, "s").groupBy("b", "func_id").agg(F.sort_array(F.collect_list("w")).alias("ws"), F.sort_array(F.collect_list(F.when(F.col("met"), F.struct("s", "w")))).alias("met"))
     # Weights are added in one order, so equal sets weigh the same to the last digit.
     total = F.aggregate("ws", F.lit(0.0), lambda a, x: a + x)
-    own = cut(own.where(F.size("met") > 0).select("b", "func_id", F.size("ws").cast("long").alias("n"), total.alias("w"), "met", _key(F.array_join(F.transform("met", lambda x: F.hex(x["s"])), "")).alias("key")))
+    own = cut(own.where(F.size("met") > 0).select("b", "func_id", F.size("ws").cast("long").alias("n"), total.alias("w"), "met", features.hashed(F.array_join(F.transform("met", lambda x: F.hex(x["s"])), "")).alias("key")))
     sets = cut(own.groupBy("b", "key").agg(F.min("func_id").alias("set"), F.first("met").alias("met")))
     members = own.select("b", "key", "func_id", "n", "w").join(sets.select("b", "key", "set"), ["b", "key"])
     members = cut(members.select("b", "func_id", "set", "n", "w", F.min("func_id").over(Window.partitionBy("b", "set", "n", "w")).alias("class")))
@@ -173,6 +168,25 @@ def similar_pairs(bins: DataFrame, srcs: DataFrame, threshold: float, rarity: Da
     return pair_similarity(able, b, s).where(F.round("weighted", 12) >= threshold).select("bin_id", "src_id", "shared", "weighted")
 
 
+def string_units(bins: DataFrame, srcs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(binary, source, rarity) as for similar_pairs, with numbers of units for strings: strings that the same functions of both
+    sides have are one unit of their whole weight. Whoever calls one of these functions has all strings of the unit, so sets
+    of indirect units weigh what sets of indirect strings do. That two lists of functions are the same is told by 128 bits."""
+    side = lambda df, b: df.select("func_id", features.hashed(F.col("s")).alias("s"), F.lit(b).alias("b"))
+    rows = cut(side(bins, True).unionByName(side(srcs, False)))
+    total = rows.where("b").agg(F.greatest(F.countDistinct("func_id"), F.lit(1)).alias("total"))
+    each = rows.groupBy("s").agg(F.count_if("b").alias("df"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("func_id", "b")).alias("x"), F.bit_xor(F.xxhash64("b", "func_id")).alias("y"), F.min("func_id").alias("func_id"))
+    each = cut(each)
+    idf = F.when(F.col("df") > 0, F.log((F.col("total") + 1.0) / (F.col("df") + 1.0))).otherwise(1.0)
+    units = each.crossJoin(F.broadcast(total)).groupBy("df", "n", "x", "y").agg(F.sum(idf).alias("idf"), F.min("func_id").alias("func_id"))
+    units = cut(cut(units).withColumn("unit", F.monotonically_increasing_id()))
+    one = units.where("n = 1").select("func_id", F.col("unit").alias("s"), (F.col("df") > 0).alias("b"))  # most strings: these need no join
+    named = each.where("n > 1").select("s", "df", "n", "x", "y").join(units.where("n > 1").select("df", "n", "x", "y", "unit"), ["df", "n", "x", "y"]).select("s", "unit")
+    more = rows.join(named, "s").select("func_id", F.col("unit").alias("s"), "b").distinct()
+    of = cut(one.unionByName(more))
+    return of.where("b").select("func_id", "s"), of.where(~F.col("b")).select("func_id", "s"), units.select(F.col("unit").alias("s"), "idf")
+
+
 def combined_candidates(bins: DataFrame, srcs: DataFrame, above: float, rarity: DataFrame | None = None) -> DataFrame:
     """bin_id, src_id, shared, jaccard, weighted, score of the pairs whose combined score is above `above`. Classes of
     functions are compared; only the pairs of classes that are above become pairs of functions."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symtrace import schemas
-from symtrace.operators import features
+from symtrace.operators import features, similarity
 from symtrace.operators.lineage import cut
 
 
@@ -35,6 +35,14 @@ class Inputs:
         """What is derived is checkpointed when a phase first reads it, and so are the edges."""
         return _Derived(bin_info, src_info, bin_strings, src_strings, bin_edges, src_edges)
 
+    def unique_indirect(self) -> tuple[DataFrame, DataFrame]:
+        """(binary, source) rows func_id, s of the indirect strings that one function of the side alone has."""
+        return features.unique_strings(self.bin_indirect), features.unique_strings(self.src_indirect)
+
+    def indirect_sets(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(binary, source, rarity): indirect strings, or units of them, whose sets are compared by weight."""
+        return self.bin_indirect, self.src_indirect, self.rarity
+
 
 class _Derived(Inputs):
     def __init__(self, bin_info: DataFrame, src_info: DataFrame, bin_strings: DataFrame, src_strings: DataFrame, bin_edges: DataFrame, src_edges: DataFrame):
@@ -60,6 +68,13 @@ class _Derived(Inputs):
     def rarity(self) -> DataFrame:
         return cut(features.idf(self.bin_strings))
 
+    def unique_indirect(self) -> tuple[DataFrame, DataFrame]:
+        return features.unique_indirect(self.bin_edges, self.bin_strings), features.unique_indirect(self.src_edges, self.src_strings)
+
+    def indirect_sets(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        bins, srcs, rarity = similarity.string_units(self.bin_strings, self.src_strings)
+        return cut(features.indirect_strings(self.bin_edges, bins)), cut(features.indirect_strings(self.src_edges, srcs)), rarity
+
 
 @dataclass(frozen=True)
 class State:

@@ -13,8 +13,7 @@ DIRECT, INDIRECT = 0.95, 0.80
 SIMILAR, FACTOR, CONFLICT = 0.6, 0.85, 0.9
 
 
-def _round(state: State, bins: DataFrame, srcs: DataFrame, confidence: float, method: str, phase: int) -> State:
-    pairs = assign.evidence_pairs(bins, srcs)
+def _round(state: State, pairs: DataFrame, confidence: float, method: str, phase: int) -> State:
     matches, conflicts = assign.assign(pairs, "evidence", state.confirmed)
     state = state.confirm(matches.select("bin_id", "src_id", F.lit(confidence).alias("confidence"), F.lit(method).alias("method")), phase)
     lost = conflicts.select("bin_id", "src_id", (confidence * (1 - 1 / (F.col("evidence") + 1))).alias("score"), F.lit(f"{method}_conflict").alias("method"), (-F.col("evidence")).alias("order"))
@@ -22,19 +21,20 @@ def _round(state: State, bins: DataFrame, srcs: DataFrame, confidence: float, me
 
 
 def first_round(inputs: Inputs, state: State) -> State:
-    return _round(state, inputs.bin_strings, inputs.src_strings, DIRECT, "unique_string_direct", 10)
+    return _round(state, assign.evidence_pairs(inputs.bin_strings, inputs.src_strings), DIRECT, "unique_string_direct", 10)
 
 
 def unique_strings(inputs: Inputs, state: State) -> State:
     state = first_round(inputs, state)
-    return _round(state, inputs.bin_indirect, inputs.src_indirect, INDIRECT, "unique_string_indirect", 11)
+    return _round(state, assign.evidence(*inputs.unique_indirect()), INDIRECT, "unique_string_indirect", 11)
 
 
 def indirect_similarity(inputs: Inputs, state: State, variant: str = "all") -> State:
     """variant 'all': every pair that is similar enough competes; 'best': each binary function's best pair only."""
-    bins = inputs.bin_indirect.join(state.confirmed.select(F.col("bin_id").alias("func_id")), "func_id", "left_anti")
-    srcs = inputs.src_indirect.join(state.confirmed.select(F.col("src_id").alias("func_id")).distinct(), "func_id", "left_anti")
-    pairs = similarity.similar_pairs(bins, srcs, SIMILAR, inputs.rarity).withColumn("weighted", F.round("weighted", 12))
+    bins, srcs, rarity = inputs.indirect_sets()
+    bins = bins.join(state.confirmed.select(F.col("bin_id").alias("func_id")), "func_id", "left_anti")
+    srcs = srcs.join(state.confirmed.select(F.col("src_id").alias("func_id")).distinct(), "func_id", "left_anti")
+    pairs = similarity.similar_pairs(bins, srcs, SIMILAR, rarity).withColumn("weighted", F.round("weighted", 12))
     if variant == "best":
         pairs = assign.best_per_bin(pairs, "weighted")
     matches, conflicts = assign.assign(pairs, "weighted")

@@ -138,3 +138,25 @@ def test_pieces_of_single_rows_are_not_shuffled(spark, tmp_path):
     own = {(1, "line one", 1), (1, "line two", 1), (2, "line one", 0)}
     assert sorted(map(tuple, once.collect())) == sorted(own) and sorted(map(tuple, again.collect())) == sorted(own | {(2, "line six", 0)})
     assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+def test_indirect_strings_are_compared_as_units(spark, monkeypatch):
+    rng = random.Random(3)
+    own = {k: {f"own {k} {i}" for i in range(5)} | {f"group {rng.randrange(4)} {i}" for i in range(3)} for k in range(40)}
+    frame = lambda rows, names: spark.createDataFrame(sorted(rows), names)
+    strings = [frame({(k, s.replace("own 0 ", "own 1 ")) for k, v in own.items() if k % 2 == side for s in v}, "func_id long, s string") for side in (1, 0)]
+    calls = [{(100 + side + 2 * rng.randrange(8), k) for k in own if k % 2 == side for _ in range(2)} | {(200 + side, 0 + side)} for side in (1, 0)]
+    edges = [frame(e, "caller_id long, callee_id long") for e in calls]
+    info = [frame({(k,) for k in range(side, 300, 2)}, f"{i} long") for side, i in ((1, "bin_id"), (0, "src_id"))]
+    listed = [features.indirect_strings(e, s) for e, s in zip(edges, strings, strict=True)]
+    plain = Inputs(*info, *strings, *edges, *listed, features.idf(strings[0]))
+    made, indirect = [], features.indirect_strings
+    monkeypatch.setattr(features, "indirect_strings", lambda e, s: made.append(out := indirect(e, s)) or out)
+    results = []
+    for inputs in (plain, Inputs.of(*info, *strings, *edges)):
+        state = v3.unique_strings(inputs, State.empty(spark))
+        monkeypatch.setattr(v3, "SIMILAR", 0.05)
+        state = v3.indirect_similarity(inputs, state)
+        results.append([sorted((r.bin_id, r.src_id, r.method, round(r[2], 9)) for r in df.collect()) for df in (state.confirmed, state.candidates)])
+    assert results[0] == results[1] and len({r[2] for r in results[0][0]}) >= 2
+    assert [x.count() for x in made] < [x.count() for x in listed] and made[0].schema["s"].dataType.typeName() == "long"
