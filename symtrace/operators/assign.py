@@ -16,7 +16,7 @@ ON_DRIVER = 100_000
 
 def evidence_pairs(bins: DataFrame, srcs: DataFrame) -> DataFrame:
     """bin_id, src_id, evidence: number of strings that are unique on both sides."""
-    return evidence(features.unique_strings(bins), features.unique_strings(srcs))
+    return evidence(*[features.unique_strings(df.select("func_id", features.hashed(F.col("s")).alias("s"))) for df in (bins, srcs)])
 
 
 def evidence(bins: DataFrame, srcs: DataFrame) -> DataFrame:
