@@ -12,6 +12,8 @@ from .lineage import cut
 
 #: So many pairs are finished on the driver, where the sequential algorithm is a single pass.
 ON_DRIVER = 100_000
+#: So many doubly unique strings are sent to all executors; more are shuffled.
+SENT = 1_000_000
 
 
 def evidence_pairs(bins: DataFrame, srcs: DataFrame) -> DataFrame:
@@ -27,9 +29,17 @@ def evidence(bins: DataFrame, srcs: DataFrame) -> DataFrame:
 
 def first_wins(bins: DataFrame, srcs: DataFrame) -> DataFrame:
     """bin_id, src_id, s: per binary function its smallest doubly unique string; source functions may be reused."""
-    b = features.unique_strings(bins).select(F.col("func_id").alias("bin_id"), "s")
-    s = features.unique_strings(srcs).select(F.col("func_id").alias("src_id"), "s")
-    return b.join(s, "s").groupBy("bin_id").agg(F.min(F.struct("s", "src_id")).alias("m")).select("bin_id", "m.src_id", "m.s")
+    return first_of(bins, cut(features.both_sides(bins, srcs)))
+
+
+def first_of(bins: DataFrame, rows: DataFrame) -> DataFrame:
+    """first_wins, with both_sides as a checkpoint (rows). Hashes tell which strings are unique; the texts of those alone are
+    looked up, by a list that all executors get if it is short."""
+    b, s = (features.unique_strings(rows.where(side)).select(F.col("func_id").alias(i), F.col("s").alias("h")) for side, i in ((F.col("b"), "bin_id"), (~F.col("b"), "src_id")))
+    found = cut(b.join(s, "h"))
+    found = F.broadcast(found) if found.count() <= SENT else found
+    texts = bins.select(F.col("func_id").alias("bin_id"), "s", features.hashed(F.col("s")).alias("h")).join(found, ["bin_id", "h"])
+    return texts.groupBy("bin_id").agg(F.min(F.struct("s", "src_id")).alias("m")).select("bin_id", "m.src_id", "m.s")
 
 
 def sequential(rows: list, taken_bins: set, taken_srcs: set) -> list[tuple[int, int]]:

@@ -67,6 +67,12 @@ def hashed(s: Column) -> Column:
     return F.substring(F.unhex(F.sha2(s, 256)), 1, 16)
 
 
+def both_sides(bins: DataFrame, srcs: DataFrame) -> DataFrame:
+    """func_id, s, b: the rows (func_id, s) of the binary (b) and the source side, with hashes for strings."""
+    side = lambda df, b: df.select("func_id", hashed(F.col("s")).alias("s"), F.lit(b).alias("b"))
+    return side(bins, True).unionByName(side(srcs, False))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """func_id, callers, callees over distinct edges."""
     e = edges.select("caller_id", "callee_id").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,11 +41,41 @@ CHUNK = 256
 class Shared:
     """members: b (binary side), func_id, set, class, n, w of the functions that share a string with the other side. Those of
     a set have the same shared strings, those of a class the same number and weight of all strings too; both are named by
-    their smallest function. overlaps: bin_set, src_set, n_i, w_i of the sets with a common string."""
+    their smallest function. posts: b, set, s, w of the strings that a set shares with the other side. overlaps: bin_set,
+    src_set, n_i, w_i of the sets with a common string."""
 
     members: DataFrame
+    posts: DataFrame
     overlaps: DataFrame
 
+    def without(self, bins: DataFrame) -> Shared:
+        """The same without the binary functions of bins (bin_id)."""
+        gone = bins.select(F.col("bin_id").alias("func_id"), F.lit(True).alias("b"))
+        return replace(self, members=cut(self.members.join(gone, ["func_id", "b"], "left_anti")))
+
+    def near(self, above: float) -> Shared:
+        """The same with no overlaps but of sets that may have functions with a combined score above `above` (0 or more); weights
+        are 0 or more. A string adds its share of a function to the score at most. Of two functions that are above, the strings
+        from the first common one on, from rare to common, make up more than `above` of each, so these ends meet in it."""
+        least = self.members.groupBy("b", "set").agg(F.min("n").alias("n"), F.min("w").alias("all"))
+        share = combined(1 / F.col("n"), F.when(F.col("all") > 0, F.col("w") / F.col("all")).otherwise(0.0))
+        after = Window.partitionBy("b", "set").orderBy("w", F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+        ends = cut(self.posts.join(least, ["b", "set"]).withColumn("rest", F.sum(share).over(after)).where(F.col("rest") > above - 1e-9).select("b", "set", "s"))
+        b, s = (ends.where(F.col("b") == side).select(F.col("set").alias(c), "s") for side, c in ((True, "bin_set"), (False, "src_set")))
+        return replace(self, overlaps=_set_overlaps(self.posts, b.join(s, "s").select("bin_set", "src_set").distinct()))
+
+    def above(self, above: float) -> DataFrame:
+        """bin_id, src_id, shared, jaccard, weighted, score of the pairs whose combined score is above `above`. Classes of functions
+        are compared; only the pairs of classes that are above become pairs of functions."""
+        scored = self.near(above).classes().drop("copies").withColumn("score", combined(F.col("jaccard"), F.col("weighted"))).where(F.round("score", 12) > above)
+        return self.expanded(scored).select("bin_id", "src_id", "shared", "jaccard", "weighted", "score")
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """bin_id, src_id, shared, jaccard, weighted of the given pairs that share a string."""
+        b, s = (self.members.where(F.col("b") == side).select(F.col("func_id").alias(i), F.col("set").alias(c), F.col("n").alias(n), F.col("w").alias(w)) for side, i, c, n, w in ((True, "bin_id", "bin_set", "n_a", "w_a"), (False, "src_id", "src_set", "n_b", "w_b")))
+        each = cut(pairs.select("bin_id", "src_id").distinct().join(b, "bin_id").join(s, "src_id"))
+        return _scored(each.join(_set_overlaps(self.posts, each.select("bin_set", "src_set").distinct()), ["bin_set", "src_set"]))
+
     def pairs(self, bin_info: DataFrame | None = None, src_info: DataFrame | None = None) -> DataFrame:
         """The similarities of all pairs of functions, and the columns of bin_info and src_info."""
         ends = [self.members.where(F.col("b") == side) if info is None else self.members.where(F.col("b") == side).join(info, "func_id") for side, info in ((True, bin_info), (False, src_info))]
@@ -103,8 +133,11 @@ def _sent(packed: DataFrame) -> DataFrame:
 def shared_sets(bins: DataFrame, srcs: DataFrame, rarity: DataFrame | None = None) -> Shared:
     """Inputs and rarity as for similarity. Most functions of a large program share few strings with the other side, and
     many share the same: overlaps are counted between the different sets of shared strings alone."""
-    side = lambda df, b: df.select("func_id", features.hashed(F.col("s")).alias("s"), F.lit(b).alias("b"))
-    rows = cut(side(bins, True).unionByName(side(srcs, False)))
+    return sets_of(cut(features.both_sides(bins, srcs)), rarity)
+
+
+def sets_of(rows: DataFrame, rarity: DataFrame | None = None) -> Shared:
+    """shared_sets of both_sides, a checkpoint."""
     each = rows.groupBy("s").agg(F.count_if("b").alias("df"), F.count_if(~F.col("b")).alias("others"))
     if rarity is None:
         n = rows.where("b").agg(F.greatest(F.countDistinct("func_id"), F.lit(1)).alias("n"))
@@ -119,9 +152,15 @@ def shared_sets(bins: DataFrame, srcs: DataFrame, rarity: DataFrame | None = Non
     sets = cut(own.groupBy("b", "key").agg(F.min("func_id").alias("set"), F.first("met").alias("met")))
     members = own.select("b", "key", "func_id", "n", "w").join(sets.select("b", "key", "set"), ["b", "key"])
     members = cut(members.select("b", "func_id", "set", "n", "w", F.min("func_id").over(Window.partitionBy("b", "set", "n", "w")).alias("class")))
-    post = lambda b, name: sets.where(F.col("b") == b).select(F.col("set").alias(name), F.inline("met"))
-    met = post(True, "bin_set").join(post(False, "src_set").drop("w"), "s")
-    return Shared(members, met.groupBy("bin_set", "src_set").agg(F.count("*").alias("n_i"), F.sum("w").alias("w_i")))
+    posts = sets.select("b", "set", F.inline("met"))
+    return Shared(members, posts, _set_overlaps(posts))
+
+
+def _set_overlaps(posts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """bin_set, src_set, n_i, w_i of the sets with a common string; of the given pairs (bin_set, src_set) only."""
+    b, s = posts.where("b").select(F.col("set").alias("bin_set"), "s", "w"), posts.where(~F.col("b")).select(F.col("set").alias("src_set"), "s")
+    met = b.join(s, "s") if pairs is None else pairs.join(b, "bin_set").join(s, ["src_set", "s"])
+    return met.groupBy("bin_set", "src_set").agg(F.count("*").alias("n_i"), F.sum("w").alias("w_i"))
 
 
 def _scored(pairs: DataFrame, *kept: Column | str) -> DataFrame:
@@ -172,8 +211,7 @@ def string_units(bins: DataFrame, srcs: DataFrame) -> tuple[DataFrame, DataFrame
     """(binary, source, rarity) as for similar_pairs, with numbers of units for strings: strings that the same functions of both
     sides have are one unit of their whole weight. Whoever calls one of these functions has all strings of the unit, so sets
     of indirect units weigh what sets of indirect strings do. That two lists of functions are the same is told by 128 bits."""
-    side = lambda df, b: df.select("func_id", features.hashed(F.col("s")).alias("s"), F.lit(b).alias("b"))
-    rows = cut(side(bins, True).unionByName(side(srcs, False)))
+    rows = cut(features.both_sides(bins, srcs))
     total = rows.where("b").agg(F.greatest(F.countDistinct("func_id"), F.lit(1)).alias("total"))
     each = rows.groupBy("s").agg(F.count_if("b").alias("df"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("func_id", "b")).alias("x"), F.bit_xor(F.xxhash64("b", "func_id")).alias("y"), F.min("func_id").alias("func_id"))
     each = cut(each)
@@ -188,11 +226,8 @@ def string_units(bins: DataFrame, srcs: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def combined_candidates(bins: DataFrame, srcs: DataFrame, above: float, rarity: DataFrame | None = None) -> DataFrame:
-    """bin_id, src_id, shared, jaccard, weighted, score of the pairs whose combined score is above `above`. Classes of
-    functions are compared; only the pairs of classes that are above become pairs of functions."""
-    shared = shared_sets(bins, srcs, rarity)
-    scored = shared.classes().drop("copies").withColumn("score", combined(F.col("jaccard"), F.col("weighted"))).where(F.round("score", 12) > above)
-    return shared.expanded(scored).select("bin_id", "src_id", "shared", "jaccard", "weighted", "score")
+    """bin_id, src_id, shared, jaccard, weighted, score of the pairs whose combined score is above `above`."""
+    return shared_sets(bins, srcs, rarity).above(above)
 
 
 def combined_best(bins: DataFrame, srcs: DataFrame, above: float, at_least: float, gap: float) -> DataFrame:
@@ -269,12 +304,12 @@ def call_similarity(pairs: DataFrame, bin_edges: DataFrame, src_edges: DataFrame
 def propagation_bonus(pairs: DataFrame, bin_edges: DataFrame, src_edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """bin_id, src_id, bonus: 0.20 times the share of mapped neighbours that are neighbours of the source function too."""
     m = mapping.select(F.col("bin_id").alias("nb"), F.col("src_id").alias("ns"))
-    wanted = pairs.select("bin_id", "src_id").distinct()
+    wanted = cut(pairs.select("bin_id", "src_id").distinct())
     sides = []
     for own, other in (("callee_id", "caller_id"), ("caller_id", "callee_id")):
         # Neighbours count as binary functions: two that are mapped to one source function are two.
-        mapped = bin_edges.select(F.col(own).alias("bin_id"), F.col(other).alias("nb")).distinct().join(m, "nb")
-        near = src_edges.select(F.col(own).alias("src_id"), F.col(other).alias("ns")).distinct().withColumn("hit", F.lit(1))
+        mapped = _of(bin_edges, own, other, wanted, "bin_id", "nb").join(m, "nb")
+        near = _of(src_edges, own, other, wanted, "src_id", "ns").withColumn("hit", F.lit(1))
         sides.append(wanted.join(mapped, "bin_id").join(near, ["src_id", "ns"], "left").groupBy("bin_id", "src_id").agg(F.count("*").alias("n"), F.count("hit").alias("h")))
     total = sides[0].unionByName(sides[1]).groupBy("bin_id", "src_id").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
     return wanted.join(total, ["bin_id", "src_id"], "left").select("bin_id", "src_id", F.coalesce(0.20 * F.col("h") / F.col("n"), F.lit(0.0)).alias("bonus"))

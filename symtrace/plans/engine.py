@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from symtrace.functions import scalars
 from symtrace.operators import assign, similarity
+from symtrace.operators.lineage import cut
 
 from . import v2, v3
 from .state import Exporter, Inputs, Loader, Logger, Phase, State
@@ -89,10 +90,13 @@ def results(inputs: Inputs, state: State, mode: str = "v3") -> DataFrame:
     the call similarity against the final mapping."""
     b = inputs.bin_info.select("bin_id", F.col("address").alias("bin_address"))
     s = inputs.src_info.select("src_id", F.col("name").alias("src_name"), F.col("file_path").alias("src_file_path"))
-    rows = similarity.shared_strings(state.confirmed.join(b, "bin_id").join(s, "src_id"), inputs.bin_strings, inputs.src_strings)
+    rows = state.confirmed.join(b, "bin_id").join(s, "src_id")
     if mode == "v3":
-        rows = assign.one_per_name(rows).withColumn("call", F.lit(0.0))
+        rows = assign.one_per_name(similarity.shared_strings(rows, inputs.bin_strings, inputs.src_strings)).withColumn("call", F.lit(0.0))
     else:
+        rows = cut(rows)
+        shared = inputs.shared.of(rows).select("bin_id", "src_id", F.col("shared").cast("int").alias("n"))
+        rows = rows.join(shared, ["bin_id", "src_id"], "left").withColumn("shared_strings", F.coalesce("n", F.lit(0))).drop("n")
         rows = rows.join(similarity.call_similarity(rows, inputs.bin_edges, inputs.src_edges, state.confirmed), ["bin_id", "src_id"], "left")
     return rows.select(
         F.col("bin_id").alias("bin_func_id"), "bin_address", F.col("src_id").alias("src_func_id"), F.col("src_name").alias("src_func_name"), "src_file_path", "confidence", "method",

@@ -56,12 +56,14 @@ def document_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return edge(lines.where("l_orderkey % 10 <> 0"), 1), edge(lines, 0)
 
 
-def document_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+def document_inputs(spark: SparkSession, sf_dir: str, keep: bool = True) -> Inputs:
+    """keep: strings are checkpointed. The v2 pipeline reads texts twice only, so it does without."""
     docs = table(spark, sf_dir, "documents")
     info = docs.select("doc_id", "n_chars", "source", "lang")
     bins = info.where("doc_id % 2 = 1").select(F.col("doc_id").alias("bin_id"), F.lit(None).cast("string").alias("name"), F.col("n_chars").alias("size"), F.format_string("0x%08x", "doc_id").alias("address"))
     srcs = info.where("doc_id % 2 = 0").select(F.col("doc_id").alias("src_id"), F.concat_ws("_", "source", F.col("doc_id").cast("string")).alias("name"), F.col("n_chars").alias("size"), F.col("lang").alias("file_path"))
-    strings = cut(line_strings(spark, sf_dir, "[.\n]"))
+    strings = line_strings(spark, sf_dir, "[.\n]")
+    strings = cut(strings) if keep else strings
     return Inputs.of(bins, srcs, *sides(strings), *document_edges(spark, sf_dir))
 
 

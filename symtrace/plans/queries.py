@@ -673,7 +673,7 @@ def export_shared_strings(spark, sf_dir):
 
 
 def _pipeline(mode: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs = fx.document_inputs(spark, sf_dir)
+    inputs = fx.document_inputs(spark, sf_dir, keep=mode == "v3")
     state = engine.MatchEngine.of(mode).run(inputs)
     return engine.results(inputs, state, mode).drop("timestamp").withColumn("confidence", F.round("confidence", 6)).withColumn("call_similarity", F.round("call_similarity", 6))
 

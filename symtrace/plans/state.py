@@ -35,6 +35,16 @@ class Inputs:
         """What is derived is checkpointed when a phase first reads it, and so are the edges."""
         return _Derived(bin_info, src_info, bin_strings, src_strings, bin_edges, src_edges)
 
+    @cached_property
+    def hashes(self) -> DataFrame:
+        """The direct strings of both sides as hashes."""
+        return cut(features.both_sides(self.bin_strings, self.src_strings))
+
+    @cached_property
+    def shared(self) -> similarity.Shared:
+        """What the functions of the two sides have in common of their direct strings. Rarity is that of the binary side."""
+        return similarity.sets_of(self.hashes)
+
     def unique_indirect(self) -> tuple[DataFrame, DataFrame]:
         """(binary, source) rows func_id, s of the indirect strings that one function of the side alone has."""
         return features.unique_strings(self.bin_indirect), features.unique_strings(self.src_indirect)

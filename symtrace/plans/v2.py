@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symtrace.functions.scalars import size_similarity
-from symtrace.operators import assign, features, similarity
+from symtrace.operators import assign, similarity
 from symtrace.operators.lineage import cut
 
 from .state import Inputs, State
@@ -23,15 +23,14 @@ def _confirmed(rows: DataFrame) -> DataFrame:
 
 def unique_string(inputs: Inputs, state: State) -> State:
     """Phase 1: the first string that is unique on both sides; source functions may be claimed more than once."""
-    rows = cut(assign.first_wins(inputs.bin_strings, inputs.src_strings).join(state.confirmed.select("bin_id"), "bin_id", "left_anti"))
+    rows = cut(assign.first_of(inputs.bin_strings, inputs.hashes).join(state.confirmed.select("bin_id"), "bin_id", "left_anti"))
     note = rows.select("bin_id", "src_id", F.lit(0.95).alias("score"), F.format_string('unique_string: "%s"', F.substring("s", 1, 60)).alias("reason"))
     return state.confirm(rows.select("bin_id", "src_id", F.lit(0.95).alias("confidence"), F.lit("unique_string").alias("method")), 1).noted("phase1", note)
 
 
 def string_set(inputs: Inputs, state: State) -> State:
     """Phase 2: combined Jaccard and weighted similarity; above 0.25 a candidate, above 0.75 with a gap confirmed."""
-    bins = inputs.bin_strings.join(state.confirmed.select(F.col("bin_id").alias("func_id")), "func_id", "left_anti")
-    scored = cut(similarity.combined_candidates(bins, inputs.src_strings, 0.25, inputs.rarity))
+    scored = cut(inputs.shared.without(state.confirmed).above(0.25))
     rows = scored.select("bin_id", "src_id", "score", F.lit("string_set").alias("method"), F.col("src_id").alias("order"))
     note = scored.select("bin_id", "src_id", "score", F.format_string("jaccard=%.3f, weighted=%.3f, shared=%d", "jaccard", "weighted", "shared").alias("reason"))
     state = state.propose(rows, 2).noted("phase2", note)
@@ -62,8 +61,7 @@ def hybrid(inputs: Inputs, state: State) -> State:
     """Phase 4: open candidates are scored again by strings, calls and size; sources without a record leave."""
     mapping = state.confirmed.select("bin_id", "src_id")
     opened = state.open_candidates().join(inputs.src_info.select("src_id", F.col("size").alias("src_size")), "src_id").join(inputs.bin_info.select("bin_id", F.col("size").alias("bin_size")), "bin_id", "left")
-    pairs = similarity.pair_similarity(opened, features.weighted(inputs.bin_strings, inputs.rarity), features.weighted(inputs.src_strings, inputs.rarity))
-    strings = pairs.select("bin_id", "src_id", similarity.string_score(F.col("jaccard"), F.col("weighted")).alias("string"))
+    strings = inputs.shared.of(opened).select("bin_id", "src_id", similarity.string_score(F.col("jaccard"), F.col("weighted")).alias("string"))
     calls = similarity.call_similarity(opened, inputs.bin_edges, inputs.src_edges, mapping)
     joined = opened.join(strings, ["bin_id", "src_id"], "left").join(calls, ["bin_id", "src_id"], "left")
     string, call = F.coalesce("string", F.lit(0.0)), F.coalesce("call", F.lit(0.0))

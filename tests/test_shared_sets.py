@@ -7,7 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 from symtrace.operators import features, similarity
-from symtrace.plans import fixtures, report, v3
+from symtrace.plans import engine, fixtures, report, v2, v3
 from symtrace.plans.queries import QUERIES
 from symtrace.plans.state import Inputs, State
 
@@ -160,3 +160,38 @@ def test_indirect_strings_are_compared_as_units(spark, monkeypatch):
         results.append([sorted((r.bin_id, r.src_id, r.method, round(r[2], 9)) for r in df.collect()) for df in (state.confirmed, state.candidates)])
     assert results[0] == results[1] and len({r[2] for r in results[0][0]}) >= 2
     assert [x.count() for x in made] < [x.count() for x in listed] and made[0].schema["s"].dataType.typeName() == "long"
+
+
+def test_overlaps_of_sets_that_cannot_be_similar_are_not_made(spark):
+    """Every function has a common string beside five of its own; one in ten has a counterpart. The common string makes over
+    10,000 pairs of sets, of which the counterparts and few others are counted; random sets lose no candidate."""
+    rows = lambda odd: [(2 * k + odd, s) for k in range(200) for s in ("common", f"met {odd} {k % 100}", *(f"both {k} {i}" if k % 10 == 0 else f"own {odd} {k} {i}" for i in range(5)))]
+    extra = [(1000 + odd, f"met {1 - odd} {k}") for odd in (0, 1) for k in range(100)]  # so that the strings "met" make sets
+    frame = lambda r: spark.createDataFrame(r, "func_id long, s string")
+    shared = similarity.shared_sets(frame(rows(1) + extra[100:]), frame(rows(0) + extra[:100]))
+    assert shared.overlaps.count() > 10_000 and shared.near(0.25).overlaps.count() <= 200
+    assert {(r.bin_id, r.src_id) for r in shared.above(0.25).collect()} == {(2 * k + 1, 2 * k) for k in range(0, 200, 10)}
+    rng = random.Random(8)
+    sets = {k: {f"s{min(rng.randrange(12), rng.randrange(12))}" for _ in range(rng.randrange(1, 7))} | {f"o{k}"} for k in range(120)}
+    sides = [{k: v for k, v in sets.items() if k % 2 == side} for side in (1, 0)]
+    for least in (0.0, 0.25, 0.6):
+        found = similarity.combined_candidates(*(frame([(k, s) for k, v in x.items() for s in v]) for x in sides), least).collect()
+        df = Counter(s for v in sides[0].values() for s in v)
+        total = lambda v: sum(math.log((len(sides[0]) + 1) / (df[s] + 1)) if s in df else 1.0 for s in v)  # noqa: B023, E731
+        want = {(b, c): 0.35 * len(x & y) / len(x | y) + 0.65 * total(x & y) / total(x | y) for b, x in sides[0].items() for c, y in sides[1].items() if x & y}
+        assert {(r.bin_id, r.src_id): round(r.score, 9) for r in found} == {k: round(v, 9) for k, v in want.items() if round(v, 12) > least}
+
+
+def test_v2_scores_strings_by_sets(spark, monkeypatch):
+    """Phases 2 and 4 and the results count what sets share: no text is joined, nor weighed for each function."""
+    texts = lambda odd: [(2 * k + odd, s) for k in range(6) for s in (f"text {k}", f"more {k // 2}", "all have it", f"own {odd} {k}")]
+    frame = lambda r: spark.createDataFrame(r, "func_id long, s string")
+    info = [spark.createDataFrame([(2 * k + odd, f"f{k}", 10, "x") for k in range(6)], f"{i} long, name string, size int, {more} string") for odd, i, more in ((1, "bin_id", "address"), (0, "src_id", "file_path"))]
+    edges = spark.createDataFrame([], "caller_id long, callee_id long")
+    for name in ("weighted", "idf"):
+        monkeypatch.setattr(features, name, None)
+    inputs = Inputs.of(*info, frame(texts(1)), frame(texts(0)), edges, edges)
+    state = v2.propagation(inputs, v2.hybrid(inputs, v2.string_set(inputs, State.empty(spark))))
+    assert {r.reason for r in state.log.where("phase = 'phase4' and bin_id = src_id + 1").collect()} and state.candidates.count() >= 6
+    shared = engine.results(inputs, v2.unique_string(inputs, State.empty(spark)), "v2")
+    assert {(r.bin_func_id, r.src_func_id, r.shared_strings) for r in shared.collect()} == {(2 * k + 1, 2 * k, 3) for k in range(6)}
