@@ -82,6 +82,21 @@ class Shared:
         more = [[c for c in info.columns if c != "func_id"] if info is not None else [] for info in (bin_info, src_info)]
         return _scored(self._met(*[e.select("set", "n", "w", F.col("func_id").alias(i), *m) for e, i, m in zip(ends, ("bin_id", "src_id"), more, strict=True)]), "bin_id", "src_id", *more[0], *more[1])
 
+    def valued(self, **values: Column) -> DataFrame:
+        """bin_id, src_id of all pairs with a common string, and values: columns made of shared, jaccard and weighted. They are made
+        once for the functions of two classes (CHUNK of a class at most), whose pairs are then listed."""
+        at = F.row_number().over(Window.partitionBy("b", "set").orderBy("n", "w", "func_id"))
+        piece = self.members.withColumn("piece", F.floor((at - 1) / CHUNK)).groupBy("b", "set", "piece", "n", "w").agg(F.collect_list("func_id").alias("ids"))
+        pieces = cut(piece.groupBy("b", "set", "piece").agg(F.collect_list(F.struct("n", "w", "ids")).alias("rows"), F.sum(F.size("ids")).alias("held")))
+
+        def end(side: bool, name: str, chunk: str, n: str, w: str, ids: str) -> DataFrame:
+            rows = F.transform("rows", lambda x: F.struct(x["n"].alias(n), x["w"].alias(w), x["ids"].alias(ids)))
+            return pieces.where(F.col("b") == side).select(F.col("set").alias(name), F.col("piece").alias(chunk), rows.alias(f"{chunk}_rows"), F.col("held").alias(f"{chunk}_held"))
+
+        each = self._dealt(end(True, "bin_set", "bin_chunk", "n_a", "w_a", "bins"), end(False, "src_set", "src_chunk", "n_b", "w_b", "srcs"))
+        each = _scored(each, "bins", "srcs").select("bins", "srcs", *[v.alias(k) for k, v in values.items()])
+        return each.select(F.explode("bins").alias("bin_id"), "srcs", *values).select("bin_id", F.explode("srcs").alias("src_id"), *values)
+
     def classes(self) -> DataFrame:
         """bin_class, src_class, copies (how many pairs of functions), shared, jaccard, weighted of the pairs of classes."""
         kinds = self.members.groupBy("b", "class").agg(F.first("set").alias("set"), F.first("n").alias("n"), F.first("w").alias("w"), F.count("*").alias("c"))
@@ -102,9 +117,12 @@ class Shared:
         return first.join(b, "bin_class").join(s, "src_class").drop("bin_class", "src_class")
 
     def _met(self, bins: DataFrame, srcs: DataFrame) -> DataFrame:
-        """Rows of bins and srcs (set, n, w, ...) whose sets meet, with n_a, w_a, n_b, w_b, n_i, w_i. A set goes in chunks, and
-        pairs of sets are dealt out by chunk, so that two large sets are the work of many tasks."""
-        b, s = _packed(bins, "bin_set", "bin_chunk", "n_a", "w_a"), _packed(srcs, "src_set", "src_chunk", "n_b", "w_b")
+        """Rows of bins and srcs (set, n, w, ...) whose sets meet, with n_a, w_a, n_b, w_b, n_i, w_i. A set goes in chunks."""
+        return self._dealt(_packed(bins, "bin_set", "bin_chunk", "n_a", "w_a"), _packed(srcs, "src_set", "src_chunk", "n_b", "w_b"))
+
+    def _dealt(self, b: DataFrame, s: DataFrame) -> DataFrame:
+        """n_i, w_i with the rows of two chunks, for all chunks whose sets meet: dealt out by chunk, so that two large sets are the
+        work of many tasks."""
         dealt = self.overlaps.join(_sent(b.select("bin_set", "bin_chunk")), "bin_set").repartition("bin_set", "bin_chunk", "src_set")
         each = dealt.join(_sent(b), ["bin_set", "bin_chunk"]).join(_sent(s), "src_set")
         each = each.select("n_i", "w_i", F.col("src_chunk_rows"), F.inline("bin_chunk_rows"))
@@ -125,8 +143,9 @@ def _packed(rows: DataFrame, name: str, chunk: str, n: str, w: str) -> DataFrame
 
 def _sent(packed: DataFrame) -> DataFrame:
     """packed, to be sent to all if it has few rows and they hold SENT functions at most."""
-    rows = next((c for c in packed.columns if c.endswith("_rows")), None)
-    n = packed.agg(F.sum(F.size(rows)) if rows else F.count("*")).first()[0] or 0
+    rows, held = (next((c for c in packed.columns if c.endswith(end)), None) for end in ("_rows", "_held"))
+    n = packed.agg(F.sum(held) if held else F.sum(F.size(rows)) if rows else F.count("*")).first()[0] or 0
+    packed = packed.drop(held) if held else packed
     return F.broadcast(packed) if n <= SENT else packed
 
 

@@ -447,7 +447,7 @@ def jaccard_pairs(spark, sf_dir):
 
 @query(f"""WITH {LINES}, {IDF} SELECT bin_id, src_id, round(weighted, 6) AS weighted FROM sim""")
 def weighted_jaccard(spark, sf_dir):
-    return similarity.similarity(*fx.by_lines(spark, sf_dir)).select("bin_id", "src_id", r6("weighted"))
+    return similarity.shared_sets(*fx.by_lines(spark, sf_dir)).valued(weighted=r6("weighted"))
 
 
 @query(f"""WITH {LINES}, {IDF} SELECT bin_id, src_id, round(0.35 * jaccard + 0.65 * weighted, 6) AS score FROM sim WHERE round(0.35 * jaccard + 0.65 * weighted, 12) > 0.25""")

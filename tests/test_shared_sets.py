@@ -6,6 +6,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from symtrace.operators import features, similarity
 from symtrace.plans import engine, fixtures, report, v2, v3
 from symtrace.plans.queries import QUERIES
@@ -195,3 +197,13 @@ def test_v2_scores_strings_by_sets(spark, monkeypatch):
     assert {r.reason for r in state.log.where("phase = 'phase4' and bin_id = src_id + 1").collect()} and state.candidates.count() >= 6
     shared = engine.results(inputs, v2.unique_string(inputs, State.empty(spark)), "v2")
     assert {(r.bin_func_id, r.src_func_id, r.shared_strings) for r in shared.collect()} == {(2 * k + 1, 2 * k, 3) for k in range(6)}
+
+
+def test_values_are_made_for_pairs_of_classes(spark):
+    """Of 200 functions a side, with one common string and one or two of their own, 40,000 pairs are listed; four are computed."""
+    rows = lambda odd: spark.createDataFrame([(2 * k + odd, s) for k in range(200) for s in ("shared", *(f"own {odd} {k} {i}" for i in range(1 + k % 2)))], "func_id long, s string")
+    made = spark.sparkContext.accumulator(0)
+    value = F.udf(lambda j: made.add(1) or j, "double")("jaccard")
+    found = similarity.shared_sets(rows(1), rows(0)).valued(jaccard=value).collect()
+    assert {(r.bin_id, r.src_id): round(r.jaccard, 9) for r in found} == {(2 * b + 1, 2 * c): round(1 / (3 + b % 2 + c % 2), 9) for b in range(200) for c in range(200)}
+    assert len(found) == 40_000 and made.value == 4
