@@ -1,14 +1,19 @@
-"""Approximate nearest neighbours by additive quantisation.
+"""Nearest neighbours by additive quantisation.
 
 A vector is approximated by a sum of full-dimensional codewords, one of each codebook. Codebooks come from residual
-k-means on a bounded sample (the TRAIN different vectors with the smallest hashes) and are then refitted jointly by least squares; every vector
-is encoded by a beam search over the codebooks and stored as its codes and the norm of its approximation. A query makes
-one table of inner products with all codewords; a vector's score is its stored norm less twice the sum of its table
-entries. The RERANK best of each query are ranked again by exact distances on the original vectors.
+k-means on a bounded sample (the TRAIN different vectors with the smallest hashes), less its median and divided by its
+median norm, and are then refitted jointly by least squares; every vector is encoded by a beam search over the codebooks
+and stored with its codes, the norm of its approximation and the distance between both. A task decodes a piece of codes
+once for all queries; the inner products with the decoded sums are those that tables of all codewords would add up to.
+
+The codes only order and rule out. The RERANK best of a piece get exact distances on the original vectors, which bound how
+far a neighbour can be. A vector stays out if its approximation is further from the query than this bound and its own
+distance from the approximation together; all others get exact distances too. So codes that fit badly (many dimensions,
+norms of all sizes) cost time, but no neighbour: the neighbours are those of brute force.
 
 Equal vectors are one entry of the index, so copies, however many, can't crowd a list; they are spread out at the end
 (a query needs K + 1 of each at most). Queries go through in blocks of a fixed size: a block is broadcast, the codes
-are scanned where they are, each task keeps its best RERANK a query. The whole index is searched.
+are scanned where they are, each task keeps its best K a query. The whole index is searched.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, or have another length than most
 vectors, are no query and no candidate, nor are rows without an id; rows that share an id are different candidates, but
@@ -26,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from . import _util as u
 
@@ -36,6 +42,10 @@ NEAREST = 10
 QUERY_BLOCK = 4096
 #: Vectors that a task scans at most before it hands on its best.
 TASK_ROWS = 65_536
+#: Of a piece's pairs that codes can't rule out: from this share on, inner products of the vectors rule out first.
+OPEN = 0.02
+#: Relative error that is allowed for in the distances that rule out; they are made of centred and scaled doubles.
+SLACK = 1e-12
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -76,7 +86,10 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
 
 
 def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
-    return books[np.arange(len(books)), codes.astype(int)].sum(1)
+    out = np.zeros((len(codes), books.shape[2]))
+    for words, chosen in zip(books, codes.T, strict=True):
+        out += words[chosen]
+    return out
 
 
 def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2, seed: int = 7) -> np.ndarray:
@@ -104,14 +117,15 @@ def valid(vector: Column) -> Column:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, x (doubles as bytes), h1, h2 of the vectors that take part."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(valid(F.col("v")) & F.col("vec_id").isNotNull())
+    """vec_id, x (floats as they are, others as doubles, as bytes), h1, h2 of the vectors that take part."""
+    kind = _kind(vectors, vector_col)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v")).where(valid(F.col("v")) & F.col("vec_id").isNotNull())
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     schema = pa.schema([("vec_id", pa.int64()), ("x", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1) + 0.0  # -0 becomes 0
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) + np.zeros(1, DTYPES[kind])  # -0 becomes 0
             data = [r.tobytes() for r in x]
             h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, data)), np.int64).reshape(-1, 2)
             yield u.batch(schema, [b.column(0), data, h[:, 0], h[:, 1]])
@@ -119,80 +133,161 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (lengths["d"] if lengths else 0)).mapInArrow(run, "vec_id long, x binary, h1 long, h2 long")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), float).reshape(len(column), -1)
+DTYPES = {"float": np.float32, "double": np.float64}
+
+
+def _kind(vectors: DataFrame, vector_col: str) -> str:
+    kind = vectors.select(vector_col).schema[0].dataType
+    return "float" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "double"
+
+
+def _matrix(column, kind: str) -> np.ndarray:
+    values = column.to_pylist() if isinstance(column, pa.Array) else column
+    return np.frombuffer(b"".join(values), DTYPES[kind]).reshape(len(values), -1).astype(float)
+
+
+class Frame:
+    """Where codes are made: vectors less the median of a sample, divided by its median norm. Only ordering and ruling
+    out happen there."""
+
+    def __init__(self, sample: np.ndarray):
+        self.centre, self.scale = np.median(sample, 0), 1.0
+        with np.errstate(all="ignore"):
+            self.centre = np.where(np.isfinite(self.centre), self.centre, 0.0)
+            norms = np.linalg.norm(sample - self.centre, axis=1)
+            scale = float(np.median(norms))
+            self.scale = scale if np.isfinite(scale) and scale > 0 else 1.0
+            near = norms <= 1e4 * scale  # a few huge vectors would leave nothing of the others
+            self.books = train(self.of(sample[near] if near.any() else np.zeros_like(sample[:1])))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.centre) / self.scale
+
+    def reach(self, distance: np.ndarray) -> np.ndarray:
+        """An exact distance in this frame, not below: squares of tiny ones are lost on the way to it."""
+        return np.maximum(distance, 1e-150) / self.scale * (1 + 1e-9)
 
 
 KEY = ["query_id", "q1", "q2"]
 
 
-def _scan(books: np.ndarray, keys: list[np.ndarray], queries: np.ndarray, rerank: int):
-    """Keeps each query's best by table scores over all codes of a task. keys: KEY of each query."""
-    schema = pa.schema([*((k, pa.int64()) for k in KEY), ("h1", pa.int64()), ("h2", pa.int64()), ("approx", pa.float64())])
-    m, k, _ = books.shape
-    tables = (queries @ books.reshape(m * k, -1).T).astype(np.float32)
-    n = len(queries)
+class _Nearest:
+    """Each query's k best entries of the index so far, by distance and the smallest id that isn't the query's."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.have = k, np.zeros((n, k), bool)
+        self.score, self.key = np.full((n, k), np.inf), np.zeros((n, k), np.int64)
+        self.hashes = np.zeros((n, k, 2), np.int64)
+
+    def limit(self, part: slice) -> np.ndarray:
+        """No entry beyond this distance can come in."""
+        return np.where(self.have[part, -1], self.score[part, -1], np.inf)
+
+    def add(self, at: int, query: np.ndarray, score: np.ndarray, key: np.ndarray, hashes: np.ndarray) -> None:
+        """Entries of queries at + query."""
+        some = score <= self.limit(slice(None))[at + query]
+        query, score, key, hashes = at + query[some], score[some], key[some], hashes[some]
+        touched = np.unique(query)
+        old, column = np.nonzero(self.have[touched])
+        old = touched[old]
+        query, score, key = np.concatenate([old, query]), np.concatenate([self.score[old, column], score]), np.concatenate([self.key[old, column], key])
+        hashes = np.concatenate([self.hashes[old, column], hashes])
+        order = np.lexsort((key, score, query))
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        order, place = order[place < self.k], place[place < self.k]
+        to = query[order], place
+        self.have[to], self.score[to], self.key[to], self.hashes[to] = True, score[order], key[order], hashes[order]
+
+
+def _exact(queries: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    out, step = np.empty(len(i)), max(1, (1 << 18) // x.shape[1])
+    for at in range(0, len(i), step):
+        out[at : at + step] = np.sqrt(np.sum((x[j[at : at + step]] - queries[i[at : at + step]]) ** 2, 1))
+    return out
+
+
+def _scan(frame: Frame, kind: str, keys: list[np.ndarray], queries: np.ndarray, nearest: int, rerank: int):
+    """Keeps each query's nearest entries of a task. keys: KEY of each query."""
+    schema = pa.schema([*((k, pa.int64()) for k in KEY), ("h1", pa.int64()), ("h2", pa.int64()), ("key", pa.int64()), ("score", pa.float64())])
+    n, d = queries.shape
+    part_of = 1 - 4 * (d + 8) * np.finfo(float).eps  # what rounding leaves of the sum of squares for sure
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_score = np.zeros((n, 0), np.float32)
-        best = np.zeros((n, 0, 2), np.int64)
-        for whole in batches:
-            for b in u.pieces(whole, 4096):
-                hashes = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)
-                own = b.column(2)  # null: rows with several ids have this vector
-                shared, own = own.is_null().to_numpy(zero_copy_only=False), own.fill_null(0).to_numpy()
-                codes = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(len(hashes), m) + np.arange(m) * k
-                norms = b.column(4).to_numpy().astype(np.float32)
-                next_score, next_best = [], []
-                for at in range(0, n, 128):
-                    part = tables[at : at + 128]
-                    total = part[:, codes[:, 0]]
-                    for c in range(1, m):
-                        total += part[:, codes[:, c]]
-                    old = best_score[at : at + 128]
-                    score = norms - 2 * total
-                    score[(keys[0][at : at + 128, None] == own) & ~shared] = np.inf  # the query itself is no candidate
-                    score = np.concatenate([old, score], 1)
-                    keep = np.argpartition(score, rerank - 1, 1)[:, :rerank] if score.shape[1] > rerank else np.broadcast_to(np.arange(score.shape[1]), score.shape)
-                    next_score.append(np.take_along_axis(score, keep, 1))
-                    new = keep - old.shape[1]
-                    found = hashes[np.maximum(new, 0)]
-                    if old.shape[1]:
-                        found = np.where(new[:, :, None] < 0, np.take_along_axis(best[at : at + 128], np.minimum(keep, old.shape[1] - 1)[:, :, None], 1), found)
-                    next_best.append(found)
-                best_score, best = np.concatenate(next_score), np.concatenate(next_best)
-        width = best.shape[1]
-        if width:
-            for at in range(0, n, 64):
-                part, score = best[at : at + 64].reshape(-1, 2), best_score[at : at + 64].reshape(-1).astype(float)
-                some = np.isfinite(score)
-                yield u.batch(schema, [*(np.repeat(x[at : at + 64], width)[some] for x in keys), part[some, 0], part[some, 1], score[some]])
+        with np.errstate(all="ignore"):
+            best = _Nearest(n, nearest)
+            z = frame.of(queries)
+            z_norm = np.sum(z**2, 1)
+            for whole in batches:
+                for b in u.pieces(whole, 4096):
+                    hashes = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)
+                    least, alone = b.column(2).to_numpy(), b.column(3).is_null().to_numpy(zero_copy_only=False)
+                    following = b.column(3).fill_null(0).to_numpy()
+                    x = _matrix(b.column(4), kind)
+                    approx = decode(np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(len(x), -1), frame.books)
+                    norm, error = b.column(6).to_numpy(), b.column(7).to_numpy()
+                    y = frame.of(x)
+                    y_norm = np.sum(y**2, 1)
+                    for at in range(0, n, 128):
+                        part = slice(at, at + 128)
+                        ids = keys[0][part]
+
+                        def add(i, j):
+                            key = np.where(least[j] == ids[i], following[j], least[j])  # noqa: B023
+                            best.add(at, i, _exact(queries[part], x, i, j), key, hashes[j])  # noqa: B023
+
+                        lower = (z_norm[part, None] + norm) * part_of - 2 * (z[part] @ approx.T)
+                        done = (ids[:, None] == least) & alone  # the query itself is no candidate
+                        if not np.isfinite(best.limit(part)).all():
+                            width = min(rerank, len(x))
+                            first = np.argpartition(np.where(done, np.inf, lower), width - 1, 1)[:, :width]
+                            i, j = np.repeat(np.arange(len(ids)), width), first.ravel()
+                            some = ~done[i, j]
+                            add(i[some], j[some])
+                            done[i, j] = True
+                        reach = frame.reach(best.limit(part)) + SLACK * np.sqrt(z_norm[part])
+                        opened = ~(lower > (reach[:, None] + error) ** 2) & ~done
+                        if np.count_nonzero(opened) > OPEN * opened.size:
+                            some = np.flatnonzero(opened.any(0))
+                            full = (z_norm[part, None] + y_norm[some]) * part_of - 2 * (z[part] @ y[some].T)
+                            opened[:, some] &= ~(full > (reach[:, None] + SLACK * np.sqrt(y_norm[some])) ** 2)
+                        i, j = np.nonzero(opened)
+                        if len(i):
+                            add(i, j)
+            for at in range(0, n, 4096):
+                i, k = np.nonzero(best.have[at : at + 4096])
+                i += at
+                yield u.batch(schema, [*(c[i] for c in keys), best.hashes[i, k, 0], best.hashes[i, k, 1], best.key[i, k], best.score[i, k]])
 
     return run
 
 
 def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, rerank: int = RERANK, train_rows: int = TRAIN, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The nearest found of every query row: query_id, rank, vec_id, score (Euclidean distance in double precision).
+    """The nearest of every query row: query_id, rank, vec_id, score (Euclidean distance in double precision).
     is_query is a condition on the column vec_id."""
     spark = vectors.sparkSession
-    out = "query_id long, rank int, vec_id long, score double"
+    out, kind = "query_id long, rank int, vec_id long, score double", _kind(vectors, vector_col)
     rows = u.materialise(usable(vectors, id_col, vector_col), "vectors")
-    reps = u.materialise(_distinct(rows), "distinct")
-    n = reps.count()
-    sample = u.hash_sample(reps.select(F.col("h1").alias("h"), "x"), train_rows).orderBy("h").limit(train_rows).collect()
+    sample = u.hash_sample(rows.select(F.col("h1").alias("h"), "x"), train_rows).orderBy("h").limit(train_rows).collect()
     if not sample:
-        u.drop_files(rows, reps)
+        u.drop_files(rows)
         return spark.createDataFrame([], out)
-    books = train(np.array([np.frombuffer(r["x"], float) for r in sample]))
-    code_schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("own", pa.int64()), ("code", pa.binary()), ("norm", pa.float64())])
+    frame = Frame(_matrix([bytes(r["x"]) for r in sample], kind))
+    code_schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("least", pa.int64()), ("following", pa.int64()), ("x", pa.binary()), ("code", pa.binary()), ("norm", pa.float64()), ("error", pa.float64())])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in u.pieces(whole, 512):
-                codes = encode(_matrix(b.column(3)), books)
-                yield u.batch(code_schema, [*b.columns[:3], [c.tobytes() for c in codes], np.sum(decode(codes, books) ** 2, 1)])
-
-    codes = u.materialise(reps.select("h1", "h2", "own", "x").mapInArrow(encoded, "h1 long, h2 long, own long, code binary, norm double"), "codes")
+        with np.errstate(all="ignore"):
+            for whole in batches:
+                for b in u.pieces(whole, 512):
+                    y = frame.of(_matrix(b.column(4), kind))
+                    codes = encode(y, frame.books)
+                    approx = decode(codes, frame.books)
+                    error = np.linalg.norm(y - approx, axis=1) * (1 + 1e-9) + SLACK * np.linalg.norm(y, axis=1)
+                    yield u.batch(code_schema, [*b.columns, [c.tobytes() for c in codes], np.sum(approx**2, 1), error])
+
+    copies = u.materialise(_copies(rows, nearest), "copies")
+    index = _distinct(rows, copies).mapInArrow(encoded, "h1 long, h2 long, least long, following long, x binary, code binary, norm double, error double")
+    index = u.materialise(index, "codes")
+    n = index.count()
     tasks = max(1, -(-n // TASK_ROWS), min(8, n // 4096))
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.col("x").alias("q"))
     queries = u.materialise(queries.groupBy(*KEY).agg(F.first("q").alias("q")), "queries")
@@ -203,48 +298,44 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, rerank:
         part = mine.orderBy(*KEY).collect()
         if part:
             keys = [np.array([r[c] for r in part]) for c in KEY]
-            hits = codes.coalesce(tasks).mapInArrow(_scan(books, keys, np.array([np.frombuffer(r["q"], float) for r in part]), rerank), ", ".join(f"{c} long" for c in [*KEY, "h1", "h2"]) + ", approx double")
-            found.append(u.materialise(_best(hits, rerank), "hits"))
+            scan = _scan(frame, kind, keys, _matrix([bytes(r["q"]) for r in part], kind), nearest, rerank)
+            hits = index.coalesce(tasks).mapInArrow(scan, ", ".join(f"{c} long" for c in [*KEY, "h1", "h2", "key"]) + ", score double")
+            found.append(u.materialise(_best(hits, nearest), "hits"))
     if not found:
-        u.drop_files(rows, reps, codes, queries)
+        u.drop_files(rows, copies, index, queries)
         return spark.createDataFrame([], out)
     hits = found[0]
     for x in found[1:]:
         hits = hits.unionByName(x)
-    result = u.materialise(_reranked(hits, queries, reps, rows, nearest), "nearest")
-    u.drop_files(rows, reps, codes, queries, *found)
+    result = u.materialise(_spread(hits, copies, nearest), "nearest")
+    u.drop_files(rows, copies, index, queries, *found)
     return result
 
 
-def _distinct(rows: DataFrame) -> DataFrame:
-    """h1, h2, x of each distinct vector and `own`, the id if all its rows have the same. Partial sums first: copies cost
-    their count only."""
-    each = rows.groupBy("h1", "h2").agg(F.min("x").alias("x"), F.min("vec_id").alias("least"), F.max("vec_id").alias("greatest"))
-    return each.select("h1", "h2", "x", F.when(F.col("least") == F.col("greatest"), F.col("least")).alias("own"))
+def _copies(rows: DataFrame, nearest: int) -> DataFrame:
+    """h1, h2, vec_id, r, n: of each distinct vector the first ids with their ranks, as many as a list can need, and how
+    many rows each has, as many as a list can need."""
+    ids = rows.groupBy("h1", "h2", "vec_id").agg(F.count("*").alias("n"))
+    first = ids.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("r") <= nearest + 1)
+    return first.select("h1", "h2", "vec_id", "r", F.least("n", F.lit(nearest)).cast("int").alias("n"))
 
 
-def _best(hits: DataFrame, k: int) -> DataFrame:
-    return hits.withColumn("r", F.row_number().over(Window.partitionBy(*KEY).orderBy("approx", "h1", "h2"))).where(F.col("r") <= k).drop("r")
+def _distinct(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """h1, h2, the smallest id (least) and the next (following, null: none), x of each distinct vector. Partial sums first:
+    copies cost their count only."""
+    each = rows.groupBy("h1", "h2").agg(F.min("x").alias("x"), F.min("vec_id").alias("least"))
+    second = copies.where("r = 2").select("h1", "h2", F.col("vec_id").alias("following"))
+    return each.join(second, ["h1", "h2"], "left").select("h1", "h2", "least", "following", "x")
 
 
-def _reranked(hits: DataFrame, queries: DataFrame, reps: DataFrame, rows: DataFrame, nearest: int) -> DataFrame:
-    names = [*KEY, "h1", "h2"]
-    schema = pa.schema([*((c, pa.int64()) for c in names), ("score", pa.float64())])
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    return hits.withColumn("r", F.row_number().over(Window.partitionBy(*KEY).orderBy("score", "key", "h1", "h2"))).where(F.col("r") <= k).drop("r")
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in u.pieces(whole, 2048):
-                distance = np.sqrt(np.sum((_matrix(b.column(5)) - _matrix(b.column(6))) ** 2, 1))
-                yield u.batch(schema, [*b.columns[:5], distance])
 
-    joined = hits.join(reps.select("h1", "h2", "x"), ["h1", "h2"]).join(queries, KEY)
-    scored = joined.select(*names, "q", "x").mapInArrow(exact, ", ".join(f"{c} long" for c in names) + ", score double")
-    # Each of these vectors has a row that isn't the query's own, so the first ones suffice, with all that are as near.
-    near = scored.withColumn("r", F.rank().over(Window.partitionBy(*KEY).orderBy("score"))).where(F.col("r") <= nearest).drop("r")
-    ids = rows.groupBy("h1", "h2", "vec_id").agg(F.count("*").alias("n"))
-    first = ids.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("r") <= nearest + 1)
-    copies = first.select("h1", "h2", "vec_id", F.least("n", F.lit(nearest)).cast("int").alias("n"))
-    spread = near.join(copies, ["h1", "h2"]).where("vec_id <> query_id").select(*KEY, "vec_id", "score", F.explode(F.array_repeat(F.lit(0), F.col("n"))))
+def _spread(hits: DataFrame, copies: DataFrame, nearest: int) -> DataFrame:
+    """The rows of the entries found. Each entry has a row that isn't the query's own, and `key` is the first such id, so the
+    nearest rows are among those of as many nearest entries."""
+    spread = hits.drop("key").join(copies.drop("r"), ["h1", "h2"]).where("vec_id <> query_id").select(*KEY, "vec_id", "score", F.explode(F.array_repeat(F.lit(0), F.col("n"))))
     rank = F.row_number().over(Window.partitionBy(*KEY).orderBy("score", "vec_id"))
     return spread.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 

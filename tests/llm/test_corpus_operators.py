@@ -232,6 +232,28 @@ def test_neighbours(spark):
     assert aq.search(vectors.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_neighbours_of_rows_that_codes_fit_badly(spark):
+    """Far from the origin, norms of all sizes, more dimensions than codes can hold, far clusters, many ties, a huge row."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    kinds = {
+        "offset": rng.normal(size=(n, 16)) + 1e5,
+        "norms": rng.normal(size=(n, 32)) * np.exp(3 * rng.normal(size=(n, 1))),
+        "wide": rng.normal(size=(n, 256)),
+        "clusters": rng.normal(size=(9, 24))[rng.integers(0, 9, n)] * 1e4 + rng.normal(size=(n, 24)),
+        "ties": np.concatenate([np.eye(1, 9) + 1.0, rng.integers(0, 3, size=(n - 1, 9)) * 1.0]) + np.eye(9)[8],
+        "huge": np.concatenate([rng.normal(size=(n - 1, 8)), np.full((1, 8), 1e180)]),
+    }
+    for name, x in kinds.items():
+        vectors = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+        found = {}
+        for r in aq.search(vectors, F.col("vec_id") % 100 == 0, train_rows=512).orderBy("query_id", "rank").collect():
+            found.setdefault(r.query_id, []).append((r.score, r.vec_id))
+        with np.errstate(over="ignore"):
+            want = aq.brute_force(np.arange(n), x, np.arange(n) % 100 == 0)
+        assert {q: [i for _, i in v] for q, v in found.items()} == {q: [i for _, i in v] for q, v in want.items()}, name
+
+
 def test_beam_beats_greedy():
     x = np.random.default_rng(5).normal(size=(400, 16))
     books = aq.train(x, 4, 16, 1)
