@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+from symtrace.operators import assign
 from symtrace.plans import fixtures, queries
 
 
@@ -52,3 +53,28 @@ def test_all_lines_of_an_order_count(spark, tmp_path):
     bins, srcs = ({tuple(r) for r in e.collect()} for e in fixtures.document_edges(spark, str(tmp_path)))
     assert srcs == {(s * 2, p * 2) for _, s, p, _ in lines}
     assert bins == {(s * 2 + 1, p * 2 + 1) for o, s, p, _ in lines if o % 10}
+
+
+def _chain(spark, path):
+    """Documents of lines that overlap in long chains, so that rounds of mutual best pairs are more than the 12 of the SQL; in DuckDB
+    the similar pairs of the SQL, and what a scan from the heaviest pair on chooses."""
+    import duckdb
+
+    texts = ["\n".join(f"line {x}" for x in range(5 * k, 8 * k + 30)) for k in range(80)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    near = con.execute(f"WITH {queries.LINES}, {queries.IDF} SELECT bin_id, src_id, round(weighted, 12) FROM sim WHERE round(weighted, 12) >= 0.6").fetchall()
+    return con, near, set(assign.sequential(near, set(), set()))
+
+
+def test_similarity_phase_assigns_beyond_the_rounds_of_its_sql(spark, tmp_path):
+    con, near, chosen = _chain(spark, tmp_path)
+    rows = lambda found: {(b, s): (round(x, 6), m) for b, s, x, m in found}
+    found = rows(map(tuple, queries.QUERIES["indirect_similarity_phase"](spark, str(tmp_path)).collect()))
+    assert found.keys() == {(b, s) for b, s, _ in near}
+    assert {k for k, v in found.items() if v[1] == "indirect_multi_string"} == chosen
+    cut_off = rows(con.execute(queries.SQL["indirect_similarity_phase"]).fetchall())
+    settled = {k for k, v in cut_off.items() if v[1] == "indirect_multi_string"}
+    assert settled < chosen
+    assert {k for k in found if found[k] != cut_off[k]} == chosen - settled
