@@ -78,3 +78,11 @@ def test_similarity_phase_assigns_beyond_the_rounds_of_its_sql(spark, tmp_path):
     settled = {k for k, v in cut_off.items() if v[1] == "indirect_multi_string"}
     assert settled < chosen
     assert {k for k in found if found[k] != cut_off[k]} == chosen - settled
+
+
+def test_similarity_assignment_goes_beyond_the_rounds_of_its_sql(spark, tmp_path):
+    con, near, chosen = _chain(spark, tmp_path)
+    found = {(b, s): round(x, 6) for b, s, x in map(tuple, queries.QUERIES["similarity_bijective"](spark, str(tmp_path)).collect())}
+    assert found.keys() == chosen
+    cut_off = {(b, s): round(x, 6) for b, s, x in con.execute(queries.SQL["similarity_bijective"]).fetchall()}
+    assert cut_off.keys() < chosen and all(found[k] == v for k, v in cut_off.items())
