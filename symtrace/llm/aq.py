@@ -206,11 +206,28 @@ def _exact(queries: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return out
 
 
+def _left(z: np.ndarray, z_norm: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Rows whose product with a row of _right is above 0 only if |z - approximation| > reach + error: the difference of both
+    squares, each term so much less or more that rounding to single precision can't make it positive. Rows that single
+    precision can't hold are NaN, which rules out nothing."""
+    loss = 4 * (z.shape[1] + 16) * np.finfo(np.float32).eps
+    return _single(np.column_stack([z, z_norm * (1 - loss) - reach**2 * (1 + loss), np.ones(len(z)), reach]))
+
+
+def _right(approx: np.ndarray, norm: np.ndarray, error: np.ndarray) -> np.ndarray:
+    loss = 4 * (approx.shape[1] + 16) * np.finfo(np.float32).eps
+    return _single(np.column_stack([-2 * approx, np.ones(len(approx)), norm * (1 - loss) - error**2 * (1 + loss), -2 * error * (1 + loss)]))
+
+
+def _single(x: np.ndarray) -> np.ndarray:
+    return np.where((np.abs(x).max(1) < 1e15)[:, None], x, np.nan).astype(np.float32)
+
+
 def _scan(frame: Frame, kind: str, keys: list[np.ndarray], queries: np.ndarray, nearest: int, rerank: int):
     """Keeps each query's nearest entries of a task. keys: KEY of each query."""
     schema = pa.schema([*((k, pa.int64()) for k in KEY), ("h1", pa.int64()), ("h2", pa.int64()), ("key", pa.int64()), ("score", pa.float64())])
     n, d = queries.shape
-    part_of = 1 - 4 * (d + 8) * np.finfo(float).eps  # what rounding leaves of the sum of squares for sure
+    loss = 4 * (d + 8) * np.finfo(float).eps  # what rounding can take of a sum of squares, relatively
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(all="ignore"):
@@ -225,30 +242,35 @@ def _scan(frame: Frame, kind: str, keys: list[np.ndarray], queries: np.ndarray,
                     x = _matrix(b.column(4), kind)
                     approx = decode(np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(len(x), -1), frame.books)
                     norm, error = b.column(6).to_numpy(), b.column(7).to_numpy()
+                    right = _right(approx, norm, error)
                     y = frame.of(x)
                     y_norm = np.sum(y**2, 1)
+                    whole_right = _right(y, y_norm, SLACK * np.sqrt(y_norm))
                     for at in range(0, n, 128):
                         part = slice(at, at + 128)
                         ids = keys[0][part]
 
                         def add(i, j):
+                            some = (least[j] != ids[i]) | ~alone[j]  # the query itself is no candidate  # noqa: B023
+                            i, j = i[some], j[some]
                             key = np.where(least[j] == ids[i], following[j], least[j])  # noqa: B023
                             best.add(at, i, _exact(queries[part], x, i, j), key, hashes[j])  # noqa: B023
 
-                        lower = (z_norm[part, None] + norm) * part_of - 2 * (z[part] @ approx.T)
-                        done = (ids[:, None] == least) & alone  # the query itself is no candidate
+                        first = None
                         if not np.isfinite(best.limit(part)).all():
                             width = min(rerank, len(x))
-                            first = np.argpartition(np.where(done, np.inf, lower), width - 1, 1)[:, :width]
-                            i, j = np.repeat(np.arange(len(ids)), width), first.ravel()
-                            some = ~done[i, j]
-                            add(i[some], j[some])
-                            done[i, j] = True
+                            first = np.argpartition(norm - 2 * (z[part] @ approx.T), width - 1, 1)[:, :width]
+                            add(np.repeat(np.arange(len(ids)), width), first.ravel())
                         reach = frame.reach(best.limit(part)) + SLACK * np.sqrt(z_norm[part])
-                        opened = ~(lower > (reach[:, None] + error) ** 2) & ~done
+                        left = _left(z[part], z_norm[part], reach)
+                        opened = ~(left @ right.T > 0)
+                        if first is not None:
+                            np.put_along_axis(opened, first, False, 1)
+                        if np.count_nonzero(opened) > OPEN * opened.size:
+                            opened &= ~(left @ whole_right.T > 0)
                         if np.count_nonzero(opened) > OPEN * opened.size:
                             some = np.flatnonzero(opened.any(0))
-                            full = (z_norm[part, None] + y_norm[some]) * part_of - 2 * (z[part] @ y[some].T)
+                            full = (z_norm[part, None] + y_norm[some]) * (1 - loss) - 2 * (z[part] @ y[some].T)
                             opened[:, some] &= ~(full > (reach[:, None] + SLACK * np.sqrt(y_norm[some])) ** 2)
                         i, j = np.nonzero(opened)
                         if len(i):
